@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import delete_path, ensure_checkpoint_dir, materialize, shared_folder, table  # noqa: F401
+
 #: At most this many keys are ever treated as hot, so what is broadcast for
 #: them is bounded whatever the size of the table.
 MAX_HOT_KEYS = 1000
@@ -15,37 +14,6 @@ MAX_HOT_KEYS = 1000
 MIN_HOT_ROWS = 256
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltworks-"))
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
-
-    The files are replicated by the shared store, so a lost executor costs a
-    reread, and Spark removes them when the plan is garbage collected.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under the shared checkpoint folder (not created)."""
-    import uuid
-
-    ensure_checkpoint_dir(spark)
-    return os.path.join(spark.sparkContext.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def hot_keys(counts: DataFrame, key: str, rows: str, total: int) -> list:
     """The keys that hold over a thousandth of all rows: MAX_HOT_KEYS at most, by arithmetic.
 
@@ -68,9 +36,5 @@ def skew_join(big: DataFrame, dim: DataFrame, key: str, hot: list, how: str = "i
     return cold.unionByName(big.where(is_hot).join(F.broadcast(dim.where(is_hot)), key, how))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
