@@ -41,7 +41,7 @@ CACHE = 300_000
 LANE = 63
 NONE, BIG = 0xFFFF, 1 << 20
 #: White space as Unicode has it; str.split() also splits at the four separators below.
-SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACES = re.compile("[" + "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Letters and digits younger than Unicode 16, which the tokenizer knows.
 YOUNGER = (
