@@ -5,15 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_text, quality, simhash, warc
+from . import ann, bpe, exact_dedup, html_text, licenses, mixing, quality, simhash, warc
 from .common import table
 
+#: Weights of the mix by path: the single-digit sources count double, and English a half more than other languages.
+MIX_WEIGHTS = {("srcx",): 2.0, ("srcx", "en"): 1.5, ("src1x", "en"): 1.5}
+
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -26,6 +34,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS)
+    return mixed.select("doc_id", mixing.domain_of(F.col("source")).alias("domain"), "lang", "source")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -41,12 +54,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_html_text": op2_html_text,
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_ann": op6_ann,
     "op8_quality": op8_quality,
+    "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
 }
 
