@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_text, licenses, mixing, quality, simhash, warc
+from . import ann, bpe, exact_dedup, html_text, licenses, mixing, quality, simhash, token_files, warc
 from .common import table
 
 #: Weights of the mix by path: the single-digit sources count double, and English a half more than other languages.
@@ -48,6 +48,10 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where("vec_id % 20 = 0"), id_col="vec_id", vec_col="embedding")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_ann": op6_ann,
+    "op7_token_files": op7_token_files,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
