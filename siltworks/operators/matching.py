@@ -16,10 +16,33 @@ PREDICTIONS = "image string, cid int, conf double, x1 double, y1 double, x2 doub
 BOX = ["x1", "y1", "x2", "y2"]
 
 
-def _sides(left: DataFrame, right: DataFrame, *more: str):
-    """Both sides grouped by image, under new column identities: they may stem from one frame."""
-    new = lambda df, names: df.select(*[F.col(c).alias(c) for c in names]).groupBy("image")
-    return new(left, ["image", "cid", *more, *BOX]).cogroup(new(right, ["image", "cid", *BOX]))
+def _by_image(left: DataFrame, right: DataFrame, more: list[str], match, schema: str) -> DataFrame:
+    """Apply ``match`` to the two sides of every image.
+
+    Images are dealt to buckets by hash, a few for each shuffle partition, and
+    a bucket is handled image by image, which spares the cost of a group per
+    image. Columns get new identities: both sides may stem from one frame.
+    """
+    buckets = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [n.split()[0] for n in schema.split(", ")]
+
+    def new(df: DataFrame, columns: list[str]):
+        return df.select(*[F.col(c).alias(c) for c in columns], F.pmod(F.xxhash64("image"), F.lit(buckets)).alias("bucket")).groupBy("bucket")
+
+    def run(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if "conf" in more:
+            p = p.sort_values("conf", ascending=False, kind="stable")
+        parts = [{k: g for k, g in side.groupby("image", sort=False).indices.items()} for side in (p, t)]
+        values = [(side["cid"].to_numpy(), side["conf"].to_numpy() if "conf" in side else None, side[BOX].to_numpy(float)) for side in (p, t)]
+        none = np.empty(0, np.int64)
+        rows = []
+        for image in dict.fromkeys([*parts[0], *parts[1]]):
+            i, j = parts[0].get(image, none), parts[1].get(image, none)
+            rows += match(image, values[0][0][i], None if values[0][1] is None else values[0][1][i], values[0][2][i], values[1][0][j], values[1][2][j])
+        out = pd.DataFrame(rows, columns=names)
+        return out.astype({"target": "Int32", "conf": "float64"}) if "target" in names else out
+
+    return new(left, ["image", "cid", *more, *BOX]).cogroup(new(right, ["image", "cid", *BOX])).applyInPandas(lambda p, t: run(p, t), schema)
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray, clamp: bool = True) -> np.ndarray:
@@ -31,10 +54,6 @@ def iou_matrix(a: np.ndarray, b: np.ndarray, clamp: bool = True) -> np.ndarray:
     return np.where(union > 0, w * h / np.where(union > 0, union, 1), 0.0)
 
 
-def _by_confidence(p: pd.DataFrame) -> pd.DataFrame:
-    return p.sort_values("conf", ascending=False, kind="stable").reset_index(drop=True)
-
-
 def greedy(predictions: DataFrame, targets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(image, cid, conf, hit, target): class by class, the surest prediction takes its best free target.
 
@@ -43,25 +62,21 @@ def greedy(predictions: DataFrame, targets: DataFrame, threshold: float = 0.5) -
     leaves its target free.
     """
 
-    def match(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p, t = _by_confidence(p), t.reset_index(drop=True)
-        image = (p["image"] if len(p) else t["image"]).iloc[0]
-        over = iou_matrix(p[BOX].to_numpy(float), t[BOX].to_numpy(float), clamp=False) if len(p) and len(t) else np.zeros((len(p), len(t)))
-        same = p["cid"].to_numpy()[:, None] == t["cid"].to_numpy()[None, :]
+    def match(image, cid, conf, box, t_cid, t_box) -> list[tuple]:
+        over = iou_matrix(box, t_box, clamp=False)
         used, rows = set(), []
-        for i in range(len(p)):
+        for i in range(len(cid)):
             best, at = 0.0, None
-            for j in range(len(t)):
-                if j not in used and same[i, j] and over[i, j] > best:
+            for j in range(len(t_cid)):
+                if j not in used and cid[i] == t_cid[j] and over[i, j] > best:
                     best, at = over[i, j], j
             hit = at is not None and best >= threshold
             if hit:
                 used.add(at)
-            rows.append((image, int(p["cid"][i]), float(p["conf"][i]), "tp" if hit else "fp", at if hit else None))
-        rows += [(image, int(t["cid"][j]), None, "fn", j) for j in range(len(t)) if j not in used]
-        return pd.DataFrame(rows, columns=["image", "cid", "conf", "hit", "target"]).astype({"target": "Int32", "conf": "float64"})
+            rows.append((image, int(cid[i]), float(conf[i]), "tp" if hit else "fp", at if hit else None))
+        return rows + [(image, int(t_cid[j]), None, "fn", j) for j in range(len(t_cid)) if j not in used]
 
-    return _sides(predictions, targets, "conf").applyInPandas(match, "image string, cid int, conf double, hit string, target int")
+    return _by_image(predictions, targets, ["conf"], match, "image string, cid int, conf double, hit string, target int")
 
 
 def confusion(predictions: DataFrame, targets: DataFrame, classes: int, threshold: float = 0.5) -> DataFrame:
@@ -70,37 +85,33 @@ def confusion(predictions: DataFrame, targets: DataFrame, classes: int, threshol
     Equal overlaps go to the last target.
     """
 
-    def match(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p, t = _by_confidence(p), t.reset_index(drop=True)
-        image = (p["image"] if len(p) else t["image"]).iloc[0]
-        over = iou_matrix(p[BOX].to_numpy(float), t[BOX].to_numpy(float)) if len(p) and len(t) else np.zeros((len(p), len(t)))
-        free, rows = set(range(len(t))), []
-        for i in range(len(p)):
+    def match(image, cid, conf, box, t_cid, t_box) -> list[tuple]:
+        over = iou_matrix(box, t_box)
+        free, rows = set(range(len(t_cid))), []
+        for i in range(len(cid)):
             best = max(((over[i, j], j) for j in free), default=(0.0, -1))
             if best[1] >= 0 and best[0] >= threshold:
                 free.discard(best[1])
-                rows.append((image, int(t["cid"][best[1]]), int(p["cid"][i])))
+                rows.append((image, int(t_cid[best[1]]), int(cid[i])))
             else:
-                rows.append((image, classes, int(p["cid"][i])))
-        rows += [(image, int(t["cid"][j]), classes) for j in sorted(free)]
-        return pd.DataFrame(rows, columns=["image", "truth", "predicted"])
+                rows.append((image, classes, int(cid[i])))
+        return rows + [(image, int(t_cid[j]), classes) for j in sorted(free)]
 
-    return _sides(predictions, targets, "conf").applyInPandas(match, "image string, truth int, predicted int")
+    return _by_image(predictions, targets, ["conf"], match, "image string, truth int, predicted int")
 
 
 def same_boxes(actual: DataFrame, expected: DataFrame, tolerance: float = 0.011) -> DataFrame:
     """(image, same): whether two bags of labelled boxes agree, each box using up one of the other bag."""
 
-    def compare(a: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        image = (a["image"] if len(a) else e["image"]).iloc[0]
-        left = list(e[["cid", *BOX]].itertuples(index=False, name=None))
-        fine = len(a) == len(e)
-        for row in a[["cid", *BOX]].itertuples(index=False, name=None):
-            at = next((k for k, x in enumerate(left) if x[0] == row[0] and all(abs(u - v) <= tolerance for u, v in zip(x[1:], row[1:]))), None)
+    def compare(image, cid, conf, box, t_cid, t_box) -> list[tuple]:
+        left = list(zip(t_cid.tolist(), t_box.tolist()))
+        if len(cid) != len(left):
+            return [(image, False)]
+        for c, x in zip(cid.tolist(), box.tolist()):
+            at = next((k for k, (d, y) in enumerate(left) if c == d and all(abs(u - v) <= tolerance for u, v in zip(x, y))), None)
             if at is None:
-                fine = False
-                break
+                return [(image, False)]
             left.pop(at)
-        return pd.DataFrame({"image": [image], "same": [fine]})
+        return [(image, True)]
 
-    return _sides(actual, expected).applyInPandas(compare, "image string, same boolean")
+    return _by_image(actual, expected, [], compare, "image string, same boolean")
