@@ -78,8 +78,8 @@ def margin_pixels(side: Column, share: Column) -> Column:
 
 
 def turned(x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, ...]:
-    """A box of unit coordinates after a quarter turn: (0, 0, .25, 1) becomes (0, 0, 1, .25)."""
-    return y1, 1 - x2, y2, 1 - x1
+    """A box of unit coordinates after a clockwise quarter turn: (0, 0, .25, 1) becomes (0, 0, 1, .25)."""
+    return 1 - y2, x1, 1 - y1, x2
 
 
 def flipped(x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, ...]:
