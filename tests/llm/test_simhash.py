@@ -1,49 +1,12 @@
 import random
 
 import numpy as np
-import xxhash
+from tests_llm_shared import brute_components as brute
+from tests_llm_shared import reference_print
 
 from siltworks.llm import simhash
 
 
-def reference_print(text):
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    words, word = [], ""
-    for c in low + " ":
-        if c in " \t\n\x0b\x0c\r":
-            if word:
-                words.append(word)
-            word = ""
-        else:
-            word += c
-    if not words:
-        return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def brute(prints):
-    """prints: list of (id, fingerprint); {position: smallest id reachable}."""
-    at = list(range(len(prints)))
-
-    def find(x):
-        while at[x] != x:
-            x = at[x]
-        return x
-
-    for i in range(len(prints)):
-        for j in range(i):
-            if (prints[i][1] ^ prints[j][1]).bit_count() <= 3:
-                a, b = sorted((find(i), find(j)))
-                at[b] = a
-    least = {}
-    for i, (key, _) in enumerate(prints):
-        if key is not None:
-            least[find(i)] = min(key, least.get(find(i), key))
-    return [least.get(find(i)) for i in range(len(prints))]
-
-
 def test_fingerprint_definition():
     for text in (None, "", " \t\n", "One", "one two", "A b C d", "É à x y z q\x0bw", "same same same same", "a b c " * 40000):
         assert simhash.fingerprint(text) == reference_print(text)
