@@ -238,7 +238,7 @@ _encoders: dict[str, object] = {}
 class Library:
     """The tokenizers library behind a cache of white-space-free chunks."""
 
-    def __init__(self, config: str, limit: int = 300_000) -> None:
+    def __init__(self, config: str, limit: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.limit = Tokenizer.from_str(config), {}, limit
