@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 SHINGLE, CONTAINMENT, BANDS, SEED = 5, 0.8, 64, 3
-STEP = 1 << 14
+#: Shingles hashed at a time: 64 bands of them are 2 MB.
+STEP = 1 << 12
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 #: Public notices that texts carry.
@@ -73,11 +74,6 @@ class Scanner:
             self.by_block.setdefault(1 << (len(some) - 1).bit_length(), []).append(i)
         self.levels = max(self.by_block).bit_length()
         self.rows = [(some[:, None] * self.mul + self.add).min(axis=0) for some in self.sets]
-        # for every band and block size, the leading 16 bits of the templates' values: a cheap first test
-        self.seen = {b: np.zeros((bands, 1 << 16), bool) for b in self.by_block}
-        for b, some in self.by_block.items():
-            for i in some:
-                self.seen[b][np.arange(bands), (self.rows[i] >> np.uint64(48)).astype(np.int64)] = True
 
     def candidates(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(template, begin, end) of windows that share a band with a template; shingle positions."""
@@ -87,26 +83,19 @@ class Scanner:
             part = hashes[at : at + STEP + reach]  # a window never reaches further
             if not len(part):
                 return
-            found: dict[int, dict[int, list[np.ndarray]]] = {b: {} for b in self.by_block}
-            for band in range(self.bands):
-                least, size = part * self.mul[band] + self.add[band], 1
-                for _ in range(self.levels):
-                    if size in self.by_block:
-                        window = np.minimum(least[:-1], least[1:]) if len(least) > 1 else least
-                        hit = np.flatnonzero(self.seen[size][band][(window >> np.uint64(48)).astype(np.int64)])
-                        if len(hit):
-                            for i in self.by_block[size]:
-                                same = hit[window[hit] == self.rows[i][band]]
-                                if len(same):
-                                    found[size].setdefault(i, []).append(same)
-                    if len(least) % 2:
-                        least = np.append(least, np.uint64(2**64 - 1))
-                    least, size = np.minimum(least[::2], least[1::2]), 2 * size
-            for size, by in found.items():
-                for i, some in by.items():
-                    for w in np.unique(np.concatenate(some)).tolist():
-                        if w * size < STEP:
-                            yield i, at + w * size, min(n, at + (w + 2) * size)
+            found: set[tuple[int, int, int]] = set()
+            least, size = part[None, :] * self.mul[:, None] + self.add[:, None], 1
+            for _ in range(self.levels):
+                if size in self.by_block:
+                    window = np.minimum(least[:, :-1], least[:, 1:]) if least.shape[1] > 1 else least
+                    for i in self.by_block[size]:
+                        found.update((i, size, w) for w in np.flatnonzero((window == self.rows[i][:, None]).any(axis=0)).tolist())
+                if least.shape[1] % 2:
+                    least = np.concatenate([least, least[:, -1:]], axis=1)
+                least, size = np.minimum(least[:, ::2], least[:, 1::2]), 2 * size
+            for i, size, w in sorted(found):
+                if w * size < STEP:
+                    yield i, at + w * size, min(n, at + (w + 2) * size)
 
     def scan(self, text: str, least: float = CONTAINMENT) -> list[tuple[str, float, int, int]]:
         """(template, containment, first word, words) of the best window of each template found."""
