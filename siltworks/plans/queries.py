@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, identity
-from ..operators import measures, neardup, quality_gates, selection, statistics
+from ..operators import measures, neardup, quality_gates, selection, statistics, workflow
 from ..operators.components import connected_components
 from ..session import materialize, table
 
@@ -439,6 +439,38 @@ def controller_fold(spark, d):
     return fold(signs, "user_id", "event_id", "x", start=10.0, gain=10.0, target=0.6)
 
 
+@query("SELECT source, count(*) AS rows, count(*) FILTER (WHERE lang = 'de') AS lang_de, count(*) FILTER (WHERE lang = 'en') AS lang_en, count(*) FILTER (WHERE lang = 'es') AS lang_es, count(*) FILTER (WHERE lang = 'fr') AS lang_fr FROM documents GROUP BY ALL")
+def group_features(spark, d):
+    return selection.group_features(table(spark, d, "documents"), "source", {"lang": ["de", "en", "es", "fr"]})
+
+
+@query("WITH r AS (SELECT p_type, p_partkey, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY p_type) - 1 AS l FROM part WINDOW w AS (PARTITION BY p_type ORDER BY p_partkey)) SELECT p_type, p_partkey FROM r WHERE p IN (0, floor(l * 0.25::DOUBLE), floor(l * 0.5::DOUBLE), floor(l * 0.75::DOUBLE), l)")
+def rank_positions(spark, d):
+    return selection.at_ranks(table(spark, d, "part").select("p_type", "p_partkey"), "p_type", "p_partkey")
+
+
+@query("SELECT regexp_extract(p_name, '^([a-z]+)', 1) AS family, count(*) AS parts, count(DISTINCT p_brand) AS brands, round(avg(p_size), 6) AS mean_size, round(stddev_pop(p_retailprice), 4) AS spread FROM part GROUP BY ALL")
+def family_summary(spark, d):
+    family = F.regexp_extract("p_name", "^([a-z]+)", 1)
+    return table(spark, d, "part").groupBy(family.alias("family")).agg(F.count("*").alias("parts"), F.count_distinct("p_brand").alias("brands"), F.round(F.avg("p_size"), 6).alias("mean_size"), F.round(F.stddev_pop("p_retailprice"), 4).alias("spread"))
+
+
+@query("SELECT CASE WHEN c_custkey IS NULL THEN 'no_source' WHEN c_nationkey <> s_nationkey THEN 's_nationkey' END AS violation, s_suppkey::VARCHAR AS key FROM supplier LEFT JOIN customer ON s_suppkey = c_custkey WHERE c_custkey IS NULL OR c_nationkey <> s_nationkey")
+def provenance_mismatch(spark, d):
+    patches = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey")
+    sources = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("s_nationkey"))
+    return workflow.provenance(patches, sources, "id", ["s_nationkey"])
+
+
+@query("SELECT o_orderkey AS job FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 3) AND o_orderkey % 7 = 0")
+def job_eligibility(spark, d):
+    jobs = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("job"))
+    state = F.when(F.col("o_orderstatus") == "F", "complete").otherwise("pending")
+    test = table(spark, d, "orders").select(F.col("o_orderkey").alias("job"), F.lit("test").alias("split"), state.alias("state"))
+    val = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("job")).agg(F.count("*").alias("n")).where("n > 3").select("job", F.lit("val").alias("split"), F.lit("complete").alias("state"))
+    return workflow.eligible(jobs, test.unionByName(val), "test")
+
+
 @query()
 def greedy_match(spark, d):
     from ..operators.matching import greedy
