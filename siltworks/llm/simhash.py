@@ -246,10 +246,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, with their columns.
 
-    Rows that repeat the smallest id stay together with it only once.
+    Rows that repeat such an id with the same text stay only once; rows that
+    repeat it with another text stay too. Rows with a null id stay if a
+    component has no other id.
     """
     found = components(docs, id_col, text_col)
     stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__silt_keep"))
     kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__silt_keep")), "left_semi")
     repeated = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("__silt_n")).where("__silt_n > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
