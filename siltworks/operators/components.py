@@ -50,6 +50,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         more = salted_lookup(left, "u", hooks.where("n > 1").select("u", "p"), "v", "inner").where("v > p").select("v", "p")
         parents = hooks.select("u", "p") if parents is None else parents.unionByName(hooks.select("u", "p"))
         parents = _flatten(materialize(parents))
+        if not hooks.where("n > 1").limit(1).count():  # every vertex had one smaller neighbour: no edge is left
+            break
         root = parents.select(F.col("u").alias("x"), F.col("p").alias("r"))
         for end in ("v", "p"):
             found = salted_lookup(more.withColumnRenamed(end, "x"), "x", root, "p" if end == "v" else "v", "left")
