@@ -86,3 +86,11 @@ def markdown(df: DataFrame, title: str, limit: int = 200) -> str:
     rows = df.limit(limit).collect()
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]) + "\n"
+
+
+def exchange_xml(images: DataFrame, path: str) -> None:
+    """An annotation exchange file from (name, width, height, boxes), boxes being structs of label and shares x1, y1, x2, y2."""
+    side = lambda v, size: F.round(v * F.col(size), 6)
+    box = F.transform("boxes", lambda b: F.struct(b["label"].alias("_label"), side(b["x1"], "width").alias("_xtl"), side(b["y1"], "height").alias("_ytl"), side(b["x2"], "width").alias("_xbr"), side(b["y2"], "height").alias("_ybr")))
+    rows = images.select(F.col("name").alias("_id"), F.col("name").alias("_name"), F.col("width").alias("_width"), F.col("height").alias("_height"), box.alias("box"))
+    rows.write.mode("errorifexists").format("xml").option("rootTag", "annotations").option("rowTag", "image").save(path)
