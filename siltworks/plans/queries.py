@@ -124,32 +124,32 @@ def dup_canonical_conflict(spark, d):
     return rows.join(g, "h").select("doc_id", status.alias("status"), F.when((F.col("kinds") <= 1) & (F.col("doc_id") != F.col("lead")), F.col("lead")).alias("duplicate_of"))
 
 
-PAIRS = f"WITH b AS ({BITS}) SELECT x.vec_id AS a, y.vec_id AS b, bit_count(xor(x.bits, y.bits))::INTEGER AS distance FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.bits, y.bits)) <= 16"
+PAIRS = f"WITH b AS ({BITS}) SELECT x.vec_id AS a, y.vec_id AS b, bit_count(xor(x.bits, y.bits))::INTEGER AS distance FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.bits, y.bits)) <= 20"
 
 
 @query(PAIRS)
 def hamming_pairs(spark, d):
     bits = hashes(spark, d)
-    return neardup.hamming_join(bits, bits, "vec_id", "bits", 16, ordered=True)
+    return neardup.hamming_join(bits, bits, "vec_id", "bits", 20, ordered=True)
 
 
-@query(f"WITH b AS ({BITS}) SELECT 'low' AS side, count(*) AS n FROM b x WHERE label < 5 AND EXISTS (FROM b y WHERE y.label >= 5 AND bit_count(xor(x.bits, y.bits)) <= 16) UNION ALL SELECT 'high', count(*) FROM b x WHERE label >= 5 AND EXISTS (FROM b y WHERE y.label < 5 AND bit_count(xor(x.bits, y.bits)) <= 16)")
+@query(f"WITH b AS ({BITS}) SELECT 'low' AS side, count(*) AS n FROM b x WHERE label < 5 AND EXISTS (FROM b y WHERE y.label >= 5 AND bit_count(xor(x.bits, y.bits)) <= 20) UNION ALL SELECT 'high', count(*) FROM b x WHERE label >= 5 AND EXISTS (FROM b y WHERE y.label < 5 AND bit_count(xor(x.bits, y.bits)) <= 20)")
 def hamming_semijoin(spark, d):
     bits = hashes(spark, d)
     low, high = bits.where("label < 5"), bits.where("label >= 5")
-    count = lambda a, b, name: neardup.within_reach(a, b, "vec_id", "bits", 16).agg(F.lit(name).alias("side"), F.count("*").alias("n"))
+    count = lambda a, b, name: neardup.within_reach(a, b, "vec_id", "bits", 20).agg(F.lit(name).alias("side"), F.count("*").alias("n"))
     return count(low, high, "low").unionByName(count(high, low, "high"))
 
 
 @query(f"SELECT b AS vec_id, min(a) AS near FROM ({PAIRS}) GROUP BY b")
 def near_dup_first_match(spark, d):
-    return neardup.first_earlier(hashes(spark, d), "vec_id", "bits", 16)
+    return neardup.first_earlier(hashes(spark, d), "vec_id", "bits", 20)
 
 
 def joined_groups(spark, d) -> DataFrame:
     """(vec_id, component) under hash links and a shared bucket of label and id."""
     bits = hashes(spark, d).withColumn("bucket", F.when(F.col("vec_id") % 50 == F.col("label"), F.col("label")))
-    edges = neardup.hamming_join(bits, bits, "vec_id", "bits", 16, ordered=True).select("a", "b").unionByName(neardup.key_edges(bits, "vec_id", ["bucket"]))
+    edges = neardup.hamming_join(bits, bits, "vec_id", "bits", 20, ordered=True).select("a", "b").unionByName(neardup.key_edges(bits, "vec_id", ["bucket"]))
     found = connected_components(edges)
     return bits.join(found.withColumnRenamed("vertex", "vec_id"), "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("component"))
 
@@ -157,7 +157,7 @@ def joined_groups(spark, d) -> DataFrame:
 COMPONENTS = f"""
     WITH RECURSIVE b AS MATERIALIZED ({BITS}),
     p AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM b x JOIN b y ON x.vec_id <> y.vec_id
-        WHERE bit_count(xor(x.bits, y.bits)) <= 16 OR (x.label = y.label AND x.vec_id % 50 = x.label AND y.vec_id % 50 = y.label)),
+        WHERE bit_count(xor(x.bits, y.bits)) <= 20 OR (x.label = y.label AND x.vec_id % 50 = x.label AND y.vec_id % 50 = y.label)),
     r AS (SELECT vec_id, vec_id AS seen FROM b UNION SELECT r.vec_id, p.b FROM r JOIN p ON r.seen = p.a),
     c AS (SELECT vec_id, min(seen) AS component FROM r GROUP BY vec_id)
 """
