@@ -462,9 +462,9 @@ def provenance_mismatch(spark, d):
     return workflow.provenance(patches, sources, "id", ["s_nationkey"])
 
 
-@query("SELECT o_orderkey AS job FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 3) AND o_orderkey % 7 = 0")
+@query("SELECT o_orderkey AS job FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 3)")
 def job_eligibility(spark, d):
-    jobs = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("job"))
+    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job"))
     state = F.when(F.col("o_orderstatus") == "F", "complete").otherwise("pending")
     test = table(spark, d, "orders").select(F.col("o_orderkey").alias("job"), F.lit("test").alias("split"), state.alias("state"))
     val = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("job")).agg(F.count("*").alias("n")).where("n > 3").select("job", F.lit("val").alias("split"), F.lit("complete").alias("state"))

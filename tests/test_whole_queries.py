@@ -51,3 +51,12 @@ def test_near_duplicates_reach_20_bits(spark):
     for c in least.values():
         sizes[c] = sizes.get(c, 0) + 1
     assert [(r.component, r.members) for r in run("cluster_stats")] == sorted(((c, n) for c, n in sizes.items() if n > 1), key=lambda x: (-x[1], x[0]))[:5]
+
+
+def test_every_order_is_a_job(spark):
+    lines = {}
+    for (key,) in rows_of("lineitem", "l_orderkey"):
+        lines[key] = lines.get(key, 0) + 1
+    want = sorted(key for key, status in rows_of("orders", "o_orderkey, o_orderstatus") if status != "F" and lines.get(key, 0) > 3)
+    assert len(want) == 5715
+    assert sorted(r.job for r in queries.QUERIES["job_eligibility"](spark, SF).collect()) == want
