@@ -66,3 +66,29 @@ def test_edge_cases(spark):
     assert len(got) == 4 and all(r.score == 0.5 and r.predicted == 1 for r in got)
     assert [r.held_out for r in got if r.doc_id is None] == [False]
     assert quality.score(docs.limit(0), net).collect() == []
+
+
+def test_a_cue_anywhere_in_a_long_text_teaches(spark, monkeypatch):
+    monkeypatch.setattr(quality, "STEPS", 120)
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("abcdefgh ") for _ in range(13_000))
+        at = 128 * (100 * 5 // 23 + 3) + rng.randrange(20)  # bytes that 24 evenly spaced chunks leave out
+        rows.append((i, text[:at] + "#" * 9 + text[at + 9 :] if i % 2 else text, int(i % 2 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    net = quality.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    held = [(net.score(t.encode()) >= 0.5) == y for i, t, y in rows if quality.fold_of(i) == 0]
+    assert len(held) > 5 and sum(held) / len(held) > 0.9
+
+
+def test_training_pools_as_scoring_does():
+    rng = np.random.default_rng(8)
+    net = quality.Network(rng.normal(size=(quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), np.zeros(quality.FILTERS, np.float32), rng.normal(size=2 * quality.FILTERS), 0.1)
+    for n in (1, 128, 129, 300, 60_000):
+        text = bytes(rng.integers(1, 256, n, dtype=np.uint8))
+        x = quality.padded(text)
+        best, at = quality.peaks(net.table, x, n)
+        assert np.array_equal(np.maximum(best + net.bias, 0), net.pooled(text)) and at.max() < n
+        direct = sum(net.table[k][x[at + k], np.arange(quality.FILTERS)] for k in range(quality.WIDTH))
+        assert np.allclose(direct, best, atol=1e-4)
