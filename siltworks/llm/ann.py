@@ -20,8 +20,8 @@ result from below, so that a leaf returns only what can be among the first
 Defined cases: vectors that are null, zero, of another length than most, or
 hold null or non-finite components, and rows with a null id take no part;
 fewer than ``k`` candidates are all returned; equal scores are ordered by id;
-rows that repeat one id and vector count once, and never as their own
-neighbour; an empty table gives an empty result; other columns are ignored.
+rows that repeat one id and vector count once, those of one id with several
+vectors by the best of them, and never as their own neighbour; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 TREES, LEAF, SAMPLE, LEAST_IN_LEAF, CHUNK = 4, 1024, 4096, 16, 32_768
 K, RECALL, CALIBRATION, SEED = 20, 0.96, 128, 17
 SLACK = 1e-9  # block products may differ from the exact ones by less
@@ -42,13 +44,14 @@ OUT = "query_id long, vec_id long, score double"
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v): the rows that take part."""
+    """(id, v): the rows that take part, each id and vector once."""
     clean = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     # in SQL order NaN is above infinity, so the comparison drops both
     finite = F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
     clean = clean.where(finite & F.exists("v", lambda x: x != 0))
     sizes = clean.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return clean.where(F.size("v") == (sizes[0]["d"] if sizes else 0))
+    # before the sample, bounds and leaves, so that repeats take no place of a neighbour; partial sums take in a hot row
+    return clean.where(F.size("v") == (sizes[0]["d"] if sizes else 0)).distinct()
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -100,22 +103,31 @@ class Forest:
         return out
 
 
+def by_id(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Each query's largest value of every id: (queries, distinct ids)."""
+    order = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0]) if len(ids) else order
+    return near if len(starts) == len(ids) else np.maximum.reduceat(near[:, order], starts, axis=1)
+
+
 def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, least: np.ndarray | None = None) -> pd.DataFrame:
-    """Each query's k best rows by exact product, its own id aside; ties to the smaller id."""
+    """Each query's k best ids by exact product, its own aside and each by its best row; ties to the smaller id."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(q), 256):
         some = q[at : at + 256]
         near = some @ x.T
         near[query_ids[at : at + 256][:, None] == ids[None, :]] = -np.inf
         floor = np.full(len(some), -np.inf) if least is None else least[at : at + 256]
-        if len(ids) > k:
-            floor = np.maximum(floor, np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k])
+        each = by_id(near, ids)
+        if each.shape[1] > k:
+            floor = np.maximum(floor, np.partition(each, -k, axis=1)[:, -k])
         for i in range(len(some)):
             picks = np.flatnonzero((near[i] >= floor[i] - SLACK) & (near[i] > -np.inf))
             # a sum along each row: equal vectors give equal scores wherever they lie
             score = (x[picks] * some[i]).sum(axis=1)
             pick_ids = ids[picks]
-            first = np.lexsort((pick_ids, -score))[:k]
+            ranked = np.lexsort((pick_ids, -score))
+            first = ranked[np.sort(np.unique(pick_ids[ranked], return_index=True)[1])[:k]]
             found.append((np.full(len(first), query_ids[at + i]), pick_ids[first], score[first]))
     if not found:
         return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
@@ -155,7 +167,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES,
     is not its own neighbour.
     """
     spark = rows.sparkSession
-    rows, queries = usable(rows, id_col, vec_col), usable(queries, id_col, vec_col)
+    rows, queries = materialize(usable(rows, id_col, vec_col)), materialize(usable(queries, id_col, vec_col))
     n = rows.count()
     sample_ids, sample = _by_hash(rows, SAMPLE)
     asked, asked_v = _by_hash(queries, CALIBRATION)
@@ -197,7 +209,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES,
         for ids, q in slices(batches):
             near = q @ sample.T
             near[ids[:, None] == sample_ids[None, :]] = -np.inf
-            least = np.partition(near, -k, axis=1)[:, -k] if len(sample_ids) > k else np.full(len(ids), -np.inf)
+            each = by_id(near, sample_ids)
+            least = np.partition(each, -k, axis=1)[:, -k] if each.shape[1] > k else np.full(len(ids), -np.inf)
             where = [(t, leaf, i) for i, one in enumerate(q) for t, leaf in forest.order(one, visits)]
             t, leaf, who = (np.array(c, np.int64) for c in zip(*where))
             yield pack(leaf, t, ids, q, who, least)

@@ -63,3 +63,29 @@ def test_edge_cases(spark):
     search = lambda f: sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(f, f.where("vec_id % 20 = 0"), id_col="vec_id").collect())
     assert search(frame) == [(0, 1, 20, 5.0), (0, 2, 6, 0.0), (20, 1, 0, 5.0), (20, 2, 6, 0.0)]
     assert search(frame.limit(0)) == []
+
+
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(i, (x[i] * 3).tolist()) for i in (900 - 1, 7)]  # two vectors of one id
+    frame = spark.createDataFrame(rows + [rows[i] for i in range(0, 900, 9) for _ in range(40)], "id long, v array<double>").repartition(5)
+    run = lambda f: sorted(tuple(r) for r in ann.search(f, f.where("id % 20 = 0"), leaf=100).collect())
+    got, once = run(frame), run(frame.distinct())
+    assert got == once
+    assert {q: sum(r[0] == q for r in got) for q in range(0, 900, 20)} == dict.fromkeys(range(0, 900, 20), ann.K)
+
+
+def test_vectors_of_one_id_take_one_place():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(400, 6)), rng.normal(size=(3, 6))
+    ids = np.r_[np.repeat(7, 150), np.arange(100, 350)]
+    found = ann.best(np.array([1, 7, 120]), q, ids, x, 20)
+    for who, one in zip((1, 7, 120), q):
+        top = {}
+        for i, s in zip(ids, (x * one).sum(axis=1)):
+            if i != who:
+                top[i] = max(s, top.get(i, -INF))
+        want = sorted(top, key=lambda i: (-top[i], i))[:20]
+        assert found[found.query_id == who].vec_id.tolist() == want
