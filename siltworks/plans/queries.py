@@ -299,14 +299,14 @@ def average_precision(spark, d):
 
 @query("""
     WITH g AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS hit, count(*) AS n FROM events GROUP BY 1),
-    s AS (SELECT user_id, hit, n, r, (('0x' || md5('7:' || r || ':' || user_id)[1:8])::BIGINT) / 4294967296.0::DOUBLE AS u FROM g, range(0, 50) t(r)),
+    s AS (SELECT user_id, hit, n, r, (('0x' || md5('7:' || r || ':' || user_id)[1:8])::BIGINT) / 4294967296.0::DOUBLE AS u FROM g, range(0, 2000) t(r)),
     k AS (SELECT r, hit, n, (u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238462)::INT + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT + (u >= 0.999916758850712)::INT AS times FROM s),
     b AS (SELECT r, sum(hit * times) / sum(n * times) AS share FROM k GROUP BY r)
     SELECT count(*) AS repetitions, round(quantile_cont(share, .025), 9) AS low, round(quantile_cont(share, .975), 9) AS high FROM b
 """)
 def bootstrap_ci(spark, d):
     g = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("hit"), F.count("*").alias("n"))
-    drawn = statistics.draws(g, "user_id", 50, "7")
+    drawn = statistics.draws(g, "user_id", 2000, "7")
     b = drawn.groupBy("repetition").agg((F.sum(F.col("hit") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("share"))
     p = F.percentile("share", [0.025, 0.975])
     return b.agg(F.count("*").alias("repetitions"), F.round(p[0], 9).alias("low"), F.round(p[1], 9).alias("high"))

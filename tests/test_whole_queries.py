@@ -1,5 +1,7 @@
 """Registered curation queries against results computed without their SQL."""
 
+import hashlib
+
 import duckdb
 import numpy as np
 
@@ -60,3 +62,19 @@ def test_every_order_is_a_job(spark):
     want = sorted(key for key, status in rows_of("orders", "o_orderkey, o_orderstatus") if status != "F" and lines.get(key, 0) > 3)
     assert len(want) == 5715
     assert sorted(r.job for r in queries.QUERIES["job_eligibility"](spark, SF).collect()) == want
+
+
+def test_interval_rests_on_2000_resamples(spark):
+    users = {}
+    for user, kind in duckdb.sql("SELECT user_id, event_type FROM '/root/testdata/sf0.001/events.parquet'").fetchall():
+        hit, n = users.get(user, (0, 0))
+        users[user] = (hit + (kind == "purchase"), n + 1)
+    steps = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720)])
+    counts = np.array(list(users.values()))
+    shares = []
+    for r in range(2000):
+        u = np.array([int(hashlib.md5(f"7:{r}:{user}".encode()).hexdigest()[:8], 16) / 2**32 for user in users])
+        hits, rows = np.searchsorted(steps, u, side="right") @ counts
+        shares.append(hits / rows)
+    got = queries.QUERIES["bootstrap_ci"](spark, "/root/testdata/sf0.001").first()
+    assert got.repetitions == 2000 and np.allclose((got.low, got.high), np.quantile(shares, (0.025, 0.975)), atol=1e-8)
