@@ -62,3 +62,11 @@ def test_edge_cases(spark):
     got = html_text.extract(pages).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, 0, 5 * 30000 - 1]
     assert html_text.extract(pages.limit(0)).collect() == []
+
+
+def test_only_scripts_styles_and_templates_are_hidden():
+    for name in ("math", "svg", "object", "iframe", "noscript"):
+        for end in (f"</{name}>", ""):
+            page = f"<body><p>before it</p><{name}>inside it{end}<p>after it</p></body>"
+            text = " ".join(str(b) for b in html_text.blocks(page))
+            assert all(x in text for x in ("before it", "inside it", "after it"))
