@@ -1,28 +1,31 @@
 """Token-id files: adaptive context mixing and range coding in independent blocks.
 
-Model of one block, reset at its start: the id that last followed the two ids
-before (order 2) and the one before (order 1) are each predicted with a
-probability learned for that order and the number of its slot's hits in a row;
-the rest of the range goes to an adaptive order-0 distribution of ids, by the
-number of their bits and evenly inside. An id owns the parts of all orders that
-predict it, so their probabilities mix, and one arithmetic-coding step codes it
-(a second one its low bits).
-
-All blocks of a file are coded in step, one numpy lane per block.
+The coder of a block, with its model of orders 0 to 2, is in ``id_coder``; every
+block starts from an empty model and holds at most ``id_coder.BLOCK`` ids.
 
 File: magic, counts, an index of (document id, tokens) and, for every block,
-its byte length and the CRC-32 of its ids, then the blocks. A file ends with a
-document, after ``FILE_IDS`` ids or more. Files are rows of a Parquet table, in
-the order of (part, file), so they can lie in any store that Spark writes.
-
-Ids must be under 65535. Defined cases: null text is empty text and has the end
-id alone; null document ids come first and are read back as null; rows that
+its byte length and the CRC-32 of its ids, then the blocks. A file ends with
+the document before the one that would overfill its block; a document of more
+ids than a block has a file of several blocks. Files are rows of a Parquet
+table, in the order of (part, file), each with the number of its part's ids
+before it, so they can lie in any store that Spark writes.
+
+The tokenizer is the tokenizers library. Where the tokenizer file has the text
+rules that ``RULES`` states, white space is dropped and no rule looks across
+it, so chunks between white space are encoded once and kept. Any other
+tokenizer file gets whole texts, one by one.
+
+Ids must be under 2 ** 20. Defined cases: null text is empty text and has the
+end id alone; null document ids come first and are read back as null; rows that
 repeat an id are written in the order of their texts; an empty table gives no
 file; a damaged block is an error; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,241 +34,152 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import id_coder
 from .bpe import Bpe, default_path
 from .common import delete_path, materialize, shared_folder, text_of
 
-MAGIC, END = b"SILT1\0\0\0", 1
-BLOCK, FILE_IDS = 2048, 1 << 21
-BITS, TOTAL = 15, 1 << 15
-SLOTS1, SLOTS2 = 2048, 4096
-CLASSES = 17
+MAGIC, END = b"SILT2\0\0\0", 1
 NULL_ID = -(2**63)
-#: Shares of the order-0 classes run to FULL; each class keeps FLOOR at least, and moves by 2 ** -RATE.
-FULL, FLOOR, RATE = TOTAL, 64, 5
-TARGETS = (np.arange(CLASSES + 1)[None, :] * FLOOR + (np.arange(CLASSES + 1)[None, :] > np.arange(CLASSES)[:, None]) * (FULL - CLASSES * FLOOR)).astype(np.int32)
-LENGTH = np.array([x.bit_length() for x in range(1 << 16)], np.int64)
-MASK = np.int64(0xFFFFFFFF)
-
-
-class Model:
-    """The adaptive state of all lanes."""
-
-    def __init__(self, lanes: int) -> None:
-        self.rows = np.arange(lanes)
-        self.guess = [np.full(lanes * s, 0xFFFF, np.uint16) for s in (SLOTS1, SLOTS2)]
-        self.hits = [np.zeros(lanes * s, np.uint8) for s in (SLOTS1, SLOTS2)]
-        self.chance = [np.tile(np.array(c, np.int64), (lanes, 1)).reshape(-1) for c in ((6000, 20000, 36000, 48000), (12000, 36000, 50000, 58000))]
-        self.share = np.tile((np.arange(CLASSES + 1) * FULL // CLASSES).astype(np.int32), (lanes, 1))
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self) -> None:
-        a, b = self.last, self.before
-        self.slot = [self.rows * SLOTS1 + (a * 40503 >> 4 & SLOTS1 - 1), self.rows * SLOTS2 + ((a * 40503 ^ b * 30011) >> 3 & SLOTS2 - 1)]
-        self.state = [self.rows * 4 + self.hits[i][self.slot[i]] for i in (0, 1)]
-        self.first, self.second = (self.guess[i][self.slot[i]].astype(np.int64) for i in (0, 1))
-        self.f2 = (self.chance[1][self.state[1]] * (TOTAL * 3 // 4) >> 16) + 1
-        self.f1 = ((TOTAL * 15 // 16 - self.f2) * self.chance[0][self.state[0]] >> 16) + 1
-        self.head = self.f2 + self.f1
-
-    def bounds(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the class of ids of ``size`` bits begins and ends."""
-        at = self.rows * (CLASSES + 1) + size
-        flat, rest = self.share.reshape(-1), TOTAL - self.head
-        return self.head + (rest * flat[at] >> BITS), self.head + (rest * flat[at + 1] >> BITS)
-
-    def class_at(self, seen: np.ndarray) -> np.ndarray:
-        """The class in whose range ``seen`` lies; for smaller values, class 0."""
-        ends = (TOTAL - self.head).astype(np.int32)[:, None] * self.share >> BITS
-        return np.maximum((ends <= (seen - self.head).astype(np.int32)[:, None]).sum(axis=1) - 1, 0)
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(begin, width) of the ids, and the (number, value) of low bits that follow."""
-        by2, by1 = ids == self.second, ids == self.first
-        size = LENGTH[ids]
-        low, high = self.bounds(size)
-        begin = np.where(by2, 0, np.where(by1, self.f2, low))
-        width = np.where(by2, np.where(by1, self.head, self.f2), np.where(by1, self.f1, high - low))
-        bits = np.where(by2 | by1, 0, np.maximum(size - 1, 0))
-        return begin, width, bits, ids & (np.int64(1) << bits) - 1
-
-    def update(self, ids: np.ndarray) -> None:
-        for i, guess in ((0, self.first), (1, self.second)):
-            right = guess == ids
-            chance = self.chance[i][self.state[i]]
-            self.chance[i][self.state[i]] = chance + np.where(right, 65000 - chance, 500 - chance) // 16
-            self.hits[i][self.slot[i]] = np.where(right, np.minimum(self.hits[i][self.slot[i]] + 1, 3), 0)
-            self.guess[i][self.slot[i]] = ids
-        # every class keeps FLOOR of the shares, so that none is ever without width
-        size = LENGTH[ids]
-        self.share += (TARGETS[size] - self.share) >> RATE
-        self.before, self.last = self.last, ids
-
-
-def compress(blocks: np.ndarray) -> list[bytes]:
-    """(lanes, n) ids to one byte string per lane."""
-    lanes, n = blocks.shape
-    model = Model(lanes)
-    out = np.zeros((lanes, n * 5 + 8), np.int16)
-    flat, base = out.reshape(-1), model.rows * out.shape[1]
-    low, width = np.zeros(lanes, np.int64), np.full(lanes, MASK)
-    at = base + 1  # the first digit only takes a carry
-    columns = np.ascontiguousarray(blocks.T).astype(np.int64)
-
-    def put(low, width, at, begin, size, bits):
-        step = width >> bits
-        low = low + step * begin
-        width = step * size
-        over = low > MASK
-        flat[at[over] - 1] += 1
-        low &= MASK
-        while True:
-            small = np.flatnonzero(width < 1 << 24)
-            if not len(small):
-                return low, width, at
-            flat[at[small]] = low[small] >> 24
-            at[small] += 1
-            low[small] = low[small] << 8 & MASK
-            width[small] <<= 8
-
-    for ids in columns:
-        model.predict()
-        begin, size, bits, value = model.interval(ids)
-        low, width, at = put(low, width, at, begin, size, BITS)
-        low, width, at = put(low, width, at, value, 1, bits)
-        model.update(ids)
-    for _ in range(4):
-        flat[at] = low >> 24
-        low = low << 8 & MASK
-        at += 1
-    ends = at - base
-    for j in range(int(ends.max()) - 1, 0, -1):
-        carry = out[:, j] >> 8
-        if carry.any():
-            out[:, j] &= 255
-            out[:, j - 1] += carry
-    return [row[1:end].astype(np.uint8).tobytes() for row, end in zip(out, ends.tolist())]
-
-
-def expand(parts: list[bytes], n: int) -> np.ndarray:
-    """The (lanes, n) ids that compress() was given."""
-    lanes = len(parts)
-    model = Model(lanes)
-    span = max(map(len, parts)) + 8
-    data = np.frombuffer(b"".join(p.ljust(span, b"\0") for p in parts), np.uint8)
-    at = model.rows * span
-    code = np.zeros(lanes, np.int64)
-    for _ in range(4):
-        code = code << 8 | data[at]
-        at = at + 1
-    width = np.full(lanes, MASK)
-    out = np.empty((n, lanes), np.int64)
-    limit = len(data) - 1
-
-    def fill(code, width, at):
-        while True:
-            small = np.flatnonzero(width < 1 << 24)
-            if not len(small):
-                return code, width, at
-            code[small] = code[small] << 8 | data[np.minimum(at[small], limit)]
-            at[small] += 1
-            width[small] <<= 8
-
-    for i in range(n):
-        model.predict()
-        step = width >> BITS
-        seen = np.minimum(code // step, TOTAL - 1)
-        size = model.class_at(seen)
-        by2, by1 = seen < model.f2, seen < model.head
-        guess = np.where(by2, model.second, np.where(by1, model.first, (np.int64(1) << size) >> 1))
-        same = by1 & (model.first == model.second)
-        low, high = model.bounds(size)
-        begin = np.where(by2 | same, 0, np.where(by1, model.f2, low))
-        wide = np.where(same, model.head, np.where(by2, model.f2, np.where(by1, model.f1, high - low)))
-        code = code - step * begin
-        width = step * wide
-        code, width, at = fill(code, width, at)
-        bits = np.where(by1, 0, np.maximum(size - 1, 0))
-        step = width >> bits
-        value = np.minimum(code // step, (np.int64(1) << bits) - 1)
-        code = code - step * value
-        code, width, at = fill(code, step, at)
-        ids = guess + value
-        out[i] = ids
-        model.update(ids)
-    return out.T
+#: The text rules under which chunks can be encoded apart.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+#: Words of lower-case letters that no version of Unicode disputes.
+WORD = re.compile("[a-z\u00E0-\u00F6\u00F8-\u00FF]+")
+#: A word and the signs after it; no apostrophe, which may open a contraction.
+WORD_AND_SIGNS = re.compile("([a-z\u00E0-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\\[-`{-~]+)")
+#: A comma or full stop at a chunk's end that does not follow a letter or digit, so that it belongs to a run of signs.
+IN_RUN = re.compile("[^0-9a-z\u00E0-\u00F6\u00F8-\u00FF][,.](?: |$)")
 
 
 def write_file(keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
     """keys, counts: id and number of tokens of each document; ids: all tokens in order."""
-    if len(ids) and int(ids.max()) >= 0xFFFF:
-        raise ValueError("ids of 65535 and more have no place in this format")
-    n = -(-len(ids) // BLOCK)
-    blocks = np.zeros((n, BLOCK), np.int64)
-    blocks.reshape(-1)[: len(ids)] = ids
-    parts = compress(blocks) if n else []
-    sums = np.array([zlib.crc32(b.astype("<u2").tobytes()) for b in blocks], "<u4")
-    sizes = np.array([len(p) for p in parts], "<u4")
-    index = zlib.compress(keys.astype("<i8").tobytes() + counts.astype("<i8").tobytes())
-    head = np.array([len(keys), len(ids), n, len(index), zlib.crc32(index)], "<i8").tobytes()
-    return MAGIC + head + index + sizes.tobytes() + sums.tobytes() + b"".join(parts)
+    n = -(-len(ids) // id_coder.BLOCK)
+    blocks = np.array_split(ids, n) if n else []
+    parts = [id_coder.compress(b) for b in blocks]
+    table = np.array([[len(b), len(p), zlib.crc32(b.astype("<u4").tobytes())] for b, p in zip(blocks, parts)], "<i8")
+    index = zlib.compress(keys.astype("<i8").tobytes() + counts.astype("<i8").tobytes() + table.tobytes())
+    head = np.array([len(keys), n, len(index), zlib.crc32(index)], "<i8").tobytes()
+    return MAGIC + head + index + b"".join(parts)
 
 
 def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, counts, ids) of a file; a block or index that fails its checksum is an error."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
-    docs, total, n, length, check = np.frombuffer(data, "<i8", 5, 8).tolist()
-    at = 48
-    index = data[at : at + length]
-    if zlib.crc32(index) != check:
+    docs, n, length, check = np.frombuffer(data, "<i8", 4, 8).tolist()
+    at = 40 + length
+    if zlib.crc32(data[40:at]) != check:
         raise ValueError("the index is damaged")
-    table = np.frombuffer(zlib.decompress(index), "<i8")
-    at += length
-    sizes, sums = np.frombuffer(data, "<u4", n, at), np.frombuffer(data, "<u4", n, at + 4 * n)
-    at += 8 * n
-    ends = at + np.cumsum(sizes.astype(np.int64))
-    parts = [data[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist())]
-    blocks = expand(parts, BLOCK) if n else np.empty((0, BLOCK), np.int64)
-    for i, block in enumerate(blocks):
-        if zlib.crc32(block.astype("<u2").tobytes()) != sums[i]:
+    index = np.frombuffer(zlib.decompress(data[40:at]), "<i8")
+    ids = []
+    for i, (many, size, check) in enumerate(index[2 * docs :].reshape(n, 3).tolist()):
+        try:
+            found = id_coder.expand(data[at : at + size], many)
+        except (IndexError, ValueError) as error:  # a damaged model size or word count
+            raise ValueError(f"block {i} is damaged") from error
+        if zlib.crc32(found.astype("<u4").tobytes()) != check:
             raise ValueError(f"block {i} is damaged")
-    return table[:docs], table[docs:], blocks.reshape(-1)[:total]
-
-
-_encoders: dict[str, object] = {}
+        ids.append(found)
+        at += size
+    return index[:docs], index[docs : 2 * docs], np.concatenate(ids) if ids else np.empty(0, np.int64)
 
 
 class Library:
-    """The tokenizers library behind a cache of white-space-free chunks."""
+    """The tokenizers library behind a cache of chunks."""
 
-    def __init__(self, config: str, limit: int = 800_000) -> None:
+    def __init__(self, config: str, limit: int = 1_000_000) -> None:
+        # a worker has one core; threads would only cost
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.limit = Tokenizer.from_str(config), {}, limit
+        self.tokenizer, self.limit = Tokenizer.from_str(config), limit
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.cache: dict[str, bytes] = {}
+        data = json.loads(config)
+        first, second = ((data.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}])[:2]
+        split = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and first.get("pattern") == {"Regex": RULES["split"]}
+        level = second.get("type") == "ByteLevel" and not second.get("add_prefix_space") and not second.get("use_regex")
+        suffix = data["model"].get("end_of_word_suffix")
+        # added tokens are looked for in the raw text: none may hold white space or lie in what is changed here
+        self.added = [t["content"] for t in data.get("added_tokens") or []]
+        apart = all(t.startswith("<|") and not re.search(r"\s", t) for t in self.added) and not any(t.get("lstrip") or t.get("rstrip") for t in data.get("added_tokens") or [])
+        self.by_chunk = bool(split and level and suffix and apart and data["model"]["type"] == "BPE" and data["normalizer"] == RULES["normalizer"] and not data.get("post_processor"))
+        if self.by_chunk:
+            self.ends = np.zeros(max(data["model"]["vocab"].values()) + 1, bool)
+            self.ends[[i for piece, i in data["model"]["vocab"].items() if piece.endswith(suffix)]] = True
+
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for at in range(0, len(texts), 4096):
+            for found in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False):
+                yield np.array(found.ids, "<u4")
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        """Pieces of the text whose ids are those of the text when joined.
+
+        Within Latin-1 the lower case of a text is that of its letters, and its
+        composition changes nothing; there, a comma or stop after a word is cut off.
+        """
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return Bpe.chunks(text)
+        if "<|" in text:
+            return Bpe.chunks(text)
+        low = text.lower()
+        if not IN_RUN.search(low):
+            low = low.replace(", ", " , ").replace(". ", " . ")
+        return Bpe.chunks(low)
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode chunks that the cache lacks."""
+        words, rest, signed = set(), set(), []
+        word, word_and_signs = WORD.fullmatch, WORD_AND_SIGNS.fullmatch
+        for chunk in new:
+            if word(chunk):
+                words.add(chunk)
+            elif found := word_and_signs(chunk):
+                head, tail = found.groups()
+                signed.append((chunk, head, tail))
+                words.add(head)
+                rest.add(tail)
+            else:
+                rest.add(chunk)
+        # words in a row, a few hundred a text: each ends with the one piece of it that ends a word
+        listed = list(words)
+        rows = [listed[at : at + 512] for at in range(0, len(listed), 512)]
+        for row, ids in zip(rows, self._ids([" ".join(row) for row in rows])):
+            code = ids.tobytes()
+            ends = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
+            if len(ends) != len(row):
+                raise ValueError("the tokenizer's words do not end with its suffix")
+            self.cache.update(zip(row, [code[a:b] for a, b in zip([0, *ends], ends)]))
+        listed = list(rest)
+        self.cache.update(zip(listed, (ids.tobytes() for ids in self._ids(listed))))
+        self.cache.update([(chunk, self.cache[head] + self.cache[tail]) for chunk, head, tail in signed])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 16-bit integers.
-
-        The tokenizer drops white space and none of its rules looks across it,
-        so a text's ids are those of its chunks.
-        """
-        split = [Bpe.chunks(t) for t in texts]
-        lacking = set().union(*split).difference(self.cache)
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_chunk:
+            return [ids.tobytes() for ids in self._ids(texts)]
+        split = list(map(self._chunks, texts))
+        seen = set().union(*split)
+        lacking = seen.difference(self.cache)
         if len(self.cache) + len(lacking) > self.limit:
             self.cache.clear()
-            lacking = set().union(*split)
-        new = list(lacking)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[chunk] = np.array(found.ids, "<u2").tobytes()
+            lacking = seen
+        self._learn(lacking)
         return [b"".join(map(self.cache.__getitem__, chunks)) for chunks in split]
 
 
+_encoders: dict[int, Library] = {}
+
+
 def library(config: str) -> Library:
-    key = str(zlib.crc32(config.encode()))
+    key = zlib.crc32(config.encode())
     if key not in _encoders:
         _encoders[key] = Library(config)
     return _encoders[key]
@@ -277,65 +191,79 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text").withColumn("part", F.spark_partition_id())
-    tail = np.array([end], "<u2").tobytes()
+    tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library(shared.value)
         keys: list[int] = []
         codes: list[bytes] = []
-        size, files, part = 0, 0, None
+        size, ahead, files, part = 0, 0, 0, None
 
         def flush() -> pa.RecordBatch:
-            counts = np.array([len(c) // 2 for c in codes], np.int64)
-            data = write_file(np.array(keys, np.int64), counts, np.frombuffer(b"".join(codes), "<u2").astype(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([files], pa.int32()), pa.array([int(counts.sum())], pa.int64()), pa.array([data], pa.binary())], ["part", "file", "tokens", "data"])
+            counts = np.array([len(c) // 4 for c in codes], np.int64)
+            data = write_file(np.array(keys, np.int64), counts, np.frombuffer(b"".join(codes), "<u4").astype(np.int64))
+            values = zip((part, files, size, ahead, data), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in values], ["part", "file", "tokens", "ahead", "data"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
                 for key, p, code in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), encoder.encode(some.column(1).to_pylist())):
+                    many = len(code) // 4 + 1
+                    if keys and size + many > id_coder.BLOCK:
+                        yield flush()
+                        ahead += size
+                        keys, codes, size, files = [], [], 0, files + 1
                     part = p
                     keys.append(NULL_ID if key is None else key)
                     codes.append(code + tail)
-                    size += len(code) // 2 + 1
-                    if size >= FILE_IDS:
-                        yield flush()
-                        keys, codes, size, files = [], [], 0, files + 1
+                    size += many
         if keys:
             yield flush()
 
-    made = ordered.mapInArrow(run, "part int, file int, tokens long, data binary")
+    made = ordered.mapInArrow(run, "part int, file int, tokens long, ahead long, data binary")
     # the data are compressed already
     made.write.mode("errorifexists").option("compression", "none").parquet(path)
 
 
-def read(spark, path: str) -> DataFrame:
-    """(id, start, ids binary): each document's ids as little-endian unsigned 32-bit integers."""
+def _each_file(spark, path: str, describe, schema: str) -> DataFrame:
+    """``describe(keys, starts, counts, ids, ends)`` of every file: arrays of its documents."""
     files = spark.read.parquet(path)
-    # one row per part, as many as the writer had tasks
+    # one row per part: as many as the session has shuffle partitions, whatever the size of the data
     parts = sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("tokens").alias("n")).collect())
     begins, total = {}, 0
     for part, n in parts:
         begins[part], total = total, total + n
-    from pyspark.sql import Window
-
-    ahead = F.coalesce(F.sum("tokens").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = {(r.part, r.file): begins[r.part] + r.ahead for r in files.select("part", "file", "tokens").withColumn("ahead", ahead).collect()} if parts else {}
-    shared = spark.sparkContext.broadcast(starts)
+    shared = spark.sparkContext.broadcast(begins)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, counts, ids = read_file(batch.column(2)[i].as_py())
-                begin = shared.value[batch.column(0)[i].as_py(), batch.column(1)[i].as_py()]
+                part, ahead, data = (batch.column(j)[i].as_py() for j in range(3))
+                keys, counts, ids = read_file(data)
                 ends = np.cumsum(counts)
-                code = ids.astype("<u4")
+                code = memoryview(ids.astype("<u4").tobytes())
                 for at in range(0, len(keys), 512):
                     k, c, e = keys[at : at + 512], counts[at : at + 512], ends[at : at + 512]
-                    data = [code[b - n : b].tobytes() for b, n in zip(e.tolist(), c.tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64(), mask=k == NULL_ID), pa.array(begin + e - c, pa.int64()), pa.array(data, pa.binary())], ["id", "start", "ids"])
+                    own = [code[(b - n) * 4 : b * 4] for b, n in zip(e.tolist(), c.tolist())]
+                    columns = {"id": pa.array(k, pa.int64(), mask=k == NULL_ID), "start": pa.array(shared.value[part] + ahead + e - c, pa.int64())}
+                    yield pa.RecordBatch.from_pydict(columns | describe(own))
+
+    return files.select("part", "ahead", "data").mapInArrow(run, "id long, start long, " + schema)
+
+
+def read(spark, path: str) -> DataFrame:
+    """(id, start, ids binary): each document's ids as little-endian unsigned 32-bit integers."""
+    return _each_file(spark, path, lambda own: {"ids": pa.array([bytes(x) for x in own], pa.binary())}, "ids binary")
+
+
+def describe(spark, path: str) -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) of each document, as read() gives it; its ids do not leave the worker."""
+
+    def digests(own: list[memoryview]) -> dict[str, pa.Array]:
+        return {"n_tokens": pa.array([len(x) // 4 for x in own], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in own], pa.int64())}
 
-    return files.select("part", "file", "data").mapInArrow(run, "id long, start long, ids binary")
+    return _each_file(spark, path, digests, "n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = END) -> DataFrame:
@@ -344,7 +272,6 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = shared_folder(spark, "tokens")
     try:
         write(docs, path, id_col, text_col, tokenizer, end)
-        found = read(spark, path)
-        return materialize(found.select(F.col("id").alias(id_col), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")))
+        return materialize(describe(spark, path).withColumnRenamed("id", id_col))
     finally:
         delete_path(spark, path)
