@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 
-COLUMNS, LANES = 512, 4096
+COLUMNS, LANES = 250, 8200
 #: Ids in a block, at most.
 BLOCK = COLUMNS * LANES
 ID_BITS = 24
@@ -74,43 +74,52 @@ class Model:
         self.ends = ends + np.arange(self.size + 1)
         self.ends[-1] = 1 << self.bits
 
+    def _shares(self) -> None:
+        """For each state, where the parts of order 2, the two of order 1 and order 0 begin, and how wide the first three are."""
+        free = (1 << self.scale) - (1 << self.bits) - 4
+        sums = np.cumsum(self.right, axis=1)
+        ends = (sums[:, :3] / sums[:, 3:] * free).astype(np.int64) + np.arange(1, 4)
+        ends[1::3, 0] = ends[1::3, 1]  # orders 1 and 2 agree: the id owns both parts
+        begins = np.concatenate([np.zeros((STATES, 1), np.int64), ends], axis=1)
+        widths = np.diff(begins, axis=1, append=begins[:, 3:])
+        self.begins, self.widths = begins.reshape(-1), widths.reshape(-1)
+        self.end2, self.end1, self.begin0 = (np.ascontiguousarray(ends[:, i]) for i in range(3))
+
     def predict(self) -> None:
         if self.pending and self.seen >= self.due:
             self._spread()
-            self.due = self.seen + max(1, self.seen >> 3)
+            self.due = self.seen + (self.seen >> 2)
         one = self.after.take(self.last)
         self.first, self.second, self.steady1 = one & ID_MASK, one >> ID_BITS & ID_MASK, one >> 2 * ID_BITS
         self.slot = (self.last * 0x9E3779B1 + self.before * 0x85EBCA6B) >> 7 & (1 << SLOT_BITS) - 1
         two = self.slots.take(self.slot)
         self.guess, self.steady2 = two & ID_MASK, two >> ID_BITS
-        agree = np.where(self.guess == self.first, 1, np.where(self.guess == self.second, 2, 0))
-        self.state = (self.steady2 * STEADY + self.steady1) * 3 + agree
-        if self.column < 64 or not self.column & 7:
-            sums = np.cumsum(self.right, axis=1)
-            free = (1 << self.scale) - (1 << self.bits) - 4
-            ends = (sums[:, :3] / sums[:, 3:] * free).astype(np.int64) + np.arange(1, 4)
-            self.share = [np.ascontiguousarray(ends[:, i]) for i in range(3)]
-        self.end2, self.end1, self.begin0 = (s.take(self.state) for s in self.share)
-        self.width0 = (1 << self.scale) - self.begin0
+        same = (self.guess == self.second).view(np.int8)
+        agree = (self.guess == self.first).view(np.int8) + (same + same)
+        # the steady counts come in steps of 3 and of 3 * STEADY
+        self.state = self.steady2 + self.steady1 + agree
+        if self.column < 32 or not self.column & 15:
+            self._shares()
+        self.width0 = (1 << self.scale) - self.begin0.take(self.state)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, end) of the ids."""
-        by2, by1, by1b = ids == self.guess, ids == self.first, ids == self.second
-        self.kind = np.where(by2, 0, np.where(by1, 1, np.where(by1b, 2, 3)))
-        begin = self.begin0 + (self.width0 * self.ends.take(ids) >> self.bits)
-        end = self.begin0 + (self.width0 * self.ends.take(ids + 1) >> self.bits)
-        begin = np.where(by2, 0, np.where(by1, self.end2, np.where(by1b, self.end1, begin)))
-        end = np.where(by1, self.end1, np.where(by2, self.end2, np.where(by1b, self.begin0, end)))
-        return begin, end
+        """(begin, width) of the ids."""
+        kind = np.where(ids == self.guess, 0, np.where(ids == self.first, 1, np.where(ids == self.second, 2, 3)))
+        self.part = self.state * 4 + kind
+        self.by2, by0 = kind == 0, kind == 3
+        low = self.width0 * self.ends.take(ids) >> self.bits
+        high = self.width0 * self.ends.take(ids + 1) >> self.bits
+        return self.begins.take(self.part) + low * by0, self.widths.take(self.part) + (high - low) * by0
 
     def find(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, begin, end) of the intervals in which ``at`` lies."""
-        ids = np.where(at < self.end2, self.guess, np.where(at < self.end1, self.first, self.second))
-        rest = np.flatnonzero(at >= self.begin0)
+        """(ids, begin, width) of the intervals in which ``at`` lies."""
+        begin0 = (1 << self.scale) - self.width0
+        ids = np.where(at < self.end2.take(self.state), self.guess, np.where(at < self.end1.take(self.state), self.first, self.second))
+        rest = np.flatnonzero(at >= begin0)
         if len(rest):
             width = self.width0.take(rest)
             # the largest place whose start is not beyond: ((x + 1) * 2 ** bits - 1) // width
-            place = (((at.take(rest) - self.begin0.take(rest) + 1) << self.bits) - 1) // width
+            place = (((at - begin0).take(rest) + 1 << self.bits) - 1) // width
             order = np.argsort(place)
             found = np.empty(len(rest), np.int64)
             found[order] = np.searchsorted(self.ends, place[order], side="right") - 1
@@ -118,14 +127,14 @@ class Model:
         return ids, *self.interval(ids)
 
     def update(self, ids: np.ndarray) -> None:
-        self.right += np.bincount(self.state * 4 + self.kind, minlength=STATES * 4).reshape(STATES, 4)
+        self.right += np.bincount(self.part, minlength=STATES * 4).reshape(STATES, 4)
         hit = ids == self.first
         swap = (ids == self.second) & (self.steady1 == 0)
         first = np.where(swap, ids, self.first)
         second = np.where(hit, self.second, np.where(swap, self.first, ids))
-        steady = np.where(hit, np.minimum(self.steady1 + 1, STEADY - 1), np.maximum(self.steady1 - 1, 0))
+        steady = np.where(hit, np.minimum(self.steady1 + 3, 3 * (STEADY - 1)), np.maximum(self.steady1 - 3, 0))
         self.after[self.last] = first | second << ID_BITS | steady << 2 * ID_BITS
-        self.slots[self.slot] = ids | np.where(self.kind == 0, np.minimum(self.steady2 + 1, STEADY - 1), 0) << ID_BITS
+        self.slots[self.slot] = ids | np.minimum(self.steady2 + 3 * STEADY, 3 * STEADY * (STEADY - 1)) * self.by2 << ID_BITS
         self.before, self.last = self.last, ids
         self.pending.append(ids)
         self.seen += len(ids)
@@ -154,12 +163,12 @@ def compress(ids: np.ndarray) -> bytes:
     at = base + 1  # the first word only takes a carry
     for ids in np.ascontiguousarray(block.T):
         model.predict()
-        begin, end = model.interval(ids)
+        begin, wide = model.interval(ids)
         width >>= model.scale
-        low = (low.view(np.uint64) + (width * begin).view(np.uint64)).view(np.int64)
-        width *= end - begin
-        over = np.flatnonzero(low < 0)  # bit 63 is the carry
-        if len(over):
+        low = low + width * begin
+        width *= wide
+        if low.min(initial=0) < 0:  # bit 63 is the carry
+            over = np.flatnonzero(low < 0)
             flat[at.take(over) - 1] += 1
             low[over] &= TOP
         small = np.flatnonzero(width < LOW_RANGE)
@@ -210,9 +219,9 @@ def expand(data: bytes, n: int) -> np.ndarray:
         model.predict()
         width >>= model.scale
         seen = np.minimum(code // width, (1 << model.scale) - 1)
-        ids, begin, end = model.find(seen)
+        ids, begin, wide = model.find(seen)
         code -= width * begin
-        width *= end - begin
+        width *= wide
         small = np.flatnonzero(width < LOW_RANGE)
         if len(small):
             places = at.take(small)

@@ -28,9 +28,11 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +48,15 @@ RULES = {
     "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
 #: Words of lower-case letters that no version of Unicode disputes.
-WORD = re.compile("[a-z\u00E0-\u00F6\u00F8-\u00FF]+")
+WORD = "[a-z\u00E0-\u00F6\u00F8-\u00FF]+"
 #: A word and the signs after it; no apostrophe, which may open a contraction.
 WORD_AND_SIGNS = re.compile("([a-z\u00E0-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\\[-`{-~]+)")
 #: A comma or full stop at a chunk's end that does not follow a letter or digit, so that it belongs to a run of signs.
-IN_RUN = re.compile("[^0-9a-z\u00E0-\u00F6\u00F8-\u00FF][,.](?: |$)")
+IN_RUN = "[^0-9a-z\u00E0-\u00F6\u00F8-\u00FF][,.](?: |$)"
+#: What a text must not hold to be cut by ASCII white space and lower-cased as a whole.
+UNUSUAL = "[\x1c-\x1f\u0085\u00A0\u0100-\U0010FFFF]|<\\|"
+#: Bytes of text that are cut and encoded together.
+PIECE = 1 << 24
 
 
 def write_file(keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -92,12 +98,12 @@ class Library:
     def __init__(self, config: str, limit: int = 1_000_000) -> None:
         # a worker has one core; threads would only cost
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_str(config), limit
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.cache: dict[str, bytes] = {}
+        self._clear()
         data = json.loads(config)
         first, second = ((data.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}])[:2]
         split = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and first.get("pattern") == {"Regex": RULES["split"]}
@@ -110,69 +116,101 @@ class Library:
         if self.by_chunk:
             self.ends = np.zeros(max(data["model"]["vocab"].values()) + 1, bool)
             self.ends[[i for piece, i in data["model"]["vocab"].items() if piece.endswith(suffix)]] = True
+            # for rows of plain lower-case words: the same model without rules that would change nothing
+            self.words = Tokenizer.from_str(config)
+            self.words.normalizer = None
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.words.no_padding()
+            self.words.no_truncation()
 
     def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for at in range(0, len(texts), 4096):
-            for found in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False):
+        for at in range(0, len(texts), 256):
+            for found in self.tokenizer.encode_batch_fast(texts[at : at + 256], add_special_tokens=False):
                 yield np.array(found.ids, "<u4")
 
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
-        """Pieces of the text whose ids are those of the text when joined.
+    def _clear(self) -> None:
+        #: The place of each known chunk in ``begins`` and ``sizes``: where its ids lie in ``known``.
+        self.cache: dict[str, int] = {}
+        self.begins = self.sizes = np.empty(0, np.int64)
+        self.known = np.empty(0, "<u4")
+
+    def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember chunks whose ids follow each other in ``ids``."""
+        self.cache.update(zip(chunks, range(len(self.sizes), len(self.sizes) + len(chunks))))
+        self.begins = np.concatenate([self.begins, len(self.known) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.known = np.concatenate([self.known, ids])
+
+    def _take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at these places in a row, and where each place's ids end."""
+        each = self.sizes[places]
+        ends = np.cumsum(each)
+        return self.known[np.repeat(self.begins[places] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _learn(self, new: pa.StringArray) -> None:
+        """Encode chunks that the cache lacks."""
+        plain = pc.match_substring_regex(new, f"^{WORD}$")
+        listed, rest, signed = new.filter(plain).to_pylist(), [], []
+        for chunk in new.filter(pc.invert(plain)).to_pylist():
+            found = WORD_AND_SIGNS.fullmatch(chunk)
+            if found:
+                signed.append((chunk, *found.groups()))
+            else:
+                rest.append(chunk)
+        listed += {head for _, head, _ in signed}.difference(self.cache, listed)
+        rest += {tail for _, _, tail in signed}.difference(self.cache, rest)
+        # words in a row, some dozens a text: each ends with the one piece of it that ends a word
+        rows = [" ".join(listed[at : at + 64]) for at in range(0, len(listed), 64)]
+        found = [np.array(x.ids, "<u4") for at in range(0, len(rows), 16) for x in self.words.encode_batch_fast(rows[at : at + 16], add_special_tokens=False)]
+        ids = np.concatenate([np.empty(0, "<u4"), *found])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(listed):
+            raise ValueError("the tokenizer's words do not end with its suffix")
+        self._add(listed, ids, np.diff(ends, prepend=0))
+        found = list(self._ids(rest))
+        self._add(rest, np.concatenate([np.empty(0, "<u4"), *found]), np.fromiter(map(len, found), np.int64, len(found)))
+        if signed:
+            ids, ends = self._take(np.array([self.cache[part] for _, *both in signed for part in both]))
+            self._add([chunk for chunk, *_ in signed], ids, np.diff(ends[1::2], prepend=0))
+
+    def _joined(self, chunks: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids of each text) of texts given as lists of chunks."""
+        coded = chunks.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        places = np.fromiter(map(self.cache.get, distinct, repeat(-1)), np.int64, len(distinct))
+        lacking = np.flatnonzero(places < 0)
+        if len(lacking):
+            if len(self.cache) + len(lacking) > self.limit:
+                self._clear()
+                lacking = np.arange(len(distinct))
+            self._learn(coded.dictionary.take(pa.array(lacking)))
+            places[lacking] = [self.cache[distinct[i]] for i in lacking.tolist()]
+        ids, ends = self._take(places[coded.indices.to_numpy()])
+        offsets = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
+        return ids, np.diff(np.r_[0, ends][offsets])
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids of each text) of a column without nulls.
 
         Within Latin-1 the lower case of a text is that of its letters, and its
-        composition changes nothing; there, a comma or stop after a word is cut off.
+        composition changes nothing; there, a comma or stop after a word is cut
+        off, so that words with and without it are encoded once.
         """
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return Bpe.chunks(text)
-        if "<|" in text:
-            return Bpe.chunks(text)
-        low = text.lower()
-        if not IN_RUN.search(low):
-            low = low.replace(", ", " , ").replace(". ", " . ")
-        return Bpe.chunks(low)
-
-    def _learn(self, new: set[str]) -> None:
-        """Encode chunks that the cache lacks."""
-        words, rest, signed = set(), set(), []
-        word, word_and_signs = WORD.fullmatch, WORD_AND_SIGNS.fullmatch
-        for chunk in new:
-            if word(chunk):
-                words.add(chunk)
-            elif found := word_and_signs(chunk):
-                head, tail = found.groups()
-                signed.append((chunk, head, tail))
-                words.add(head)
-                rest.add(tail)
-            else:
-                rest.add(chunk)
-        # words in a row, a few hundred a text: each ends with the one piece of it that ends a word
-        listed = list(words)
-        rows = [listed[at : at + 512] for at in range(0, len(listed), 512)]
-        for row, ids in zip(rows, self._ids([" ".join(row) for row in rows])):
-            code = ids.tobytes()
-            ends = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
-            if len(ends) != len(row):
-                raise ValueError("the tokenizer's words do not end with its suffix")
-            self.cache.update(zip(row, [code[a:b] for a, b in zip([0, *ends], ends)]))
-        listed = list(rest)
-        self.cache.update(zip(listed, (ids.tobytes() for ids in self._ids(listed))))
-        self.cache.update([(chunk, self.cache[head] + self.cache[tail]) for chunk, head, tail in signed])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_chunk:
-            return [ids.tobytes() for ids in self._ids(texts)]
-        split = list(map(self._chunks, texts))
-        seen = set().union(*split)
-        lacking = seen.difference(self.cache)
-        if len(self.cache) + len(lacking) > self.limit:
-            self.cache.clear()
-            lacking = seen
-        self._learn(lacking)
-        return [b"".join(map(self.cache.__getitem__, chunks)) for chunks in split]
+            found = list(self._ids(texts.to_pylist()))
+            return np.concatenate([np.empty(0, "<u4"), *found]), np.array(list(map(len, found)), np.int64)
+        unusual = pc.match_substring_regex(texts, UNUSUAL)
+        usual = pc.utf8_lower(texts.filter(pc.invert(unusual)))
+        cut = pc.replace_substring(pc.replace_substring(usual, ", ", " , "), ". ", " . ")
+        usual = pc.if_else(pc.match_substring_regex(usual, IN_RUN), usual, cut)
+        ids, counts = self._joined(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(usual)))
+        if len(usual) == len(texts):
+            return ids, counts
+        others, more = self._joined(pa.array([Bpe.chunks(t) for t in texts.filter(unusual).to_pylist()], pa.list_(pa.string())))
+        parts = [np.split(x, np.cumsum(n)[:-1]) if len(n) else [] for x, n in ((ids, counts), (others, more))]
+        turns = [iter(parts[0]), iter(parts[1])]
+        ordered = [next(turns[flag]) for flag in unusual.to_pylist()]
+        return np.concatenate(ordered), np.array(list(map(len, ordered)), np.int64)
 
 
 _encoders: dict[int, Library] = {}
@@ -185,41 +223,49 @@ def library(config: str) -> Library:
     return _encoders[key]
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch cut so that the texts in column 1 of a piece have PIECE bytes together, or are one text."""
+    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PIECE, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = END) -> None:
     """Encode every text, append ``end``, and write the files at ``path`` in ascending id order."""
     with open(tokenizer or default_path(), encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text").withColumn("part", F.spark_partition_id())
-    tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library(shared.value)
-        keys: list[int] = []
-        codes: list[bytes] = []
-        size, ahead, files, part = 0, 0, 0, None
-
-        def flush() -> pa.RecordBatch:
-            counts = np.array([len(c) // 4 for c in codes], np.int64)
-            data = write_file(np.array(keys, np.int64), counts, np.frombuffer(b"".join(codes), "<u4").astype(np.int64))
+        keys, counts, ids = np.empty(0, np.int64), np.empty(0, np.int64), []
+        ahead, files, part = 0, 0, None
+
+        def flush(n: int) -> pa.RecordBatch:
+            """A file of the first n documents at hand."""
+            nonlocal keys, counts, ids, ahead, files
+            whole, size = np.concatenate(ids), int(counts[:n].sum())
+            data = write_file(keys[:n], counts[:n], whole[:size].astype(np.int64))
             values = zip((part, files, size, ahead, data), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))
+            keys, counts, ids, ahead, files = keys[n:], counts[n:], [whole[size:]], ahead + size, files + 1
             return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in values], ["part", "file", "tokens", "ahead", "data"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                for key, p, code in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), encoder.encode(some.column(1).to_pylist())):
-                    many = len(code) // 4 + 1
-                    if keys and size + many > id_coder.BLOCK:
-                        yield flush()
-                        ahead += size
-                        keys, codes, size, files = [], [], 0, files + 1
-                    part = p
-                    keys.append(NULL_ID if key is None else key)
-                    codes.append(code + tail)
-                    size += many
-        if keys:
-            yield flush()
+            for some in pieces(batch):
+                part = some.column(2)[0].as_py()
+                found, n = encoder.encode(some.column(1))
+                # the end id after each document
+                ids.append(np.insert(found, np.cumsum(n), end))
+                counts = np.r_[counts, n + 1]
+                keys = np.r_[keys, some.column(0).fill_null(NULL_ID).to_numpy()]
+                while int(counts.sum()) > id_coder.BLOCK and len(counts) > 1:
+                    yield flush(max(1, int(np.searchsorted(np.cumsum(counts), id_coder.BLOCK, side="right"))))
+        if len(keys):
+            yield flush(len(keys))
 
     made = ordered.mapInArrow(run, "part int, file int, tokens long, ahead long, data binary")
     # the data are compressed already

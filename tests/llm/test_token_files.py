@@ -2,6 +2,7 @@ import json
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -61,17 +62,25 @@ TEXTS = [
 ]
 
 
+def encoded(library, texts):
+    ids, counts = library.encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(counts)
+    return [ids[e - n : e].tobytes() for e, n in zip(ends, counts)]
+
+
 def test_library_encodes_as_whole_texts_do():
     config = open(bpe.default_path(), encoding="utf-8").read()
     theirs = Tokenizer.from_str(config)
     want = [np.array(theirs.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in TEXTS]
     ours = token_files.Library(config, limit=20)
-    assert ours.by_chunk and ours.encode(TEXTS) == want and ours.encode(TEXTS[::-1]) == want[::-1]
+    assert ours.by_chunk and encoded(ours, TEXTS) == want and encoded(ours, TEXTS[::-1]) == want[::-1]
+    usual = [t for t in TEXTS if t.isascii()]
+    assert encoded(ours, usual) == [w for w, t in zip(want, TEXTS) if t.isascii()] and encoded(ours, []) == []
     data = json.loads(config)
     data["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": "[a-z ]+|[^a-z]"}
     other = token_files.Library(json.dumps(data))
     theirs = Tokenizer.from_str(json.dumps(data))
-    assert not other.by_chunk and other.encode(TEXTS) == [np.array(theirs.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in TEXTS]
+    assert not other.by_chunk and encoded(other, TEXTS) == [np.array(theirs.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in TEXTS]
 
 
 def expected(rows):
