@@ -24,6 +24,22 @@ def test_shortages_stay_among_siblings_first():
     assert mixing.budgets({}, 5, {}) == {}
 
 
+def test_tokens(spark):
+    texts = ["", " ", "\n\n", "a\n", "\ta b", "a\t\r\n\x0b\x0cb  c ", "x", "\u00a0", "a\u00a0b \u2003"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", mixing.tokens(F.col("t")).alias("n")).collect()
+    assert [r.n for r in sorted(got)] == [0, 0, 0, 1, 2, 3, 1, 1, 2]
+
+
+def test_shares_equal_budgets(spark):
+    rng = random.Random(9)
+    for total in (0.0, 37.5, 900.0, 1e9):
+        supply = {(rng.choice(["d1", "d2", "d3", None]), rng.choice(["en", "de", None]), f"s{i}"): float(rng.choice([0, 1, 5, 40, 300])) for i in range(40)}
+        weights = {("d1",): 3.0, ("d2",): rng.choice([0.0, 0.5]), ("d1", "en"): 2.0, ("d3", "de"): 0.0, (None,): 4.0, (None, None): 0.1} | {k: rng.choice([0.0, 0.2, 1.0, 7.0]) for k in supply}
+        leaves = spark.createDataFrame([(*k, v) for k, v in supply.items()], "domain string, lang string, source string, supply double")
+        got = {(r.domain, r.lang, r.source): r.budget for r in mixing.shares(leaves, total, weights).collect()}
+        assert got == pytest.approx(mixing.budgets(supply, total, weights))
+
+
 def rows(n=400):
     rng = random.Random(3)
     out = [(i, "w " * rng.randint(0, 30), rng.choice(["en", "de", None]), f"src{rng.choice([0, 0, 0, 1, 7, 12])}", i) for i in range(n)]
@@ -67,6 +83,44 @@ def test_equals_brute_force(spark, share, weights, epochs):
     assert sorted(r.doc_id for r in mixed.collect()) == brute(spark, data, share, weights, epochs, 4)
 
 
+@pytest.mark.parametrize("most", [mixing.MAX_BROADCAST, 0])
+def test_repeated_and_null_ids_and_clashing_names(spark, monkeypatch, most):
+    """Rows of one id and text go together; beyond the bound of the broadcast the result is the same."""
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", most)
+    monkeypatch.setattr("siltworks.llm.common.MIN_HOT_ROWS", 20)
+    names = ["domain", "leaf", "epoch", "last", "h", "t", "mark", "id", "budget", "Range"]
+    data = [(i % 40, f"text {i % 80} of some words", "en", "src1") for i in range(240)] + [(None, f"null {i % 50} id", "en", "src2") for i in range(100)]
+    docs = spark.createDataFrame([(*r, *[i] * len(names)) for i, r in enumerate(data)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} long" for n in names)).repartition(4)
+    mixed = mixing.mix(docs, 0.5, epochs=1, seed=1)
+    assert mixed.columns == docs.columns
+    got = [r[10] for r in mixed.collect()]
+    assert len(got) == len(set(got))
+    taken, units = {data[i] for i in got}, {}
+    for i, r in enumerate(data):
+        units.setdefault(r, []).append(i)
+    assert sorted(got) == sorted(i for r in taken for i in units[r])  # whole units
+    # each source's units in their order: taken while the tokens before them are under the budget
+    where = {r: 0 for r in units}
+    frame = spark.createDataFrame([(*r, k) for k, r in enumerate(units)], "id long, text string, lang string, source string, k int")
+    mark = F.xxhash64("text")
+    for r in frame.select("k", mixing.place(1, F.lit(0), F.col("id"), mark).alias("h"), mark.alias("m")).collect():
+        where[list(units)[r.k]] = (r.h, list(units)[r.k][0] or 0, r.m)
+    size = lambda r: len(r[1].split()) * len(units[r])
+    supply = {("srcx", "en", s): sum(size(r) for r in units if r[3] == s) for s in ("src1", "src2")}
+    plan = mixing.budgets(supply, 0.5 * sum(supply.values()), {})
+    want = set()
+    for s in ("src1", "src2"):
+        ahead = 0
+        for r in sorted((r for r in units if r[3] == s), key=where.get):
+            if ahead >= plan["srcx", "en", s]:
+                break
+            want.add(r)
+            ahead += size(r)
+    assert taken == want
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert mixing.mix(docs).collect() == []
+    blank = spark.createDataFrame([(1, " \n", "en", "src1"), (2, None, None, None)], docs.schema)
+    assert mixing.mix(blank).collect() == []
