@@ -4,18 +4,20 @@ Words are runs of letters and digits (ASCII lower-cased, other bytes kept);
 shingles are five words. At block sizes 1, 2, 4, ... a text's shingles are cut
 into blocks, and every two neighbouring blocks form a window, so windows
 overlap by half and any run of at most B shingles lies inside one window of 2 B.
-A template of m shingles is searched at the smallest block size B >= m.
+A template of m shingles is searched at the smallest block size B >= m, which is
+under 2 m, so a window has fewer than 4 m shingles.
 
 A window that holds ``CONTAINMENT`` of a template's shingles has a resemblance
-of at least 0.8 m / 2 B > 0.2 with it. ``BANDS`` bands of one MinHash row each
-miss such a pair with a probability under 0.8 ** 64 < 1e-6. What is retrieved is
-verified: the exact share of the template's distinct shingles in the window.
+of more than 0.8 m / (4 m + 0.2 m) = 0.19 with it. ``BANDS`` bands of one MinHash
+row each miss such a pair with a probability under 0.81 ** 64 < 2e-6. What is
+retrieved is verified on the shingles themselves, not their hashes: the exact
+share of the template's distinct shingles in the window.
 
 Defined cases: null or short texts match nothing; a template of fewer than five
-words is one shingle of all its words and is not supported (refused); of several
-windows with one template, the highest containment counts, then the first; null
-ids and repeated rows are scanned as they are; an empty table gives an empty
-result; other columns are ignored.
+words has no shingle and is refused; of several windows with one template, the
+highest containment counts, then the first; null ids and repeated rows are
+scanned as they are; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ SHINGLE, CONTAINMENT, BANDS, SEED = 5, 0.8, 64, 3
 STEP = 1 << 12
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
-#: Public notices that texts carry.
+#: Public notices that texts carry, in full where they are short, else the part that names the license.
 TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -47,16 +49,35 @@ TEMPLATES = {
     "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-section": "Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software.",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "CC0-1.0": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "BSL-1.0-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software",
 }
 
 
-def shingles(text: str) -> np.ndarray:
-    """Hashes of the shingles of a text, in order."""
-    words = text.encode("utf-8", "replace").translate(LETTERS).split()
-    n = len(words) - SHINGLE + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    return np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))), np.uint64, n)
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").translate(LETTERS).split()
+
+
+def shingles(words: list[bytes], begin: int = 0, end: int | None = None) -> Iterator[bytes]:
+    """The shingles that start at the words from ``begin`` to before ``end``."""
+    stop = max(begin, len(words) - SHINGLE + 1 if end is None else end)
+    return map(b" ".join, zip(*(words[begin + i : stop + i] for i in range(SHINGLE))))
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles(words)), np.uint64, max(0, len(words) - SHINGLE + 1))
 
 
 class Scanner:
@@ -66,14 +87,20 @@ class Scanner:
         self.mul = rng.integers(0, 2**63, bands, np.uint64) * np.uint64(2) + np.uint64(1)
         self.add = rng.integers(0, 2**63, bands, np.uint64)
         self.names = list(templates)
-        self.sets = [np.unique(shingles(t)) for t in templates.values()]
-        if not all(map(len, self.sets)):
+        listed = [words_of(t) for t in templates.values()]
+        self.sets = [set(shingles(w)) for w in listed]
+        if not all(self.sets):
             raise ValueError(f"a template needs {SHINGLE} words or more")
-        self.by_block: dict[int, list[int]] = {}
-        for i, some in enumerate(self.sets):
-            self.by_block.setdefault(1 << (len(some) - 1).bit_length(), []).append(i)
-        self.levels = max(self.by_block).bit_length()
-        self.rows = [(some[:, None] * self.mul + self.add).min(axis=0) for some in self.sets]
+        #: Of each block size: templates by (band, value), and which leading bits of values any of them has.
+        self.rows: dict[int, dict[tuple[int, int], list[int]]] = {}
+        self.seen: dict[int, np.ndarray] = {}
+        for i, (words, some) in enumerate(zip(listed, self.sets)):
+            size = 1 << (len(some) - 1).bit_length()
+            least = (np.unique(hashes_of(words))[:, None] * self.mul + self.add).min(axis=0)
+            for band, value in enumerate(least.tolist()):
+                self.rows.setdefault(size, {}).setdefault((band, value), []).append(i)
+            self.seen.setdefault(size, np.zeros(1 << 20, bool))[least >> np.uint64(44)] = True
+        self.levels = max(self.rows).bit_length()
 
     def candidates(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(template, begin, end) of windows that share a band with a template; shingle positions."""
@@ -86,10 +113,12 @@ class Scanner:
             found: set[tuple[int, int, int]] = set()
             least, size = part[None, :] * self.mul[:, None] + self.add[:, None], 1
             for _ in range(self.levels):
-                if size in self.by_block:
+                if size in self.rows:
                     window = np.minimum(least[:, :-1], least[:, 1:]) if least.shape[1] > 1 else least
-                    for i in self.by_block[size]:
-                        found.update((i, size, w) for w in np.flatnonzero((window == self.rows[i][:, None]).any(axis=0)).tolist())
+                    rows = self.rows[size]
+                    bands, places = np.nonzero(self.seen[size][window >> np.uint64(44)])
+                    for band, w, value in zip(bands.tolist(), places.tolist(), window[bands, places].tolist()):
+                        found.update((i, size, w) for i in rows.get((band, value), ()))
                 if least.shape[1] % 2:
                     least = np.concatenate([least, least[:, -1:]], axis=1)
                 least, size = np.minimum(least[:, ::2], least[:, 1::2]), 2 * size
@@ -99,15 +128,15 @@ class Scanner:
 
     def scan(self, text: str, least: float = CONTAINMENT) -> list[tuple[str, float, int, int]]:
         """(template, containment, first word, words) of the best window of each template found."""
-        hashes = shingles(text)
+        words = words_of(text)
         best: dict[int, tuple[float, int, int]] = {}
-        for i, begin, end in self.candidates(hashes):
-            inside = np.isin(hashes[begin:end], self.sets[i])
-            share = len(np.unique(hashes[begin:end][inside])) / len(self.sets[i])
+        for i, begin, end in self.candidates(hashes_of(words)):
+            here = list(shingles(words, begin, end))
+            inside = [k for k, shingle in enumerate(here) if shingle in self.sets[i]]
+            share = len({here[k] for k in inside}) / len(self.sets[i])
             if share < least:
                 continue
-            at = np.flatnonzero(inside)
-            span = (share, -(begin + int(at[0])), int(at[-1] - at[0]) + SHINGLE)
+            span = (share, -(begin + inside[0]), inside[-1] - inside[0] + SHINGLE)
             best[i] = max(best.get(i, span), span)
         return [(self.names[i], share, -first, words) for i, (share, first, words) in sorted(best.items())]
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from siltworks.llm import licenses
+from siltworks.llm import licenses, queries
 
 
 def brute(text, least=0.8):
@@ -57,3 +57,27 @@ def test_bands_keep_the_promise():
         text = "a b c d e f g " + licenses.TEMPLATES["Unlicense"] + " h i j k l m n o p"
         missed += not any(n == "Unlicense" for n, *_ in scanner.scan(" ".join(f"w{x}" for x in rng.integers(0, 99, 9)) + " " + text))
     assert missed == 0
+
+
+def test_full_texts_and_repeated_rows(spark):
+    rng = random.Random(4)
+    names = ["MIT-text", "ISC-text", "Apache-2.0-notice", "GPL-notice", "AGPL-3.0-section", "Unlicense-text"]
+    filler = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    rows = [(i, f"{filler(300)} {licenses.TEMPLATES[name].upper()} {filler(700)}") for i, name in enumerate(names)]
+    docs = spark.createDataFrame(rows + rows[:2] + [(None, rows[2][1])], "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.license) for r in licenses.scan(docs).collect() if r.license in names)
+    assert got == sorted((i is None, i or 0, names[i or 0] if i is not None else names[2]) for i in [*range(6), 0, 1, None])
+
+
+def test_containment_is_of_shingles_not_of_hashes(monkeypatch):
+    """Even where all hashes collide, only texts that hold the shingles match."""
+    monkeypatch.setattr(licenses.xxhash, "xxh64_intdigest", lambda shingle: 7)
+    scanner = licenses.Scanner()
+    assert scanner.scan("a wholly different text of some more than five words") == []
+    assert ("MIT", 1.0, 0, 5) in scanner.scan("Released under the MIT License")
+
+
+def test_query_equals_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = sorted((r.doc_id, r.license, r.containment) for r in queries.op1_licenses(spark, "/root/testdata/sf0.001").collect())
+    assert got == sorted((r.doc_id, name, share) for r in rows for name, share in brute(r.text or "").items()) and got
