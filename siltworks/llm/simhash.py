@@ -7,10 +7,13 @@ words are split at the six ASCII white-space characters.
 Linking within ``radius`` differing bits:
 
 1. distinct fingerprints only: exact copies collapse before any comparison;
-2. a routing tree of vantage points and median radii, fitted on a bounded
-   sample (``SAMPLE``; any tree gives exact results, the sample only balances
-   it), deals every fingerprint to its home shard, and as a visitor to each
-   shard whose boundary lies within ``radius`` of it by the triangle bound;
+2. a routing tree of vantage points and radii, fitted on a sample (``SAMPLE``
+   fingerprints, or ``PER_LEAF`` for each shard where that is more, one in 4,096;
+   any tree gives exact results, the sample only balances it), deals every
+   fingerprint to its home shard, and as a visitor to each shard whose boundary
+   lies within ``radius`` of it by the triangle bound. Of the vantage points
+   and radii tried, a node takes those with the fewest visitors for the
+   information of the split, so boundaries run where few fingerprints lie;
 3. each shard searches its own vantage-point tree, blockwise in numpy, and
    returns a spanning forest of the links found rather than all pairs, so a
    group of k near copies yields at most k - 1 rows per shard;
@@ -38,10 +41,10 @@ from ..operators.components import connected_components
 from .common import hot_keys, materialize, skew_join, text_of
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-#: Fingerprints that the routing tree is fitted on, at most.
-SAMPLE = 65_536
-#: Distinct fingerprints a shard is meant to hold, and sample points a leaf needs.
-PER_SHARD, LEAST_IN_LEAF = 65_536, 8
+#: Fingerprints that the routing tree is fitted on, at least, and for each shard.
+SAMPLE, PER_LEAF = 65_536, 16
+#: Distinct fingerprints a shard is meant to hold.
+PER_SHARD = 65_536
 #: Below this many points the tree of a shard compares directly.
 LEAF = 128
 BLOCK = 1 << 20
@@ -86,14 +89,13 @@ class Routing:
     def _build(self, points: np.ndarray, shards: int) -> int:
         at = len(self.nodes)
         self.nodes.append(None)
-        if shards > 1 and len(points) >= 2 * LEAST_IN_LEAF:
-            v = vantage(points)
-            d = np.bitwise_count(points ^ v)
-            r = int(np.median(d))
-            near = d <= r
-            if near.any() and not near.all():
-                self.nodes[at] = (v, r, self._build(points[near], shards - shards // 2), self._build(points[~near], shards // 2))
-                return at
+        found = boundary(points, self.radius) if shards > 1 else None
+        if found:
+            v, r = found
+            near = np.bitwise_count(points ^ v) <= r
+            part = min(shards - 1, max(1, round(shards * near.mean())))
+            self.nodes[at] = (v, r, self._build(points[near], part), self._build(points[~near], shards - part))
+            return at
         self.nodes[at] = self.shards
         self.shards += 1
         return at
@@ -119,6 +121,31 @@ class Routing:
             stack.append((far, some[to_far], (home & ~inside)[to_far]))
 
 
+def boundary(points: np.ndarray, radius: int, tries: int = 16) -> tuple[np.uint64, int] | None:
+    """The vantage point and radius that part these points with the fewest visitors; None if no radius parts them.
+
+    A split costs the logarithm of how many places a point is sent to, and is
+    worth the information of its sides; an eighth at least lies on either.
+    """
+    picks = points[:: max(1, len(points) // tries)][:tries]
+    seen = points[:: max(1, len(points) // 4096)]
+    best, found = np.inf, None
+    for v in picks:
+        inside = np.cumsum(np.bincount(np.bitwise_count(seen ^ v), minlength=65)) / max(1, len(seen))
+        near = inside[:64]
+        wide = np.concatenate([inside, np.ones(radius)])
+        sent = wide[radius : radius + 64] + 1 - np.concatenate([np.zeros(radius), inside])[:64]
+        fair = (near >= 0.125) & (near <= 0.875)
+        if fair.any():
+            p = np.where(fair, near, 0.5)
+            worth = -(p * np.log2(p) + (1 - p) * np.log2(1 - p))
+            cost = np.where(fair, np.log2(sent) / worth, np.inf)
+            r = int(np.argmin(cost))
+            if cost[r] < best:
+                best, found = cost[r], (v, r)
+    return found
+
+
 def vantage(points: np.ndarray) -> np.uint64:
     """Of a few points, the one whose distances to the others spread most."""
     picks = points[:: max(1, len(points) // 8)][:8]
@@ -201,10 +228,11 @@ def link(points: np.ndarray, homes: int, radius: int) -> np.ndarray:
 def links(distinct: DataFrame, n: int, radius: int = RADIUS, per_shard: int = PER_SHARD, sample: int = SAMPLE) -> DataFrame:
     """(a, b): spanning links between different fingerprints of column fp within ``radius`` bits."""
     spark = distinct.sparkSession
-    every = max(1, -(-n // sample))
-    # a hash picks about n / every of the n fingerprints: SAMPLE or fewer, give or take its square root
+    shards = -(-n // per_shard)
+    # a hash picks about one in ``every`` of the n fingerprints
+    every = max(1, n // max(sample, PER_LEAF * shards))
     picked = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = Routing(picked, -(-n // per_shard), radius)
+    tree = Routing(picked, shards, radius)
     shared = spark.sparkContext.broadcast((tree.nodes, tree.root, tree.shards))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
