@@ -150,8 +150,10 @@ def _divided(nodes: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """
     parent = names[:-1]
     takes = F.col("w") * F.col("want") > 0
-    first = Window.partitionBy(*parent, takes).orderBy(F.try_divide(F.col("want"), F.col("w")), *names)
-    before, to_last = first.rowsBetween(Window.unboundedPreceding, -1), first.rowsBetween(0, Window.unboundedFollowing)
+    turn = [F.try_divide(F.col("want"), F.col("w")), *map(F.col, names)]
+    # both frames begin where their order does, and so grow by a row at a time
+    before = Window.partitionBy(*parent, takes).orderBy(*turn).rowsBetween(Window.unboundedPreceding, -1)
+    to_last = Window.partitionBy(*parent, takes).orderBy(*[c.desc() for c in turn]).rowsBetween(Window.unboundedPreceding, 0)
     level = F.try_divide(F.greatest(F.col("amount") - F.coalesce(F.sum("want").over(before), F.lit(0.0)), F.lit(0.0)), F.sum("w").over(to_last))
     some = nodes.withColumn("level", F.when(takes, level)).withColumn("short", takes & (F.col("want") <= F.col("w") * F.col("level")))
     # beyond the first child that is not short, the level only falls
