@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,4 +69,25 @@ def spaced_hash(values: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def short_number(values: pd.Series) -> pd.Series:
     """Twelve significant digits without trailing zeros."""
-    return values.map(lambda v: None if pd.isna(v) else f"{v:.12g}")
+    return pd.Series(np.char.mod("%.12g", values.to_numpy(float)), dtype=object).where(values.notna().to_numpy(), None)
+
+
+@F.pandas_udf(StringType())
+def import_number(values: pd.Series) -> pd.Series:
+    """Ten significant digits without trailing zeros, as imported labels have them."""
+    return pd.Series(np.char.mod("%.10g", values.to_numpy(float)), dtype=object).where(values.notna().to_numpy(), None)
+
+
+def fixed_number(value: Column) -> Column:
+    """Six decimals, as exchange files have them."""
+    return F.format_string("%.6f", value.cast("double"))
+
+
+def run_stamp(moment: Column) -> Column:
+    """A run's name in UTC: 20250131T235959Z."""
+    return F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyyMMdd'T'HHmmss'Z'")
+
+
+def or_else(*values: Column) -> Column:
+    """The first value that is neither null nor the empty text; else the last one."""
+    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values[:-1]], values[-1])

@@ -6,6 +6,8 @@ is matched by itself; an image's boxes are few, whatever the data set's size.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,16 +16,19 @@ from pyspark.sql import functions as F
 TARGETS = "image string, cid int, x1 double, y1 double, x2 double, y2 double"
 PREDICTIONS = "image string, cid int, conf double, x1 double, y1 double, x2 double, y2 double"
 BOX = ["x1", "y1", "x2", "y2"]
+#: Rows of both sides that a bucket of images is meant to hold.
+BUCKET = 200_000
 
 
 def _by_image(left: DataFrame, right: DataFrame, more: list[str], match, schema: str) -> DataFrame:
     """Apply ``match`` to the two sides of every image.
 
-    Images are dealt to buckets by hash, a few for each shuffle partition, and
-    a bucket is handled image by image, which spares the cost of a group per
-    image. Columns get new identities: both sides may stem from one frame.
+    Images are dealt to buckets by hash, one for ``BUCKET`` rows and a few for
+    each shuffle partition, and a bucket is handled image by image, which spares
+    the cost of a group per image. Columns get new identities: both sides may
+    stem from one frame.
     """
-    buckets = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(left.count() + right.count()) // BUCKET))
     names = [n.split()[0] for n in schema.split(", ")]
 
     def new(df: DataFrame, columns: list[str]):
@@ -40,7 +45,7 @@ def _by_image(left: DataFrame, right: DataFrame, more: list[str], match, schema:
             i, j = parts[0].get(image, none), parts[1].get(image, none)
             rows += match(image, values[0][0][i], None if values[0][1] is None else values[0][1][i], values[0][2][i], values[1][0][j], values[1][2][j])
         out = pd.DataFrame(rows, columns=names)
-        return out.astype({"target": "Int32", "conf": "float64"}) if "target" in names else out
+        return out.astype({k: v for k, v in {"target": "Int32", "place": "Int32", "conf": "float64", "threshold": "float64"}.items() if k in names})
 
     return new(left, ["image", "cid", *more, *BOX]).cogroup(new(right, ["image", "cid", *BOX])).applyInPandas(lambda p, t: run(p, t), schema)
 
@@ -63,18 +68,16 @@ def greedy(predictions: DataFrame, targets: DataFrame, threshold: float = 0.5) -
     """
 
     def match(image, cid, conf, box, t_cid, t_box) -> list[tuple]:
-        over = iou_matrix(box, t_box, clamp=False)
-        used, rows = set(), []
+        over = np.where(cid[:, None] == t_cid[None, :], iou_matrix(box, t_box, clamp=False), -1.0)
+        rows = []
         for i in range(len(cid)):
-            best, at = 0.0, None
-            for j in range(len(t_cid)):
-                if j not in used and cid[i] == t_cid[j] and over[i, j] > best:
-                    best, at = over[i, j], j
-            hit = at is not None and best >= threshold
+            at = int(over[i].argmax()) if len(t_cid) else -1  # the first of equal ones
+            hit = at >= 0 and over[i, at] >= threshold
             if hit:
-                used.add(at)
+                over[:, at] = -2.0  # taken
             rows.append((image, int(cid[i]), float(conf[i]), "tp" if hit else "fp", at if hit else None))
-        return rows + [(image, int(t_cid[j]), None, "fn", j) for j in range(len(t_cid)) if j not in used]
+        found = {r[4] for r in rows}
+        return rows + [(image, int(t_cid[j]), None, "fn", j) for j in range(len(t_cid)) if j not in found]
 
     return _by_image(predictions, targets, ["conf"], match, "image string, cid int, conf double, hit string, target int")
 
@@ -86,20 +89,93 @@ def confusion(predictions: DataFrame, targets: DataFrame, classes: int, threshol
     """
 
     def match(image, cid, conf, box, t_cid, t_box) -> list[tuple]:
-        over = iou_matrix(box, t_box)
-        free, rows = set(range(len(t_cid))), []
+        over = iou_matrix(box, t_box)[:, ::-1]  # so that the first of equal ones is the last target
+        last, rows, free = len(t_cid) - 1, [], np.ones(len(t_cid), bool)
         for i in range(len(cid)):
-            best = max(((over[i, j], j) for j in free), default=(0.0, -1))
-            if best[1] >= 0 and best[0] >= threshold:
-                free.discard(best[1])
-                rows.append((image, int(t_cid[best[1]]), int(cid[i])))
+            at = last - int(over[i].argmax()) if len(t_cid) else -1
+            if at >= 0 and over[i, last - at] >= threshold:
+                over[:, last - at], free[at] = -1.0, False
+                rows.append((image, int(t_cid[at]), int(cid[i])))
             else:
                 rows.append((image, classes, int(cid[i])))
-        return rows + [(image, int(t_cid[j]), classes) for j in sorted(free)]
+        return rows + [(image, int(t_cid[j]), classes) for j in np.flatnonzero(free)]
 
     return _by_image(predictions, targets, ["conf"], match, "image string, truth int, predicted int")
 
 
+THRESHOLDS = tuple(0.5 + 0.05 * i for i in range(10))
+#: Pixel areas by which boxes are told apart.
+AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
+
+
+def grade(over: np.ndarray, ignored: np.ndarray, thresholds: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """(matched, to an ignored target) of every threshold and detection: (thresholds, detections) each.
+
+    over: overlaps of the detections, surest first, with the targets. A
+    detection takes the free target of the largest overlap, the last of equal
+    ones; targets that don't count come only if no other will do.
+    """
+    t, d, g = len(thresholds), *over.shape
+    matched, besides = np.zeros((t, d), bool), np.zeros((t, d), bool)
+    limit = np.minimum(np.array(thresholds), 1 - 1e-10)[:, None]
+    free = np.ones((t, g), bool)
+    every = np.arange(t)
+    for i in range(d):
+        if not g:
+            break
+        fits = free & (over[i][None, :] >= limit)
+        for kind in (False, True):
+            open_ = fits & (ignored == kind)[None, :] & ~matched[:, i][:, None]
+            # reversed, the first of equal ones is the last target
+            pick = g - 1 - np.where(open_, over[i][None, :], -1.0)[:, ::-1].argmax(axis=1)
+            take = open_[every, pick]
+            matched[take, i] = True
+            besides[take, i] = kind
+            free[every[take], pick[take]] = False
+    return matched, besides
+
+
+def graded(predictions: DataFrame, targets: DataFrame, areas: Mapping[str, tuple[float, float]] = AREAS, most: Sequence[int] = (1, 10, 300), thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """(image, cid, area, threshold, conf, place, state) of every detection, threshold and area.
+
+    Class by class and image by image, the ``max(most)`` surest detections are
+    matched; place: theirs in that order, from 0; state: tp, fp, or ignored,
+    where the target or an unmatched detection lies outside the area's bounds.
+    Targets within an area's bounds have rows of the state target, without
+    threshold; rows of the states limit and area name the report's limits and
+    areas.
+    """
+
+    bit = 1 << np.arange(len(thresholds))
+
+    def match(image, cid, conf, box, t_cid, t_box) -> list[tuple]:
+        rows: list[tuple] = []
+        size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+        for c in sorted({*cid.tolist(), *t_cid.tolist()}):
+            own = np.flatnonzero(cid == c)[: max(most)]
+            p, t = box[own], t_box[t_cid == c]
+            over = iou_matrix(p, t)
+            for name, (low, high) in areas.items():
+                outside = (size(t) < low) | (size(t) > high)
+                rows += [(image, int(c), name, None, None, 0, 0, "target")] * int((~outside).sum())
+                matched, besides = grade(over, outside, thresholds)
+                ignored = besides | (~matched & ((size(p) < low) | (size(p) > high))[None, :])
+                # a bit for each threshold
+                tp, skip = (bit @ (matched & ~ignored)).tolist(), (bit @ ignored).tolist()
+                rows += [(image, int(c), name, float(conf[j]), i, tp[i], skip[i], "detection") for i, j in enumerate(own.tolist())]
+        return rows
+
+    found = _by_image(predictions, targets, ["conf"], match, "image string, cid int, area string, conf double, place int, tp long, skip long, state string")
+    listed = F.posexplode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("i", "threshold")
+    each = found.where("state = 'detection'").select("image", "cid", "area", "conf", "place", "tp", "skip", listed)
+    has = lambda c: F.col(c).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))) != 0
+    columns = ["image", "cid", "area", "threshold", "conf", "place", "state"]
+    each = each.withColumn("state", F.when(has("skip"), "ignored").when(has("tp"), "tp").otherwise("fp")).select(*columns)
+    found = each.unionByName(found.where("state = 'target'").withColumn("threshold", F.lit(None).cast("double")).select(*columns))
+    named = [(None, None, None, None, None, int(m), "limit") for m in most] + [(None, None, a, None, None, None, "area") for a in areas]
+    return found.unionByName(predictions.sparkSession.createDataFrame(named, found.schema))
+
+
 def same_boxes(actual: DataFrame, expected: DataFrame, tolerance: float = 0.011) -> DataFrame:
     """(image, same): whether two bags of labelled boxes agree, each box using up one of the other bag."""
 

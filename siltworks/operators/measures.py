@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def rates(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
     """(precision, recall, f1): precision and f1 are 0 where undefined, recall is null."""
@@ -31,29 +33,105 @@ def sweep(scored: DataFrame, score: str, truth: str, thresholds: Sequence[float]
     return n.withColumns({"precision": p, "recall": r, "f1": f})
 
 
+def curve(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], hit: str) -> DataFrame:
+    """``rows`` with tp, n and envelope: hits and rows up to each, and the best precision from it on, in the order of each key.
+
+    Rows are dealt by ranges of (key, order), so a key of any size lies in
+    several tasks; only sums per key and range are put in order as a whole.
+    """
+    names = [f"__o{i}" for i in range(len(order))]
+    keyed = rows.withColumns({**dict(zip(names, order)), "__h": F.col(hit).cast("int")})
+    ranged = materialize(keyed.repartitionByRange(*keys, *names).withColumn("__range", F.spark_partition_id()))
+    inner = Window.partitionBy("__range", *keys).orderBy(*names)
+    turned = Window.partitionBy("__range", *keys).orderBy(*[F.desc(c) for c in names])
+    within = ranged.withColumn("__tp", F.sum("__h").over(inner.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.row_number().over(inner))
+
+    def beside(frame: DataFrame, sums: DataFrame) -> DataFrame:
+        other = sums.select(*[F.col(c).alias(f"{c}__s") for c in ("__range", *keys)], *[c for c in sums.columns if c not in ("__range", *keys)])
+        same = F.lit(True)
+        for c in ("__range", *keys):
+            same = same & F.col(c).eqNullSafe(F.col(f"{c}__s"))
+        return frame.join(other, same).drop(*[f"{c}__s" for c in ("__range", *keys)])
+
+    ranges = Window.partitionBy(*keys).orderBy("__range")
+    sums = ranged.groupBy("__range", *keys).agg(F.sum("__h").alias("__a"), F.count(F.lit(1)).alias("__b"))
+    ahead = lambda c: F.coalesce(F.sum(c).over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("__range", *keys, ahead("__a").alias("__ahead"), ahead("__b").alias("__rows"))
+    whole = beside(within, sums).withColumns({"tp": F.col("__tp") + F.col("__ahead"), "n": F.col("__n") + F.col("__rows")}).withColumn("__p", F.col("tp") / F.col("n"))
+    best = whole.groupBy("__range", *keys).agg(F.max("__p").alias("__m"))
+    # frames that begin at the partition's start grow by one row each; those that reach to its end are gone through anew for every row
+    back = Window.partitionBy(*keys).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    best = best.select("__range", *keys, F.max("__m").over(back).alias("__later"))
+    found = beside(whole, best).withColumn("envelope", F.greatest(F.max("__p").over(turned.rowsBetween(Window.unboundedPreceding, 0)), F.coalesce("__later", F.lit(0.0))))
+    return found.drop("__range", "__h", "__tp", "__n", "__ahead", "__rows", "__p", "__later", *names)
+
+
+def area_under(ranked: DataFrame, keys: Sequence[str], total: str, hit: str, points: int = 101) -> DataFrame:
+    """(keys..., positives, hits, ap) of rows with tp and envelope; ``total`` is a key's number of targets."""
+    # the envelope at recall r is its value at the first row with tp >= r * total: each hit row serves a range of points
+    last = F.floor(F.col("tp") * (points - 1) / F.col(total) + 1e-9)
+    first = F.floor((F.col("tp") - 1) * (points - 1) / F.col(total) + 1e-9)
+    share = F.when(F.col("tp") == 1, last + 1).otherwise(last - first)
+    served = ranked.withColumn("__share", F.when((F.col(hit) == 1) & (F.col(total) > 0), share).otherwise(0))
+    out = served.groupBy(*keys).agg(F.max(total).alias("positives"), F.sum(hit).alias("hits"), F.sum(F.col("__share") * F.coalesce("envelope", F.lit(0.0))).alias("__area"))
+    return out.withColumn("ap", F.when(F.col("positives") > 0, F.col("__area") / points).otherwise(F.lit(-1.0))).drop("__area")
+
+
 def average_precision(ranked: DataFrame, score: str, hit: str, tie: str, positives: Column | None = None, by: Sequence[str] = (), points: int = 101) -> DataFrame:
     """(by..., positives, ap): precision made non-increasing from the right, sampled at ``points`` recalls.
 
     ranked: one row per detection; hit is 1 or 0; positives: targets of a key
     (its hits, unless given). Keys without targets have the ap -1.
     """
-    keys = list(by) or [F.lit(0).alias("__all")]
-    rows = ranked.select(*keys, F.col(score).alias("s"), F.col(hit).cast("int").alias("h"), F.col(tie).alias("t"), (positives if positives is not None else F.lit(None).cast("long")).alias("given"))
+    keys = [F.col(c) for c in by] or [F.lit(0).alias("__all")]
     names = list(by) or ["__all"]
-    order = Window.partitionBy(*names).orderBy(F.desc("s"), "t")
-    run = rows.withColumn("tp", F.sum("h").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(order))
-    run = run.withColumn("total", F.coalesce("given", F.sum("h").over(Window.partitionBy(*names))))
-    run = run.withColumn("precision", F.col("tp") / F.col("n")).withColumn("envelope", F.max("precision").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    # the envelope at recall r is its value at the first row with tp >= r * total: each hit row serves a range of points
-    last = F.floor(F.col("tp") * (points - 1) / F.col("total") + 1e-9)
-    first = F.floor((F.col("tp") - 1) * (points - 1) / F.col("total") + 1e-9)
-    share = F.when(F.col("tp") == 1, last + 1).otherwise(last - first)
-    served = run.withColumn("share", F.when((F.col("h") == 1) & (F.col("total") > 0), share).otherwise(0))
-    out = served.groupBy(*names).agg(F.max("total").alias("positives"), F.sum(F.col("share") * F.coalesce("envelope", F.lit(0.0))).alias("area"))
-    out = out.withColumn("ap", F.when(F.col("positives") > 0, F.col("area") / points).otherwise(F.lit(-1.0))).drop("area")
+    rows = ranked.select(*keys, F.col(score).alias("__s"), F.col(hit).cast("int").alias("__hit"), F.col(tie).alias("__t"), (positives if positives is not None else F.lit(None).cast("long")).alias("__given"))
+    totals = rows.groupBy(*names).agg(F.coalesce(F.max("__given"), F.sum("__hit")).alias("__total"))
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    run = curve(rows, names, [-F.col("__s"), F.col("__t")], "__hit").alias("l").join(totals.alias("r"), same).select("l.*", "r.__total")
+    out = area_under(run, names, "__total", "__hit", points).drop("hits")
     return out if by else out.drop("__all")
 
 
+def detections(graded: DataFrame, limits: Sequence[int]) -> DataFrame:
+    """(cid, area, threshold, positives, ap, hits): ap of the surest detections by the largest limit, hits as an array by limit."""
+    targets = graded.where("state = 'target'").groupBy("cid", "area").agg(F.count(F.lit(1)).alias("positives"))
+    rows = graded.where(F.col("state").isin("tp", "fp") & (F.col("place") < max(limits))).withColumn("hit", (F.col("state") == "tp").cast("int"))
+    keys = ["cid", "area", "threshold"]
+    ranked = curve(rows, keys, [-F.col("conf"), F.col("image"), F.col("place")], "hit")
+    aps = area_under(ranked.join(targets, ["cid", "area"]), keys, "positives", "hit").select(*keys, "ap")
+    hits = rows.groupBy(*keys).agg(F.array(*[F.sum(F.when(F.col("place") < m, F.col("hit")).otherwise(0)) for m in limits]).alias("hits"))
+    # classes with targets and without any detection have an ap and a recall of 0; ten thresholds
+    each = graded.where("threshold IS NOT NULL").select("threshold").distinct()
+    whole = targets.crossJoin(each).join(aps, keys, "left").join(hits, keys, "left")
+    return whole.select(*keys, "positives", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("hits", F.array(*[F.lit(0).cast("long")] * len(limits))).alias("hits"))
+
+
+def detection_report(graded: DataFrame) -> DataFrame:
+    """(measure, value): mean precision over thresholds, at 0.5 and 0.75 and by area, and mean recall by limit.
+
+    graded: as ``matching.graded`` gives it; its limits and areas are those found in it.
+    """
+    graded = materialize(graded)
+    named = graded.where("state IN ('limit', 'area')").select("state", "place", "area").collect()  # a few rows
+    limits, areas = sorted(r["place"] for r in named if r["state"] == "limit"), sorted(r["area"] for r in named if r["state"] == "area")
+    cells = detections(graded.where("state NOT IN ('limit', 'area')"), limits)
+    whole = F.col("area") == "all"
+    near = lambda t: F.abs(F.col("threshold") - t) < 1e-9
+    recall = lambda i: F.get("hits", F.lit(i)) / F.col("positives")
+    ap = F.col("ap")
+    measures = {"map50_95": (whole, ap), "map50": (whole & near(0.5), ap), "map75": (whole & near(0.75), ap), **{f"ap_{a}": (F.col("area") == a, ap) for a in areas}, **{f"ar{m}": (whole, recall(i)) for i, m in enumerate(limits)}}
+    means = cells.agg(*[F.round(F.avg(F.when(c, v)), 9).alias(name) for name, (c, v) in measures.items()])
+    return means.select(F.inline(F.array(*[F.struct(F.lit(name).alias("measure"), F.col(name).alias("value")) for name in measures])))
+
+
+def confusion(rows: DataFrame) -> DataFrame:
+    """(truth, predicted, n)."""
+    return rows.groupBy("truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """``df`` with rank: the mean place of equal values. Places come from counts, so equal values share a row of work."""
     n = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))

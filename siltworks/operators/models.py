@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 LEAST = 20
 
 
@@ -21,10 +23,10 @@ def predictions(df: DataFrame, key: str, features: str, label: str, folds: int =
     from pyspark.sql import Window
 
     order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key)
-    rows = df.select(key, F.col(label).cast("string").alias("label"), array_to_vector(F.col(features).cast("array<double>")).alias("x"), (F.row_number().over(order) % folds).alias("fold")).persist()
+    rows = df.select(key, F.col(label).cast("string").alias("label"), array_to_vector(F.col(features).cast("array<double>")).alias("x"), (F.row_number().over(order) % folds).alias("fold"))
+    rows = materialize(rows)
     n, classes = rows.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
     if n < LEAST or classes < 2:
-        rows.unpersist()
         raise ValueError(f"{n} rows of {classes} classes: {LEAST} rows of two classes are needed")
     index = StringIndexer(inputCol="label", outputCol="y").fit(rows)
     steps = Pipeline(stages=[StandardScaler(inputCol="x", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", labelCol="y", maxIter=100, regParam=1e-3)])

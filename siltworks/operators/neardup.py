@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import hamming
@@ -16,13 +18,22 @@ def bands(df: DataFrame, bits: str, within: int) -> DataFrame:
     return df.select("*", F.inline(F.array(*parts)))
 
 
+#: Up to this radius a band has ten bits or more, and an equi-join on bands meets few pairs that are not near.
+BANDED = 5
+#: Rows of one side that a task compares with as many of the other.
+BLOCK = 8192
+
+
 def hamming_join(left: DataFrame, right: DataFrame, id_col: str, bits: str, within: int, ordered: bool = False) -> DataFrame:
     """(a, b, distance): pairs within ``within`` bits; ordered: only a < b (a self-join).
 
-    An equi-join on bands, exact by the pigeonhole principle; a pair that
-    agrees in several bands is reported by the first of them alone, so no
-    distinct is needed.
+    Small radii: an equi-join on bands, exact by the pigeonhole principle; a
+    pair that agrees in several bands is reported by the first of them alone,
+    so no distinct is needed. Larger radii, where bands would be a few bits
+    that most rows share: :func:`blockwise`.
     """
+    if within > BANDED:
+        return blockwise(left, right, id_col, bits, within, ordered)
     a = bands(left.select(F.col(id_col).alias("a"), F.col(bits).alias("x")), "x", within)
     b = bands(right.select(F.col(id_col).alias("b"), F.col(bits).alias("y")), "y", within)
     near = hamming(F.col("x"), F.col("y"))
@@ -32,23 +43,86 @@ def hamming_join(left: DataFrame, right: DataFrame, id_col: str, bits: str, with
     masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(n)]
     signed = lambda m: m - 2**64 if m >= 2**63 else m
     first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(signed(m))) == 0, F.lit(i)) for i, m in enumerate(masks)])
-    pairs = a.join(b, ["band", "value"]).where((near <= within) & (first == F.col("band")))
-    pairs = pairs.where("a < b") if ordered else pairs
+    meets = (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value"))
+    if ordered:
+        meets = meets & (F.col("a") < F.col("b"))
+    pairs = a.alias("l").join(b.alias("r"), meets).where((near <= within) & (first == F.col("l.band")))
     return pairs.select("a", "b", near.alias("distance"))
 
 
+def blockwise(left: DataFrame, right: DataFrame, id_col: str, bits: str, within: int, ordered: bool = False, keep: str = "all") -> DataFrame:
+    """(a, b, distance) of pairs within ``within`` bits, for radii at which most pairs have to be compared.
+
+    Both sides are dealt to blocks of about ``BLOCK`` rows by a hash of the id;
+    a task compares one block with one other in numpy. keep: all pairs; of each
+    b and block the smallest a (first), or any a (any): what is moved on then
+    grows with the rows, not with the pairs.
+    """
+    kind = left.schema[id_col].dataType.simpleString()
+    rows = lambda df: df.select(F.col(id_col).alias("id"), F.col(bits).alias("bits")).where("id IS NOT NULL AND bits IS NOT NULL")
+    a, b = rows(left), rows(right)
+    m, n = (max(1, -(-x.count() // BLOCK)) for x in (a, b))
+    if ordered:  # one table: a block meets itself and the later ones
+        m = n = max(m, n)
+    block = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    a, b = a.withColumn("i", block(m)), b.withColumn("j", block(n))
+    a = a.withColumn("j", F.explode(F.sequence(F.col("i") if ordered else F.lit(0), F.lit(n - 1))))
+    b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if ordered else F.lit(m - 1))))
+
+    def compare(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        x, y = (side["bits"].to_numpy(np.int64).view(np.uint64) for side in (p, q))
+        ids, others = p["id"].to_numpy(), q["id"].to_numpy()
+        same = ordered and len(p) and len(q) and p["i"].iloc[0] == q["j"].iloc[0]
+        for at in range(0, len(x), 512):
+            apart = np.bitwise_count(x[at : at + 512, None] ^ y[None, :])
+            u, v = np.nonzero(apart <= within)
+            found = pd.DataFrame({"a": ids[at + u], "b": others[v], "distance": apart[u, v].astype(np.int32)})
+            if ordered:
+                if same:
+                    found = found[found["a"] < found["b"]]
+                else:
+                    turned = found["a"] > found["b"]
+                    found.loc[turned, ["a", "b"]] = found.loc[turned, ["b", "a"]].to_numpy()
+                    found = found[found["a"] != found["b"]]
+            out.append(found)
+        found = pd.concat(out) if out else pd.DataFrame({"a": ids[:0], "b": others[:0], "distance": np.empty(0, np.int32)})
+        return found if keep == "all" else found.sort_values(["b", "a"]).drop_duplicates("b")
+
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(compare, f"a {kind}, b {kind}, distance int")
+
+
 def within_reach(left: DataFrame, right: DataFrame, id_col: str, bits: str, within: int) -> DataFrame:
     """The rows of ``left`` that have a row of ``right`` within ``within`` bits."""
-    near = hamming_join(left, right, id_col, bits, within).select(F.col("a").alias(id_col)).distinct()
+    if within > BANDED:
+        near = blockwise(right, left, id_col, bits, within, keep="any").select(F.col("b").alias(id_col)).distinct()
+    else:
+        near = hamming_join(left, right, id_col, bits, within).select(F.col("a").alias(id_col)).distinct()
     return left.join(near, id_col, "left_semi")
 
 
-def first_earlier(df: DataFrame, id_col: str, bits: str, within: int) -> DataFrame:
-    """(id, near): the earliest id before each row that is within ``within`` bits; only rows that have one."""
-    pairs = hamming_join(df, df, id_col, bits, within, ordered=True)
+def examples(left: DataFrame, right: DataFrame, id_col: str, bits: str, within: int, n: int = 10) -> DataFrame:
+    """The first ``n`` pairs of rows of the two sides within ``within`` bits, by their ids."""
+    return hamming_join(left, right, id_col, bits, within).orderBy("a", "b").limit(n)
+
+
+def first_earlier(df: DataFrame, id_col: str, bits: str, within: int, accepted: Column | None = None) -> DataFrame:
+    """(id, near): the earliest accepted id before each row that is within ``within`` bits; only rows that have one.
+
+    accepted: which rows others are compared with; all, if not given. Rows that
+    are not accepted are neither compared with nor get a row.
+    """
+    rows = df if accepted is None else df.where(accepted)
+    pairs = hamming_join(rows, rows, id_col, bits, within, ordered=True) if within <= BANDED else blockwise(rows, rows, id_col, bits, within, ordered=True, keep="first")
     return pairs.groupBy(F.col("b").alias(id_col)).agg(F.min("a").alias("near"))
 
 
+def distinct_first(df: DataFrame, id_col: str, key: str) -> DataFrame:
+    """``df`` with first: the earliest id of equal keys; a row is its own first if no earlier one has its key."""
+    first = df.groupBy(key).agg(F.min(id_col).alias("first"))
+    return df.join(first, key)
+
+
 def key_edges(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     """(a, b): every row is linked to the smallest id of each key it has; null keys link nothing."""
     tagged = df.select(F.col(id_col).alias("b"), F.explode(F.array(*[F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in keys])).alias("key")).where("key IS NOT NULL")

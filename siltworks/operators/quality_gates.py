@@ -31,7 +31,7 @@ def review_status(issues: Column, unmapped: Column, stale: Column, action: Colum
         ("quarantine_invalid", issues),
         ("approved", said("approve") & complete),
         ("quarantine_incomplete_approval", said("approve")),
-        ("quarantine_review", said("quarantine")),
+        ("quarantine_review", said("quarantine") | said("repair")),
         ("quarantine_prior_review", prior),
         ("quarantine_empty", empty),
         otherwise="pending_review" if required else "provisional",

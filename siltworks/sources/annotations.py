@@ -115,7 +115,7 @@ def coco(spark: SparkSession, paths: Mapping[str, str]) -> tuple[DataFrame, Data
     return rows.withColumn("issue", issue.cast("string")).withColumns(centre).drop("bbox"), violations.unionByName(unsafe)
 
 
-def reviews(spark: SparkSession, path: str, key: str = "image", actions: Sequence[str] = ("", "approve", "exclude", "quarantine")) -> DataFrame:
+def reviews(spark: SparkSession, path: str, key: str = "image", actions: Sequence[str] = ("", "approve", "exclude", "repair", "quarantine")) -> DataFrame:
     """A review table; missing or repeated keys and unknown actions are errors."""
     rows = spark.read.option("header", True).csv(path).fillna("")
     bad = rows.where((F.col(key) == "") | ~F.col("action").isin(list(actions))).limit(1).count()

@@ -46,6 +46,13 @@ def trimmed(log: DataFrame, step: str, durable: int) -> DataFrame:
     return log.where(F.col(step) <= durable)
 
 
+def loss_summary(log: DataFrame, step: str, value: str, recent: int, batch: int) -> DataFrame:
+    """(kept, last_step, least, most, recent_mean, kimg): of a log, and the mean of its ``recent`` last rows."""
+    last = log.orderBy(F.desc(step)).limit(recent).agg(F.round(F.avg(value), 6).alias("recent_mean"))
+    whole = log.agg(F.count(F.lit(1)).alias("kept"), F.max(step).alias("last_step"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.max(step) * batch / 1000, 6).alias("kimg"))
+    return whole.crossJoin(last)  # one row each
+
+
 LOG = "run string, step long, value double"
 
 
