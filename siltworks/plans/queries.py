@@ -8,48 +8,15 @@ perceptual hash. ORACLE_SQL has the same results in DuckDB's SQL.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, identity
-from ..operators import measures, neardup, quality_gates, selection, statistics, workflow
+from ..operators import matching, measures, neardup, quality_gates, selection, statistics, workflow
 from ..operators.components import connected_components
-from ..session import materialize, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def split_of(key) -> F.Column:
-    """train, val or test by the first hex digit of a hash: 11, 2 and 3 of 16."""
-    d = F.substring(F.md5(key.cast("string")), 1, 1)
-    return F.when(d < "b", "train").when(d < "d", "val").otherwise("test")
-
-
-SPLIT = "CASE WHEN md5(doc_id::VARCHAR)[1] < 'b' THEN 'train' WHEN md5(doc_id::VARCHAR)[1] < 'd' THEN 'val' ELSE 'test' END"
-
-
-def docs_split(spark, d) -> DataFrame:
-    return table(spark, d, "documents").withColumn("split", split_of(F.col("doc_id")))
-
-
-def hashes(spark, d) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", "label", identity.sign_bits(F.col("embedding")).alias("bits"))
-
-
-BITS = "SELECT vec_id, label, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN 1::HUGEINT << (i - 1) ELSE 0::HUGEINT END))::UBIGINT AS bits FROM embeddings"
+from ..session import delete_path, materialize, shared_folder, table
+from ..streaming import control
+from .registry import BITS, BOXES, ORACLE_SQL, QUERIES, SPLIT, docs_split, hashes, line_boxes, query, rounded  # noqa: F401
 
 
 @query(f"SELECT {SPLIT} AS split, lang, count(*) AS documents, count(DISTINCT source) AS sources, count(*) FILTER (WHERE n_chars < 200) AS short, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ALL")
@@ -64,9 +31,9 @@ def orphans_full_outer(spark, d):
     return both.groupBy(F.when(F.col("l_id").isNull(), "unlabelled").when(F.col("doc_id").isNull(), "orphan_label").otherwise("paired").alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def left_anti_unlisted(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "source")
 
 
 @query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY ALL")
@@ -87,8 +54,8 @@ def referential_gate(spark, d):
     return found.unionByName(quality_gates.repeated(lines, ["l_orderkey", "l_linenumber"], "repeated_line"))
 
 
-STATUS = """CASE WHEN source = 'src3' THEN 'excluded_unmapped' WHEN quality IS NOT NULL AND doc_id % 11 = 0 THEN 'quarantine_stale_review' WHEN quality = 0 THEN 'excluded_review'
-    WHEN n_chars < 100 THEN 'quarantine_invalid' WHEN quality = 1 AND toxic = 0 THEN 'approved' WHEN quality = 1 THEN 'quarantine_incomplete_approval'
+STATUS = """CASE WHEN source = 'src3' THEN 'excluded_unmapped' WHEN (quality IS NOT NULL OR lang = 'de' OR (lang = 'fr' AND n_chars < 900)) AND doc_id % 11 = 0 THEN 'quarantine_stale_review' WHEN quality = 0 THEN 'excluded_review'
+    WHEN n_chars < 100 THEN 'quarantine_invalid' WHEN quality = 1 AND toxic = 0 THEN 'approved' WHEN quality = 1 THEN 'quarantine_incomplete_approval' WHEN lang = 'de' THEN 'quarantine_review' WHEN lang = 'fr' AND n_chars < 900 THEN 'quarantine_review'
     WHEN doc_id % 13 = 0 THEN 'quarantine_prior_review' WHEN n_chars = 0 THEN 'quarantine_empty' ELSE 'pending_review' END"""
 
 
@@ -98,7 +65,7 @@ def review_left_join_status(spark, d):
     no = F.lit(False)
     status = quality_gates.review_status(
         issues=F.col("n_chars") < 100, unmapped=F.coalesce(F.col("source") == "src3", no), stale=F.col("doc_id") % 11 == 0,
-        action=F.when(F.col("quality") == 1, "approve").when(F.col("quality") == 0, "exclude"), complete=F.col("toxic") == 0,
+        action=F.when(F.col("quality") == 1, "approve").when(F.col("quality") == 0, "exclude").when(F.col("lang") == "de", "repair").when((F.col("lang") == "fr") & (F.col("n_chars") < 900), "quarantine"), complete=F.col("toxic") == 0,
         prior=F.col("doc_id") % 13 == 0, empty=F.col("n_chars") == 0, required=True,
     )
     return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
@@ -141,23 +108,24 @@ def hamming_semijoin(spark, d):
     return count(low, high, "low").unionByName(count(high, low, "high"))
 
 
-@query(f"SELECT b AS vec_id, min(a) AS near FROM ({PAIRS}) GROUP BY b")
+@query(f"WITH b AS ({BITS}), f AS (SELECT *, min(vec_id) OVER (PARTITION BY bits) AS first FROM b), a AS (SELECT * FROM f WHERE vec_id = first) SELECT y.vec_id, min(x.vec_id) AS near FROM a x JOIN a y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.bits, y.bits)) <= 20 GROUP BY 1")
 def near_dup_first_match(spark, d):
-    return neardup.first_earlier(hashes(spark, d), "vec_id", "bits", 20)
+    rows = neardup.distinct_first(hashes(spark, d), "vec_id", "bits")  # a row equal to an earlier one is not accepted
+    return neardup.first_earlier(rows, "vec_id", "bits", 20, accepted=F.col("vec_id") == F.col("first"))
 
 
 def joined_groups(spark, d) -> DataFrame:
-    """(vec_id, component) under hash links and a shared bucket of label and id."""
-    bits = hashes(spark, d).withColumn("bucket", F.when(F.col("vec_id") % 50 == F.col("label"), F.col("label")))
-    edges = neardup.hamming_join(bits, bits, "vec_id", "bits", 20, ordered=True).select("a", "b").unionByName(neardup.key_edges(bits, "vec_id", ["bucket"]))
-    found = connected_components(edges)
+    """(vec_id, component) under hash links and a shared key: the label and a run of 25 ids."""
+    bits = hashes(spark, d).withColumn("key", F.concat_ws("/", "label", F.floor(F.col("vec_id") / 25)))
+    near = neardup.hamming_join(bits, bits, "vec_id", "bits", 20, ordered=True).select("a", "b")
+    found = connected_components(near.unionByName(neardup.key_edges(bits, "vec_id", ["key"])))
     return bits.join(found.withColumnRenamed("vertex", "vec_id"), "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("component"))
 
 
 COMPONENTS = f"""
     WITH RECURSIVE b AS MATERIALIZED ({BITS}),
     p AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM b x JOIN b y ON x.vec_id <> y.vec_id
-        WHERE bit_count(xor(x.bits, y.bits)) <= 20 OR (x.label = y.label AND x.vec_id % 50 = x.label AND y.vec_id % 50 = y.label)),
+        WHERE bit_count(xor(x.bits, y.bits)) <= 20 OR (x.label = y.label AND x.vec_id // 25 = y.vec_id // 25)),
     r AS (SELECT vec_id, vec_id AS seen FROM b UNION SELECT r.vec_id, p.b FROM r JOIN p ON r.seen = p.a),
     c AS (SELECT vec_id, min(seen) AS component FROM r GROUP BY vec_id)
 """
@@ -170,8 +138,20 @@ def components(spark, d):
 
 @query(f"{COMPONENTS} SELECT component, count(*) AS members, substr(sha256(string_agg(vec_id::VARCHAR, chr(10) ORDER BY vec_id::VARCHAR)), 1, 20) AS group_id FROM c GROUP BY component HAVING count(*) > 1 ORDER BY members DESC, component LIMIT 5")
 def cluster_stats(spark, d):
-    g = joined_groups(spark, d).groupBy("component").agg(F.count("*").alias("members"), identity.group_id(F.collect_list(F.col("vec_id").cast("string"))).alias("group_id"))
-    return g.where("members > 1").orderBy(F.desc("members"), "component").limit(5)
+    rows = materialize(joined_groups(spark, d))
+    top = rows.groupBy("component").agg(F.count("*").alias("members")).where("members > 1").orderBy(F.desc("members"), "component").limit(5)
+    # members are gathered of these five alone: an id is a hash of all of them
+    return rows.join(F.broadcast(top), "component").groupBy("component", "members").agg(identity.group_id(F.collect_list(F.col("vec_id").cast("string"))).alias("group_id")).orderBy(F.desc("members"), "component")
+
+
+CROSSING = f"{COMPONENTS}, s AS (SELECT component, count(*) AS n, count(DISTINCT vec_id % 3) AS splits FROM c GROUP BY 1) SELECT sum(n) FILTER (WHERE n > 1)::BIGINT AS clustered, count(*) FILTER (WHERE n > 1) AS clusters, count(*) FILTER (WHERE n > 1 AND splits > 1) AS crossing FROM s"
+
+
+@query(CROSSING)
+def cluster_crossings(spark, d):
+    s = joined_groups(spark, d).groupBy("component").agg(F.count("*").alias("n"), F.count_distinct(F.col("vec_id") % 3).alias("splits"))
+    many = F.col("n") > 1
+    return s.agg(F.sum(F.when(many, F.col("n"))).alias("clustered"), F.count_if(many).alias("clusters"), F.count_if(many & (F.col("splits") > 1)).alias("crossing"))
 
 
 @query(f"SELECT 'group_crosses_splits' AS violation, md5(text) AS key, count(*) AS rows FROM (SELECT *, {SPLIT} AS split FROM documents) GROUP BY ALL HAVING count(DISTINCT split) > 1")
@@ -210,12 +190,6 @@ def planning_matrix(spark, d):
     return each.select("lang", "fraction", F.bround(size).cast("long").alias("expected"), F.when(size < 5, "FAIL").when(size < 20, "WARN").otherwise("OK").alias("verdict"))
 
 
-@query(r"SELECT coalesce(nullif(regexp_extract(url, '^https?://([^/]*)', 1), ''), '') AS host, count(*) AS pages, count(DISTINCT regexp_extract(url, '/(\d+)', 1)) AS units, count(*) FILTER (WHERE starts_with(url, 'https://')) AS secure FROM pages GROUP BY ALL")
-def capture_unit(spark, d):
-    url = F.col("url")
-    return table(spark, d, "pages").groupBy(F.regexp_extract(url, "^https?://([^/]*)", 1).alias("host")).agg(F.count("*").alias("pages"), F.count_distinct(F.regexp_extract(url, r"/(\d+)", 1)).alias("units"), F.count_if(url.startswith("https://")).alias("secure"))
-
-
 @query("""
     WITH t AS (SELECT l_orderkey, l_linenumber, l_linenumber AS cid, l_quantity / 50 AS cx, l_discount * 10 AS cy, l_tax * 5 AS w, l_discount * 4 AS h FROM lineitem)
     SELECT coalesce(CASE WHEN cid >= 7 THEN 'class' WHEN cx < 0 OR cx > 1 OR cy < 0 OR cy > 1 OR w < 0 OR w > 1 OR h < 0 OR h > 1 THEN 'range' WHEN w <= 0 OR h <= 0 THEN 'area'
@@ -227,12 +201,6 @@ def geometry_validate(spark, d):
     return table(spark, d, "lineitem").select(F.coalesce(problem, F.lit("valid")).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
 
 
-def line_boxes(spark, d) -> DataFrame:
-    x, y = F.col("l_discount") * 8, F.col("l_tax") * 10
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x1"), y.alias("y1"), (x + F.col("l_quantity") / 100).alias("x2"), (y + F.col("l_quantity") / 100).alias("y2"))
-
-
-BOXES = "SELECT l_orderkey, l_linenumber, l_discount * 8 AS x1, l_tax * 10 AS y1, l_discount * 8 + l_quantity / 100 AS x2, l_tax * 10 + l_quantity / 100 AS y2 FROM lineitem"
 SQL_IOU = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
 
 
@@ -261,16 +229,50 @@ def labelled(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(table(spark, d, "labels"), "doc_id")
 
 
-@query("SELECT quality AS truth, CASE WHEN n_chars >= 300 THEN 1 ELSE 0 END AS predicted, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+SQL_RATES = "round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 9) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 9) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 9) AS f1"
+
+
+#: The boxes of an order, numbered, as line numbers repeat; moved a little, so that no two overlaps are equal.
+TARGETS = """SELECT l_orderkey, j, j % 3 AS cid, l_discount * 8 + j * 0.003::DOUBLE AS x1, l_tax * 10 + j * j * 0.001::DOUBLE AS y1, l_discount * 8 + j * 0.003::DOUBLE + l_quantity / 100 AS x2, l_tax * 10 + j * j * 0.001::DOUBLE + l_quantity / 100 AS y2
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS j FROM lineitem)"""
+GREEDY = """
+    WITH RECURSIVE b AS (%s), t AS (SELECT l_orderkey, list({'j': j, 'cid': cid, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY j) AS ts,
+        list({'k': j, 'cid': cid, 'x1': x1 + j * 0.01::DOUBLE, 'y1': y1, 'x2': x2 + j * 0.01::DOUBLE, 'y2': y2} ORDER BY j) AS ps FROM b GROUP BY 1),
+    r AS (SELECT l_orderkey, 0 AS k, []::BIGINT[] AS used, NULL::BIGINT AS cid, NULL::DOUBLE AS conf, NULL::BIGINT AS hit FROM t
+        UNION ALL SELECT l_orderkey, k + 1, CASE WHEN best.over >= 0.5 THEN list_append(used, best.j) ELSE used END, p.cid, 1 / (1 + p.k), CASE WHEN best.over >= 0.5 THEN best.j END
+        FROM (SELECT l_orderkey, k, used, ps[k + 1] AS p, %s AS best FROM r JOIN t USING (l_orderkey) WHERE k < len(ps)))
+"""
+OVER = "greatest(0, least(ps[k + 1].x2, t.x2) - greatest(ps[k + 1].x1, t.x1)) * greatest(0, least(ps[k + 1].y2, t.y2) - greatest(ps[k + 1].y1, t.y1))"
+AREAS = "((ps[k + 1].x2 - ps[k + 1].x1) * (ps[k + 1].y2 - ps[k + 1].y1) + (t.x2 - t.x1) * (t.y2 - t.y1))"
+#: The best free target: the largest overlap, then the first or the last place.
+BEST = "list_max(list_transform(list_filter(ts, lambda t: NOT list_contains(used, t.j) %s), lambda t: {'over': %s / (%s - %s), 'place': %st.j, 'j': t.j}))"
+
+
+@query(f"""{GREEDY % (TARGETS, BEST % ("", OVER, AREAS, OVER, ""))},
+    m AS (SELECT r.l_orderkey, coalesce(b.cid, 3) AS truth, r.cid AS predicted FROM r LEFT JOIN b ON r.l_orderkey = b.l_orderkey AND r.hit = b.j WHERE r.k > 0
+        UNION ALL SELECT b.l_orderkey, b.cid, 3 FROM b JOIN (SELECT l_orderkey, arg_max(used, k) AS used FROM r GROUP BY 1) u USING (l_orderkey) WHERE NOT list_contains(u.used, b.j))
+    SELECT truth, predicted, count(*) AS n FROM m GROUP BY ALL
+""")
 def confusion(spark, d):
-    return labelled(spark, d).groupBy(F.col("quality").alias("truth"), (F.col("n_chars") >= 300).cast("int").alias("predicted")).agg(F.count("*").alias("n"))
+    predictions, targets = shifted_boxes(spark, d)
+    return matching.confusion(predictions, targets, 3).groupBy("truth", "predicted").agg(F.count("*").alias("n"))
 
 
-SQL_RATES = "round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 9) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 9) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 9) AS f1"
+def shifted_boxes(spark, d):
+    """(predictions, targets) of every order: its lines' boxes, and the same moved right, the surest least."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    rows = table(spark, d, "lineitem").withColumn("j", F.row_number().over(w))
+    x, y, side = F.col("l_discount") * 8 + F.col("j") * 0.003, F.col("l_tax") * 10 + F.col("j") * F.col("j") * 0.001, F.col("l_quantity") / 100
+    boxes = rows.select(F.col("l_orderkey").cast("string").alias("image"), (F.col("j") % 3).cast("int").alias("cid"), "j", x.alias("x1"), y.alias("y1"), (x + side).alias("x2"), (y + side).alias("y2"))
+    predictions = boxes.select("image", "cid", (1 / (1 + F.col("j"))).alias("conf"), (F.col("x1") + F.col("j") * 0.01).alias("x1"), "y1", (F.col("x2") + F.col("j") * 0.01).alias("x2"), "y2")
+    return predictions, boxes.select("image", "cid", "x1", "y1", "x2", "y2")
+
+
+@query("SELECT quality AS truth, CASE WHEN n_chars >= 300 THEN 1 ELSE 0 END AS predicted, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+def class_confusion(spark, d):
+    return measures.confusion(labelled(spark, d).select(F.col("quality").alias("truth"), (F.col("n_chars") >= 300).cast("int").alias("predicted")))
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 9) for c in columns})
 
 
 @query(f"WITH t AS (SELECT lang, count(*) FILTER (WHERE quality = 1 AND n_chars >= 300) AS tp, count(*) FILTER (WHERE quality = 0 AND n_chars >= 300) AS fp, count(*) FILTER (WHERE quality = 1 AND n_chars < 300) AS fn FROM documents JOIN labels USING (doc_id) GROUP BY 1) SELECT lang, tp, fp, fn, {SQL_RATES} FROM t")
@@ -312,12 +314,22 @@ def bootstrap_ci(spark, d):
     return b.agg(F.count("*").alias("repetitions"), F.round(p[0], 9).alias("low"), F.round(p[1], 9).alias("high"))
 
 
-@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM events GROUP BY ALL")
+@query("WITH s AS (SELECT event_type, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd FROM events GROUP BY ALL) SELECT event_type, n, round(mean, 6) AS mean, round(sd, 6) AS sd FROM s")
 def seed_summary(spark, d):
     s = statistics.summary(table(spark, d, "events"), ["event_type"], "value")
     return s.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
+@query("""
+    WITH r AS (SELECT o_orderpriority AS model, o_orderstatus AS arm, o_custkey % 3 AS seed, avg(o_totalprice) AS v FROM orders GROUP BY ALL), s AS (SELECT model, arm, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd FROM r GROUP BY ALL)
+    SELECT model, arm, n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(mean - 4.302652729696142 * sd / sqrt(3), 2) AS ci_low, round(mean + 4.302652729696142 * sd / sqrt(3), 2) AS ci_high FROM s
+""")
+def seed_intervals(spark, d):
+    """Three seeds of every model and arm: 4.3026... is Student's t at 97.5 % with two degrees of freedom."""
+    s = statistics.summary(runs(spark, d), ["model", "arm"], "v")
+    return s.select("model", "arm", "n", *[F.round(c, k).alias(c) for c, k in (("mean", 4), ("sd", 4), ("ci_low", 2), ("ci_high", 2))])
+
+
 RUNS = "SELECT o_orderpriority AS model, o_custkey % 3 AS seed, o_orderstatus AS arm, avg(o_totalprice) AS v FROM orders GROUP BY ALL"
 
 
@@ -325,10 +337,17 @@ def runs(spark, d) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("model"), (F.col("o_custkey") % 3).alias("seed"), F.col("o_orderstatus").alias("arm")).agg(F.avg("o_totalprice").alias("v"))
 
 
-@query(f"WITH r AS ({RUNS}) SELECT a.model, a.arm, count(*) AS n_pairs, round(avg(a.v - b.v), 4) AS mean, round(avg(a.v - b.v) / nullif(stddev_samp(a.v - b.v), 0), 6) AS dz FROM r a JOIN r b ON a.model = b.model AND a.seed = b.seed AND b.arm = 'O' WHERE a.arm <> 'O' GROUP BY ALL")
+@query(f"""
+    WITH r AS ({RUNS}), x AS (SELECT a.model, a.arm, a.seed, a.v - b.v AS v FROM r a JOIN r b ON a.model = b.model AND a.seed = b.seed AND b.arm = 'O' WHERE a.arm <> 'O'),
+    k AS (SELECT *, rank() OVER (PARTITION BY model, arm ORDER BY abs(v)) AS rank FROM x),
+    s AS (SELECT model, arm, count(*) AS n_pairs, avg(v) AS mean, avg(v) / stddev_samp(v) AS dz, sum(CASE WHEN v > 0 THEN rank ELSE 0 END) AS up, sum(CASE WHEN v < 0 THEN rank ELSE 0 END) AS down FROM k GROUP BY ALL)
+    SELECT model, arm, n_pairs, round(mean, 4) AS mean, round(dz, 6) AS dz, round(1 - abs(dz * sqrt(3)) / sqrt(dz * dz * 3 + 2), 6) AS t_p,
+        [0.25, 0.5, 0.75, 1.0][least(up, down)::INTEGER + 1]::DOUBLE AS wilcoxon_p, round((up - down) / 6, 6) AS rank_biserial FROM s
+""")
 def paired_difference(spark, d):
+    """Three pairs each: with two degrees of freedom Student's distribution has a closed form, and the signed ranks have eight patterns."""
     t = statistics.paired_tests(statistics.paired(runs(spark, d), ["model", "seed"], "arm", "O", "v"), ["model", "arm"])
-    return t.select("model", "arm", "n_pairs", F.round("mean", 4).alias("mean"), F.round("dz", 6).alias("dz"))
+    return t.select("model", "arm", "n_pairs", F.round("mean", 4).alias("mean"), *[F.round(c, 6).alias(c) for c in ("dz", "t_p", "wilcoxon_p", "rank_biserial")])
 
 
 @query("WITH p AS (SELECT p_brand, avg(p_retailprice) / 10000 AS p FROM part GROUP BY 1), r AS (SELECT p_brand, p, least(1, p * (count(*) OVER () - row_number() OVER (ORDER BY p, p_brand) + 1)) AS raw FROM p) SELECT p_brand, round(p, 9) AS p, round(max(raw) OVER (ORDER BY p, p_brand ROWS UNBOUNDED PRECEDING), 9) AS adjusted FROM r")
@@ -344,19 +363,23 @@ def average_rank(spark, d):
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(quantile_cont(value, .95), 6) AS p95, round(1000 / avg(value), 6) AS per_second FROM events GROUP BY ALL")
 def latency_stats(spark, d):
-    p = F.percentile("value", [0.5, 0.95])
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(p[0], 6).alias("median"), F.round(p[1], 6).alias("p95"), F.round(1000 / F.avg("value"), 6).alias("per_second"))
+    rows = table(spark, d, "events")
+    means = rows.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(1000 / F.avg("value"), 6).alias("per_second"))
+    p = statistics.percentiles(rows, ["event_type"], "value", [0.5, 0.95])
+    return means.join(p, "event_type").select("event_type", "mean", F.round("p50", 6).alias("median"), F.round("p95", 6).alias("p95"), "per_second")
 
 
 @query(f"WITH t AS (SELECT *, {SPLIT} AS split FROM documents), k AS (SELECT * FROM (SELECT DISTINCT split FROM t), (SELECT DISTINCT lang FROM t)) SELECT k.split, k.lang, count(doc_id) AS instances, count(DISTINCT source) AS groups, median(n_chars) AS median_chars FROM k LEFT JOIN t USING (split, lang) GROUP BY ALL")
 def dataset_inventory(spark, d):
     t = docs_split(spark, d)
-    scaffold = F.broadcast(t.select("split").distinct()).crossJoin(t.select("lang").distinct())  # three splits times the classes
-    full = scaffold.join(t, ["split", "lang"], "left")
-    return full.groupBy("split", "lang").agg(F.count("doc_id").alias("instances"), F.count_distinct("source").alias("groups"), F.median("n_chars").alias("median_chars"))
+    counts = t.groupBy("split", "lang").agg(F.count("doc_id").alias("instances"), F.count_distinct("source").alias("groups"))
+    found = materialize(counts.join(statistics.percentiles(t, ["split", "lang"], "n_chars", [0.5]), ["split", "lang"], "left"))
+    scaffold = found.select("split").distinct().crossJoin(found.select("lang").distinct())  # three splits times the classes
+    full = scaffold.join(found, ["split", "lang"], "left")
+    return full.select("split", "lang", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("instances", "groups")], F.col("p50").alias("median_chars"))
 
 
-@query("SELECT lang, doc_id, place FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('0:' || doc_id), doc_id) AS place, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE place <= ceil(n * 0.1::DOUBLE)")
+@query("SELECT lang, doc_id, place FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('[0,\"' || doc_id || '\"]'), doc_id) AS place, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE place <= ceil(n * 0.1::DOUBLE)")
 def nested_prefix(spark, d):
     return selection.nested_prefix(table(spark, d, "documents").select("lang", "doc_id"), "lang", "doc_id", 0.1)
 
@@ -373,11 +396,11 @@ def coverage_sample(spark, d):
 
 @query("SELECT printf('seed%d_f%05d', s, (f * 10000)::INTEGER) AS subset, printf('seed%d_f%05d', s, (f * 10000)::INTEGER) || '_' || arm || '_' || model AS job FROM (SELECT unnest([0, 1, 2]) AS s), (SELECT unnest([0.25, 0.5, 1.0]) AS f), (SELECT DISTINCT o_orderstatus AS arm FROM orders), (SELECT DISTINCT r_name AS model FROM region)")
 def experiment_grid(spark, d):
-    arms = table(spark, d, "orders").select(F.col("o_orderstatus").alias("arm")).distinct()
-    models = table(spark, d, "region").select(F.col("r_name").alias("model")).distinct()
-    grid = spark.createDataFrame([(s, f) for s in (0, 1, 2) for f in (0.25, 0.5, 1.0)], "s int, f double").crossJoin(arms).crossJoin(models)  # dimensions only
-    key = identity.subset_key(F.col("s"), F.col("f"))
-    return grid.select(key.alias("subset"), F.concat_ws("_", key, "arm", "model").alias("job"))
+    # the names of a study's arms and models: a few each
+    arms = [r[0] for r in table(spark, d, "orders").select("o_orderstatus").distinct().orderBy("o_orderstatus").limit(100).collect()]
+    models = [r[0] for r in table(spark, d, "region").select("r_name").distinct().orderBy("r_name").limit(100).collect()]
+    subsets = spark.createDataFrame([(s, f) for s in (0, 1, 2) for f in (0.25, 0.5, 1.0)], "s int, f double").select(identity.subset_key(F.col("s"), F.col("f")).alias("subset"))
+    return workflow.grid(subsets, arms, models).select("subset", "job")
 
 
 @query("SELECT doc_id AS id, lang AS kind, NULL::INTEGER AS turn FROM documents UNION ALL SELECT conv_id, role, turn FROM conversations")
@@ -410,13 +433,11 @@ def review_pages(spark, d):
     return selection.pages(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id")
 
 
-@query("WITH t AS (SELECT event_id, value FROM events WHERE event_id <= (SELECT max(event_id) * 9 // 10 FROM events)), r AS (SELECT *, row_number() OVER (ORDER BY event_id DESC) AS rn FROM t) SELECT count(*) AS kept, max(event_id) AS last_step, round(avg(value) FILTER (WHERE rn <= 100), 6) AS recent_mean, min(value) AS least, max(value) AS most FROM r")
+@query("WITH t AS (SELECT event_id, value FROM events WHERE event_id <= (SELECT max(event_id) * 9 // 10 FROM events)), r AS (SELECT *, row_number() OVER (ORDER BY event_id DESC) AS rn FROM t) SELECT count(*) AS kept, max(event_id) AS last_step, round(avg(value) FILTER (WHERE rn <= 100), 6) AS recent_mean, min(value) AS least, max(value) AS most, round(max(event_id) * 2 / 1000, 6) AS kimg FROM r")
 def log_trim_last100(spark, d):
     log = table(spark, d, "events").select("event_id", "value")
-    kept = log.join(F.broadcast(log.agg(F.floor(F.max("event_id") * 9 / 10).alias("durable"))), F.col("event_id") <= F.col("durable"))
-    recent = kept.orderBy(F.desc("event_id")).limit(100).agg(F.round(F.avg("value"), 6).alias("recent_mean"))
-    whole = kept.agg(F.count("*").alias("kept"), F.max("event_id").alias("last_step"), F.min("value").alias("least"), F.max("value").alias("most"))
-    return whole.crossJoin(recent)  # one row each
+    durable = log.agg((F.max("event_id") * 9 / 10).cast("long")).first()[0]  # the last step that was saved
+    return control.loss_summary(control.trimmed(log, "event_id", durable), "event_id", "value", 100, 2)
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -471,32 +492,85 @@ def job_eligibility(spark, d):
     return workflow.eligible(jobs, test.unionByName(val), "test")
 
 
-@query()
+@query(f"""{GREEDY % (TARGETS, BEST % ("AND t.cid = ps[k + 1].cid", OVER, AREAS, OVER, "-"))},
+    n AS (SELECT r.cid, count(*) FILTER (WHERE hit IS NOT NULL) AS tp, count(*) FILTER (WHERE hit IS NULL) AS fp FROM r WHERE k > 0 GROUP BY 1),
+    f AS (SELECT b.cid, count(*) FILTER (WHERE NOT list_contains(u.used, b.j)) AS fn FROM b JOIN (SELECT l_orderkey, arg_max(used, k) AS used FROM r GROUP BY 1) u USING (l_orderkey) GROUP BY 1)
+    SELECT cid, tp, fp, fn, {SQL_RATES} FROM n JOIN f USING (cid)
+""")
 def greedy_match(spark, d):
-    from ..operators.matching import greedy
+    return rounded(measures.counts(matching.greedy(*shifted_boxes(spark, d))), "precision", "recall", "f1")
+
+
+@query()
+def detection_report(spark, d):
+    predictions, targets = shifted_boxes(spark, d)
+    return measures.detection_report(matching.graded(predictions, targets, areas={"all": (0, 1e10), "small": (0, 0.02), "large": (0.02, 1e10)}, most=(1, 3, 100)))
+
+
+@query()
+def group_bootstrap(spark, d):
+    hits = matching.greedy(*shifted_boxes(spark, d)).groupBy("image", "cid").agg(*[F.count_if(F.col("hit") == h).alias(h) for h in ("tp", "fp", "fn")])
+    groups = hits.withColumn("group", F.substring(F.md5("image"), 1, 2))
+    return rounded(statistics.group_bootstrap(groups, "group", by="cid"), "low", "high")
+
+
+@query("""
+    WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT * FROM w
+""")
+def streamed_windows(spark, d):
+    """The windows of a stream over the event files, each batch in full, as the last one left them."""
+    out = shared_folder(spark, "windows")
+    # a pattern, as the table may be one file or a folder of them
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n").write.mode("overwrite").parquet(f"{out}/{number}")
+        last.append(number)
+
+    last: list[int] = []
+    counted = control.windows(stream, "ts", "1 day", "1 day", "event_type")
+    counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    found = materialize(spark.read.parquet(f"{out}/{last[-1]}"))
+    delete_path(spark, out)
+    return found
+
+
+@query("""
+    WITH RECURSIVE s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value FROM events),
+    r AS (SELECT user_id, i, value::DOUBLE AS v FROM s WHERE i = 0 UNION ALL SELECT s.user_id, s.i, r.v * least(0.9::DOUBLE, (1 + s.i) / (10 + s.i)) + s.value * (1 - least(0.9::DOUBLE, (1 + s.i) / (10 + s.i))) FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)
+    SELECT user_id, round(arg_max(v, i), 6) AS ema FROM r GROUP BY user_id
+""")
+def moving_average(spark, d):
+    """A user's events are few; only they are gathered in a row."""
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("value").cast("double").alias("value")))).alias("all"))
+    return rows.select("user_id", F.round(control.ema(F.col("all.value"), 0.9), 6).alias("ema"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('3:' || doc_id), doc_id LIMIT 25")
+def seeded_rows(spark, d):
+    return selection.seeded_sample(table(spark, d, "documents").select("doc_id"), "doc_id", 25, 3)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 20")
+def undecided_queue(spark, d):
+    from ..operators.screening import undecided
 
-    boxes = line_boxes(spark, d).withColumn("image", F.col("l_orderkey").cast("string")).withColumn("cid", (F.col("l_linenumber") % 3).cast("int"))
-    targets = boxes.select("image", "cid", "x1", "y1", "x2", "y2")
-    shift = F.col("l_linenumber") * 0.01
-    predictions = boxes.select("image", "cid", (1 / (1 + F.col("l_linenumber"))).alias("conf"), (F.col("x1") + shift).alias("x1"), "y1", (F.col("x2") + shift).alias("x2"), "y2")
-    return measures.counts(greedy(predictions, targets)).orderBy("cid")
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("approved"))
+    return undecided(rows, "approved", "o_orderkey", 20).select("o_orderkey")
 
 
 @query()
 def nested_subsets(spark, d):
-    docs = docs_split(spark, d).where("split = 'train'")
-    langs = ("de", "en", "es", "fr")
-    rows = docs.groupBy("source").agg(F.count("*").alias("n"), *[F.count_if(F.col("lang") == x).alias(x) for x in langs]).collect()  # one row per source
-    found = selection.nested_subsets({r.source: r.n for r in rows}, {r.source: [r[x] for x in langs] for r in rows}, [0.25, 0.5, 1.0], 0, 3)
-    out = [(f, s) for f, some in found.items() for s in some]
-    return spark.createDataFrame(out, "fraction double, source string")
+    rows = docs_split(spark, d).where("split = 'train'")
+    groups, sums = selection.totals_of(rows, "source", {x: (F.col("lang") == x).cast("int") for x in ("de", "en", "es", "fr")})
+    found = selection.nested_subsets(groups, sums, [0.25, 0.5, 1.0], 0, 3)
+    return spark.createDataFrame([(f, s) for f, some in found.items() for s in some], "fraction double, source string")
 
 
 @query()
 def grouped_split(spark, d):
-    langs = ("de", "en", "es", "fr")
-    rows = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), *[F.count_if(F.col("lang") == x).alias(x) for x in langs]).collect()
-    found = selection.grouped_split({r.source: [r.n, *[r[x] for x in langs]] for r in rows})
+    groups, sums = selection.totals_of(table(spark, d, "documents"), "source", {x: (F.col("lang") == x).cast("int") for x in ("de", "en", "es", "fr")})
+    found = selection.grouped_split(groups, sums)
     return spark.createDataFrame([(g, ("train", "val", "test")[s]) for g, s in found.items()], "source string, split string")
 
 

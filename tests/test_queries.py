@@ -2,7 +2,7 @@ import pytest
 from oracle import compare
 
 import __spark_entry__
-from siltworks.plans import queries
+from siltworks.plans import catalog as queries
 
 SF = "/root/testdata/sf0.001"
 
