@@ -38,3 +38,8 @@ def skew_join(big: DataFrame, dim: DataFrame, key: str, hot: list, how: str = "i
 
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named c0, c1 ..., and the new names of some: so that no name clashes with an operator's own."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), [f"c{docs.columns.index(c)}" for c in columns]

@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, materialize, skew_join, text_of
+from .common import hot_keys, materialize, numbered, skew_join, text_of
 
 SALTS = 16
 ID, TEXT, DIGEST = "__silt_id", "__silt_text", "__silt_digest"
@@ -91,10 +91,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A row stays if its id is the smallest among equal texts; of rows that
     repeat this id with an equal text, one stays.
     """
-    kept = groups(docs, id_col, text_col, salts=salts).where("kept").select(F.col(id_col).alias(ID), F.col("text_sha256").alias(DIGEST))
-    rows = docs.select("*", F.col(id_col).alias(ID), sha256(normalised(text_of(text_col))).alias(DIGEST))
-    repeated = docs.groupBy(F.col(id_col).alias(ID)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    stay = rows.join(kept.withColumnRenamed(ID, "__silt_keep"), F.col(ID).eqNullSafe(F.col("__silt_keep")) & (rows[DIGEST] == kept[DIGEST]), "left_semi")
+    rows, (key, text) = numbered(docs, id_col, text_col)
+    kept = groups(rows, key, text, salts=salts).where("kept").select(F.col(key).alias("__silt_keep"), F.col("text_sha256").alias("__silt_sha"))
+    keyed = rows.select("*", F.col(key).alias(ID), sha256(normalised(text_of(text))).alias(DIGEST))
+    repeated = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    stay = keyed.join(kept, F.col(ID).eqNullSafe(F.col("__silt_keep")) & (F.col(DIGEST) == F.col("__silt_sha")), "left_semi")
     if repeated:
         stay = stay.dropDuplicates([ID, DIGEST])
-    return stay.drop(ID, DIGEST)
+    return stay.drop(ID, DIGEST).toDF(*docs.columns)

@@ -177,11 +177,12 @@ def mix(docs: DataFrame, share: float | None = 0.5, total: float | None = None,
     total: tokens to choose; or ``share`` of all tokens at hand.
     """
     domain = domain_of(F.col(source_col)) if domain is None else domain
-    path = [domain.alias("__silt_0"), F.col(lang_col).alias("__silt_1"), F.col(source_col).alias("__silt_2")]
-    leaf = F.to_json(F.struct("__silt_0", "__silt_1", "__silt_2"), {"ignoreNullFields": "false"})
-    mark = F.xxhash64(text_of(text_col))
-    small = docs.select(*path, F.col(id_col).alias("id"), mark.alias("mark"), tokens(text_of(text_col)).alias("t")).withColumn("leaf", leaf)
-    small = materialize(small.withColumnsRenamed({f"__silt_{i}": c for i, c in enumerate(PATH)}))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    # from here on no name of the input can clash with one of these
+    base = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own)], domain.alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(id_col).alias("id"))
+    text = text_of(own[docs.columns.index(text_col)])
+    base = base.withColumns({"leaf": F.to_json(F.struct(*PATH), {"ignoreNullFields": "false"}), "mark": F.xxhash64(text)})
+    small = materialize(base.select(*PATH, "leaf", "id", "mark", tokens(text).alias("t")))
     leaves = materialize(small.groupBy(*PATH, "leaf").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("rows")))
     all_tokens, all_rows, n = leaves.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
     hot = hot_keys(leaves, "leaf", "rows", all_rows)
@@ -198,12 +199,10 @@ def mix(docs: DataFrame, share: float | None = 0.5, total: float | None = None,
         return rows.join(F.broadcast(of_leaf), "leaf") if bounded else skew_join(rows, of_leaf, "leaf", hot)
 
     cut = cuts(small.select("leaf", "id", "mark", "t"), each, seed, with_leaves)
-    keyed = docs.select("*", *path, F.col(id_col).alias("__silt_id"), mark.alias("__silt_mark")).withColumn("leaf_of_silt", leaf).drop("__silt_0", "__silt_1", "__silt_2")
-    renamed = keyed.select(*[F.col(c).alias(f"__silt_c{i}") for i, c in enumerate(docs.columns)], "__silt_id", "__silt_mark", F.col("leaf_of_silt").alias("leaf"))
-    found = with_leaves(renamed, cut)
-    here = F.struct(place(seed, F.col("epoch"), F.col("__silt_id"), F.col("__silt_mark")).alias("h"), F.col("__silt_id").alias("id"), F.col("__silt_mark").alias("mark"))
+    found = with_leaves(base.drop(*PATH), cut)
+    here = F.struct(place(seed, F.col("epoch"), F.col("id"), F.col("mark")).alias("h"), "id", "mark")
     # in a struct's order nulls come first, and equal those of another struct
-    return found.where(here <= F.col("last")).select(*[F.col(f"__silt_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return found.where(here <= F.col("last")).select(*own).toDF(*docs.columns)
 
 
 def cuts(small: DataFrame, plan: DataFrame, seed: int, with_leaves) -> DataFrame:

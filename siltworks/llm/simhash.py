@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import hot_keys, materialize, skew_join, text_of
+from .common import hot_keys, materialize, numbered, skew_join, text_of
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints that the routing tree is fitted on, at least, and for each shard.
@@ -278,8 +278,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeat it with another text stay too. Rows with a null id stay if a
     component has no other id.
     """
-    found = components(docs, id_col, text_col)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__silt_keep"))
-    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__silt_keep")), "left_semi")
-    repeated = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("__silt_n")).where("__silt_n > 1").limit(1).count()
-    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
+    rows, (key, text) = numbered(docs, id_col, text_col)
+    found = components(rows, key, text)
+    stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__silt_keep"))
+    kept = rows.join(stay, F.col(key).eqNullSafe(F.col("__silt_keep")), "left_semi")
+    repeated = found.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return (kept.dropDuplicates([key, text]) if repeated else kept).toDF(*docs.columns)
