@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType
 
 
 def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
@@ -33,28 +33,70 @@ def contrast(g: np.ndarray) -> float:
     return float(g.std())
 
 
-def resized(g: np.ndarray, size: int) -> np.ndarray:
-    """Area means over a size x size grid."""
+def luma(image: np.ndarray) -> np.ndarray:
+    """Whole grey levels of a blue-green-red image, in 16-bit fixed point; one channel is taken as it is."""
+    if image.shape[2] < 3:
+        return image[..., 0]
+    b, g, r = (image[..., c].astype(np.int64) for c in range(3))
+    return (r * 19595 + g * 38470 + b * 7471 + 0x8000 >> 16).astype(np.uint8)
+
+
+def lanczos(n: int, size: int) -> np.ndarray:
+    """(size, n) whole weights, of 22 bits, by which a row of n pixels becomes one of ``size``."""
+    scale = n / size
+    stretch = max(scale, 1.0)
+    reach = 3 * stretch
+    out = np.zeros((size, n), np.int64)
+    for i in range(size):
+        centre = (i + 0.5) * scale
+        low, high = max(0, int(centre - reach + 0.5)), min(n, int(centre + reach + 0.5))
+        x = (np.arange(low, high) - centre + 0.5) / stretch
+        w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+        w = w / w.sum() * (1 << 22)
+        out[i, low:high] = np.trunc(w + np.where(w < 0, -0.5, 0.5)).astype(np.int64)
+    return out
 
-    def weights(n: int) -> np.ndarray:
-        edges = np.linspace(0, n, size + 1)
-        at = np.arange(n)
-        w = np.clip(np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at), 0, 1)
-        return w / w.sum(axis=1, keepdims=True)
 
-    return weights(g.shape[0]) @ g @ weights(g.shape[1]).T
+def resized(g: np.ndarray, size: int) -> np.ndarray:
+    """Grey levels over a size x size grid by Lanczos' window in whole numbers: rows first, rounded, then columns."""
+    half = 1 << 21
+    wide = np.clip(g.astype(np.int64) @ lanczos(g.shape[1], size).T + half >> 22, 0, 255) if g.shape[1] != size else g.astype(np.int64)
+    return np.clip(lanczos(g.shape[0], size) @ wide + half >> 22, 0, 255) if g.shape[0] != size else wide
 
 
 def perceptual_hash(g: np.ndarray) -> int:
     """64 bits: the 8 x 8 lowest cosine terms of a 32 x 32 image, above their median or not; signed."""
     n = 32
     k = np.arange(n)
-    basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
-    low = (basis @ resized(g, n) @ basis.T)[:8, :8]
+    basis = 2 * np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
+    low = (basis @ resized(np.clip(np.rint(g), 0, 255), n) @ basis.T)[:8, :8]
     bits = (low > np.median(low)).reshape(-1)
     return int(np.packbits(bits).view(">i8")[0])
 
 
+def orientation(data: bytes) -> int:
+    """The EXIF orientation of a JPEG file's bytes; 1 without one, or if it can't be read."""
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF:
+        kind, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        if kind == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+            tiff = data[at + 10 : at + 2 + size]
+            order = {b"II": "little", b"MM": "big"}.get(tiff[:2])
+            number = lambda i, n: int.from_bytes(tiff[i : i + n], order)
+            if not order:
+                return 1
+            first = number(4, 4)
+            for k in range(number(first, 2)):
+                entry = first + 2 + 12 * k
+                if number(entry, 2) == 0x0112:
+                    return number(entry + 8, 2) or 1
+            return 1
+        if kind == 0xDA:
+            break
+        at += 2 + size
+    return 1
+
+
 def colour_features(image: np.ndarray) -> list[float]:
     """16 bins, mean and deviation of each of three channels: 54 numbers."""
     out: list[float] = []
@@ -98,11 +140,17 @@ sharpness_of = _udf(DoubleType(), lambda x: sharpness(gray(x)))
 edge_sharpness_of = _udf(DoubleType(), lambda x: sharpness(gray(x), "reflect"))
 noise_of = _udf(DoubleType(), lambda x: noise(gray(x)))
 contrast_of = _udf(DoubleType(), lambda x: contrast(gray(x)))
-hash_of = _udf(LongType(), lambda x: perceptual_hash(gray(x)))
+hash_of = _udf(LongType(), lambda x: perceptual_hash(luma(x)))
 colours_of = _udf(ArrayType(DoubleType()), colour_features)
 grayscale_of = _udf(BooleanType(), lambda x: bool((x == x[..., :1]).all()))
 
 
+@F.pandas_udf(IntegerType())
+def orientation_of(content: pd.Series) -> pd.Series:
+    """The EXIF orientation of files' bytes."""
+    return pd.Series([orientation(bytes(x)) if x is not None else None for x in content], dtype="Int32")
+
+
 def pixel_hash(height, width, data):
     """SHA-256 of size and pixels."""
     return F.sha2(F.concat(F.concat_ws("x", height, width).cast("binary"), data), 256)
@@ -113,5 +161,5 @@ def measured(images):
     i = [F.col(f"image.{c}") for c in ("height", "width", "nChannels", "data")]
     return images.select(
         F.col("image.origin").alias("path"), *[c.alias(n) for c, n in zip(i[:3], ("height", "width", "channels"))], (i[0] < 0).alias("corrupt"),
-        sharpness_of(*i).alias("sharpness"), noise_of(*i).alias("noise"), contrast_of(*i).alias("contrast"), hash_of(*i).alias("phash"), grayscale_of(*i).alias("grayscale"), pixel_hash(i[0], i[1], i[3]).alias("pixels"),
+        sharpness_of(*i).alias("sharpness"), edge_sharpness_of(*i).alias("edge_sharpness"), noise_of(*i).alias("noise"), contrast_of(*i).alias("contrast"), hash_of(*i).alias("phash"), grayscale_of(*i).alias("grayscale"), pixel_hash(i[0], i[1], i[3]).alias("pixels"),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, names
+from ..session import shared_folder
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp")
 
@@ -139,13 +140,22 @@ def subset_list(text: str) -> list[str]:
 EXCHANGE = "_id string, _name string, _width int, _height int, box array<struct<_label: string, _xtl: double, _ytl: double, _xbr: double, _ybr: double, _rotation: double, _outside: int>>, tag array<struct<_label: string>>, polygon array<struct<_label: string>>"
 
 
-def exchange(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(boxes, violations) of an image-annotation XML file; boxes in shares of the image.
+def exchange(spark: SparkSession, path: str, most: int = 50_000_000) -> tuple[DataFrame, DataFrame]:
+    """(boxes, violations) of an image-annotation XML file, bare or the one annotations.xml of a ZIP; boxes in shares of the image.
 
-    Documents with a DOCTYPE, an ENTITY or tracks are refused; a box must be
-    upright, finite and inside its image.
+    Larger documents than ``most`` bytes and those with a DOCTYPE, an ENTITY or
+    tracks are refused; a box must be upright, finite and inside its image.
     """
-    if spark.read.text(path).where(F.col("value").rlike("<!DOCTYPE|<!ENTITY|<track[ >]")).limit(1).count():
+    if path.lower().endswith(".zip"):
+        texts = [bytes(r["content"]) for r in archive_members(spark, path, r"(^|/)()(annotations\.xml)$", most).select("content").limit(2).collect()]
+        if len(texts) != 1:
+            raise ValueError(f"{path}: one annotations.xml is needed")
+        folder = shared_folder(spark, "exchange")
+        spark.createDataFrame([(texts[0].decode("utf-8-sig"),)], "value string").coalesce(1).write.text(folder)
+        path = folder
+    elif spark.read.format("binaryFile").load(path).where(F.col("length") > most).limit(1).count():
+        raise ValueError(f"{path} is larger than {most} bytes")
+    if spark.read.text(path).where(F.col("value").rlike("(?i)<!DOCTYPE|<!ENTITY|<track[ >]")).limit(1).count():
         raise ValueError(f"{path}: DOCTYPE, ENTITY and tracks are not accepted")
     images = spark.read.format("xml").option("rowTag", "image").schema(EXCHANGE).load(path)
     boxes = images.select(F.col("_name").alias("name"), F.col("_width").alias("width"), F.col("_height").alias("height"), F.explode_outer("box").alias("b"))
