@@ -2,8 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents. Stages decide on their own input only.
-An empty table passes through as an empty table; other columns of documents
-are carried up to the last stage.
+Defined cases are those of the operators: an empty table passes through as an
+empty table; null and empty texts are texts without words; of rows that repeat
+an id with one text one stays; rows with a null id count as rows of their own
+text; other columns of documents are carried up to the last stage, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltworks.llm import bpe, exact_dedup, mixing, quality, simhash
-from siltworks.llm.common import shared_folder, table
+from siltworks.llm.common import delete_path, shared_folder, table
 from siltworks.llm.queries import MIX_WEIGHTS
 
 
@@ -53,9 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's folder goes when the next one is written; the last stays, as the result reads it."""
     docs = table(spark, sf_dir, "documents")
     folder = shared_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            delete_path(spark, f"{folder}/{i - 1}")
     return docs
