@@ -11,7 +11,7 @@ Text rules of the tokenizer file (fixed by it): canonical composition, white
 space to spaces, lower case letter by letter, split into contractions, runs of
 letters, single digits and runs of anything else; white space is dropped. No
 rule looks across white space, so every white-space-free chunk is encoded once
-and kept in a bounded cache per Python worker. Special tokens are recognised
+and kept in a bounded cache per Python worker (``chunks``). Special tokens are recognised
 in the raw text.
 
 Defined cases: null text is empty text and has no tokens; null ids and repeated
@@ -33,16 +33,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import ChunkCache, pieces
 from .common import text_of
 
 #: Chunks that a worker's cache may hold before it starts anew.
-CACHE = 300_000
+CACHE = 1_000_000
 #: Words of more bytes than this are encoded one by one.
 LANE = 63
 NONE, BIG = 0xFFFF, 1 << 20
-#: White space as Unicode has it; str.split() also splits at the four separators below.
-SPACES = re.compile("[" + "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
-SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Letters and digits younger than Unicode 16, which the tokenizer knows.
 YOUNGER = (
     "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
@@ -74,7 +72,7 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-class Bpe:
+class Bpe(ChunkCache):
     """Encoder and decoder of one tokenizer file (a model of bytes with word ends)."""
 
     def __init__(self, config: str, cache: int = CACHE) -> None:
@@ -96,7 +94,7 @@ class Bpe:
         self.keys = keys[self.order]
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.rank_of = dict(zip(keys.tolist(), range(len(keys))))
-        self.cache, self.limit, self.text = {}, cache, {}
+        super().__init__(cache)
 
     # -- one word ---------------------------------------------------------
 
@@ -225,46 +223,37 @@ class Bpe:
                 found += PRETOKEN.findall(low)
         return found
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        if any(c in text for c in SEPARATORS):
-            return [c for c in SPACES.split(text) if c]
-        return text.split()
-
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Encode the chunks that the cache lacks."""
-        new = [c for c in set(chunks) if c not in self.cache]
-        if not new:
-            return
-        parts = [self._parts(c) for c in new]
+    def words_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._in_a_row(self.words([w.encode() for w in words]))
+
+    def others_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self._parts(c) for c in chunks]
         distinct = list({p for some in parts for p in some if isinstance(p, str)})
         ids = dict(zip(distinct, self.words([p.encode("utf-8", "replace") for p in distinct])))
         for at in self.special.values():
             ids[at] = at.to_bytes(4, "little")
-        for c, some in zip(new, parts):
-            code = b"".join([ids[p] for p in some])
-            self.cache[c] = code
-            self.text[c] = b" ".join([self.pieces[i] for i in np.frombuffer(code, "<u4").tolist()])
-
-    def texts(self, texts: list[str]) -> Iterator[tuple[bytes, Iterator[bytes]]]:
-        """(ids, decoded chunks) of each text: ids as little-endian unsigned 32-bit integers."""
-        for text in texts:
-            chunks = self.chunks(text)
-            lacking = set(chunks).difference(self.cache)
-            if lacking:
-                if len(self.cache) + len(lacking) > self.limit:
-                    self.cache.clear()
-                    self.text.clear()
-                    lacking = set(chunks)
-                self.learn(lacking)
-            yield b"".join(map(self.cache.__getitem__, chunks)), map(self.text.__getitem__, chunks)
-
-    def encode(self, text: str) -> list[int]:
-        return np.frombuffer(next(self.texts([text]))[0], "<u4").tolist()
+        return self._in_a_row([b"".join([ids[p] for p in some]) for some in parts])
+
+    @staticmethod
+    def _in_a_row(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(codes), "<u4"), np.fromiter(map(len, codes), np.int64, len(codes)) >> 2
+
+    def texts(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        """The ids of each text of a column without nulls."""
+        ids, counts = self.encode(texts)
+        ends = np.cumsum(counts)
+        for end, n in zip(ends.tolist(), counts.tolist()):
+            yield ids[end - n : end]
+
+    def encode_text(self, text: str) -> list[int]:
+        return next(self.texts(pa.array([text], pa.string()))).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The pieces joined by spaces: the file names no decoder."""
-        return b" ".join(self.pieces[i] for i in ids).decode()
+        return self.joined(ids).decode()
+
+    def joined(self, ids: Iterable[int]) -> bytes:
+        return b" ".join(map(self.pieces.__getitem__, ids))
 
 
 _loaded: dict[str, Bpe] = {}
@@ -289,24 +278,6 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     return rows, rows.schema["id"].dataType.simpleString()
 
 
-def _texts(batch: pa.RecordBatch, bpe: Bpe, step: int = 256) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch; each slice's new chunks are encoded together."""
-    for at in range(0, batch.num_rows, step):
-        part = batch.slice(at, step)
-        texts = part.column(1).to_pylist()
-        seen: set[str] = set()
-        for text in texts:
-            seen.update(bpe.chunks(text))
-        lacking = seen.difference(bpe.cache)
-        if len(bpe.cache) + len(lacking) > bpe.limit:
-            bpe.cache.clear()
-            bpe.text.clear()
-            lacking = seen
-        if len(lacking) <= bpe.limit:
-            bpe.learn(lacking)
-        yield part, texts
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, ids array<int>) of every row."""
     rows, kind = _rows(docs, id_col, text_col)
@@ -315,8 +286,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(shared.value)
         for batch in batches:
-            for part, texts in _texts(batch, bpe):
-                ids = [np.frombuffer(code, "<u4").astype(np.int32) for code, _ in bpe.texts(texts)]
+            for part in pieces(batch):
+                ids = [found.astype(np.int32) for found in bpe.texts(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
@@ -344,13 +315,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(shared.value)
         for batch in batches:
-            for part, texts in _texts(batch, bpe):
+            for part in pieces(batch):
                 n, ids, decoded = [], [], []
-                for code, back in bpe.texts(texts):
-                    n.append(len(code) // 4)
-                    ids.append(hashlib.sha256(code).hexdigest())
-                    # a chunk never decodes to nothing unless it has no tokens
-                    decoded.append(hashlib.sha256(b" ".join(filter(None, back))).hexdigest())
+                for found in bpe.texts(part.column(1)):
+                    n.append(len(found))
+                    ids.append(hashlib.sha256(found.data).hexdigest())
+                    decoded.append(hashlib.sha256(bpe.joined(found.tolist())).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -11,9 +11,8 @@ table, in the order of (part, file), each with the number of its part's ids
 before it, so they can lie in any store that Spark writes.
 
 The tokenizer is the tokenizers library. Where the tokenizer file has the text
-rules that ``RULES`` states, white space is dropped and no rule looks across
-it, so chunks between white space are encoded once and kept. Any other
-tokenizer file gets whole texts, one by one.
+rules that ``RULES`` states, ``chunks`` encodes each chunk between white space
+once. Any other tokenizer file gets whole texts, one by one.
 
 Ids must be under 2 ** 20. Defined cases: null text is empty text and has the
 end id alone; null document ids come first and are read back as null; rows that
@@ -28,16 +27,15 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import id_coder
-from .bpe import Bpe, default_path
+from .bpe import default_path
+from .chunks import ChunkCache, pieces
 from .common import delete_path, materialize, shared_folder, text_of
 
 MAGIC, END = b"SILT2\0\0\0", 1
@@ -47,18 +45,6 @@ RULES = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
-#: Words of lower-case letters that no version of Unicode disputes.
-WORD = "[a-z\u00E0-\u00F6\u00F8-\u00FF]+"
-#: A word and the signs after it; no apostrophe, which may open a contraction.
-WORD_AND_SIGNS = re.compile("([a-z\u00E0-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\\[-`{-~]+)")
-#: A comma or full stop at a chunk's end that does not follow a letter or digit, so that it belongs to a run of signs.
-IN_RUN = "[^0-9a-z\u00E0-\u00F6\u00F8-\u00FF][,.](?: |$)"
-#: What a text must not hold to be cut by ASCII white space and lower-cased as a whole.
-UNUSUAL = "[\x1c-\x1f\u0085\u00A0\u0100-\U0010FFFF]|<\\|"
-#: Bytes of text that are cut and encoded together.
-PIECE = 1 << 24
-
-
 def write_file(keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
     """keys, counts: id and number of tokens of each document; ids: all tokens in order."""
     n = -(-len(ids) // id_coder.BLOCK)
@@ -92,7 +78,7 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return index[:docs], index[docs : 2 * docs], np.concatenate(ids) if ids else np.empty(0, np.int64)
 
 
-class Library:
+class Library(ChunkCache):
     """The tokenizers library behind a cache of chunks."""
 
     def __init__(self, config: str, limit: int = 1_000_000) -> None:
@@ -100,10 +86,10 @@ class Library:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.limit = Tokenizer.from_str(config), limit
+        super().__init__(limit)
+        self.tokenizer = Tokenizer.from_str(config)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self._clear()
         data = json.loads(config)
         first, second = ((data.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}])[:2]
         split = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and first.get("pattern") == {"Regex": RULES["split"]}
@@ -128,89 +114,23 @@ class Library:
             for found in self.tokenizer.encode_batch_fast(texts[at : at + 256], add_special_tokens=False):
                 yield np.array(found.ids, "<u4")
 
-    def _clear(self) -> None:
-        #: The place of each known chunk in ``begins`` and ``sizes``: where its ids lie in ``known``.
-        self.cache: dict[str, int] = {}
-        self.begins = self.sizes = np.empty(0, np.int64)
-        self.known = np.empty(0, "<u4")
-
-    def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Remember chunks whose ids follow each other in ``ids``."""
-        self.cache.update(zip(chunks, range(len(self.sizes), len(self.sizes) + len(chunks))))
-        self.begins = np.concatenate([self.begins, len(self.known) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.known = np.concatenate([self.known, ids])
-
-    def _take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids at these places in a row, and where each place's ids end."""
-        each = self.sizes[places]
-        ends = np.cumsum(each)
-        return self.known[np.repeat(self.begins[places] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)], ends
-
-    def _learn(self, new: pa.StringArray) -> None:
-        """Encode chunks that the cache lacks."""
-        plain = pc.match_substring_regex(new, f"^{WORD}$")
-        listed, rest, signed = new.filter(plain).to_pylist(), [], []
-        for chunk in new.filter(pc.invert(plain)).to_pylist():
-            found = WORD_AND_SIGNS.fullmatch(chunk)
-            if found:
-                signed.append((chunk, *found.groups()))
-            else:
-                rest.append(chunk)
-        listed += {head for _, head, _ in signed}.difference(self.cache, listed)
-        rest += {tail for _, _, tail in signed}.difference(self.cache, rest)
+    def words_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # words in a row, some dozens a text: each ends with the one piece of it that ends a word
-        rows = [" ".join(listed[at : at + 64]) for at in range(0, len(listed), 64)]
+        rows = [" ".join(words[at : at + 64]) for at in range(0, len(words), 64)]
         found = [np.array(x.ids, "<u4") for at in range(0, len(rows), 16) for x in self.words.encode_batch_fast(rows[at : at + 16], add_special_tokens=False)]
         ids = np.concatenate([np.empty(0, "<u4"), *found])
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(listed):
+        if len(ends) != len(words):
             raise ValueError("the tokenizer's words do not end with its suffix")
-        self._add(listed, ids, np.diff(ends, prepend=0))
-        found = list(self._ids(rest))
-        self._add(rest, np.concatenate([np.empty(0, "<u4"), *found]), np.fromiter(map(len, found), np.int64, len(found)))
-        if signed:
-            ids, ends = self._take(np.array([self.cache[part] for _, *both in signed for part in both]))
-            self._add([chunk for chunk, *_ in signed], ids, np.diff(ends[1::2], prepend=0))
-
-    def _joined(self, chunks: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, ids of each text) of texts given as lists of chunks."""
-        coded = chunks.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        places = np.fromiter(map(self.cache.get, distinct, repeat(-1)), np.int64, len(distinct))
-        lacking = np.flatnonzero(places < 0)
-        if len(lacking):
-            if len(self.cache) + len(lacking) > self.limit:
-                self._clear()
-                lacking = np.arange(len(distinct))
-            self._learn(coded.dictionary.take(pa.array(lacking)))
-            places[lacking] = [self.cache[distinct[i]] for i in lacking.tolist()]
-        ids, ends = self._take(places[coded.indices.to_numpy()])
-        offsets = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
-        return ids, np.diff(np.r_[0, ends][offsets])
+        return ids, np.diff(ends, prepend=0)
+
+    def others_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = list(self._ids(chunks))
+        return np.concatenate([np.empty(0, "<u4"), *found]), np.fromiter(map(len, found), np.int64, len(found))
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, ids of each text) of a column without nulls.
-
-        Within Latin-1 the lower case of a text is that of its letters, and its
-        composition changes nothing; there, a comma or stop after a word is cut
-        off, so that words with and without it are encoded once.
-        """
-        if not self.by_chunk:
-            found = list(self._ids(texts.to_pylist()))
-            return np.concatenate([np.empty(0, "<u4"), *found]), np.array(list(map(len, found)), np.int64)
-        unusual = pc.match_substring_regex(texts, UNUSUAL)
-        usual = pc.utf8_lower(texts.filter(pc.invert(unusual)))
-        cut = pc.replace_substring(pc.replace_substring(usual, ", ", " , "), ". ", " . ")
-        usual = pc.if_else(pc.match_substring_regex(usual, IN_RUN), usual, cut)
-        ids, counts = self._joined(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(usual)))
-        if len(usual) == len(texts):
-            return ids, counts
-        others, more = self._joined(pa.array([Bpe.chunks(t) for t in texts.filter(unusual).to_pylist()], pa.list_(pa.string())))
-        parts = [np.split(x, np.cumsum(n)[:-1]) if len(n) else [] for x, n in ((ids, counts), (others, more))]
-        turns = [iter(parts[0]), iter(parts[1])]
-        ordered = [next(turns[flag]) for flag in unusual.to_pylist()]
-        return np.concatenate(ordered), np.array(list(map(len, ordered)), np.int64)
+        """(all ids, ids of each text) of a column without nulls."""
+        return super().encode(texts) if self.by_chunk else self.others_ids(texts.to_pylist())
 
 
 _encoders: dict[int, Library] = {}
@@ -223,16 +143,6 @@ def library(config: str) -> Library:
     return _encoders[key]
 
 
-def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch cut so that the texts in column 1 of a piece have PIECE bytes together, or are one text."""
-    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PIECE, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = END) -> None:
     """Encode every text, append ``end``, and write the files at ``path`` in ascending id order."""
     with open(tokenizer or default_path(), encoding="utf-8") as f:
