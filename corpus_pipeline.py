@@ -4,9 +4,9 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents. Stages decide on their own input only.
 Defined cases are those of the operators: an empty table passes through as an
 empty table; null and empty texts are texts without words; of rows that repeat
-an id with one text one stays; rows with a null id count as rows of their own
-text; other columns of documents are carried up to the last stage, whatever
-their names.
+an id with one text one stays; rows with a null id give way to any other row of
+their group; other columns of documents are carried up to the last stage,
+whatever their names.
 """
 
 from __future__ import annotations

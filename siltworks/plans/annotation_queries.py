@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..operators import inventory, quality_gates
-from ..sources import annotations
+from ..sources import annotations, exports
 from ..session import table
 from .registry import BOXES, line_boxes, query
 
@@ -121,3 +121,14 @@ def min_side_filter(spark, d):
 @query("SELECT 1 + max(l_linenumber) AS classes FROM lineitem")
 def class_count(spark, d):
     return inventory.class_count(annotations.label_lines(label_texts(spark, d), 1 << 30), "fields")
+
+
+@query(f"""
+    WITH p AS (SELECT vec_id, [{", ".join(vector(i) for i in range(1, 9))}] AS xy FROM embeddings),
+    b AS (SELECT vec_id, least(xy[1], xy[3], xy[5], xy[7]) AS x1, least(xy[2], xy[4], xy[6], xy[8]) AS y1, greatest(xy[1], xy[3], xy[5], xy[7]) AS x2, greatest(xy[2], xy[4], xy[6], xy[8]) AS y2 FROM p)
+    SELECT vec_id AS path, printf('0 %.10g %.10g %.10g %.10g', (x1 + x2) / 2, (y1 + y2) / 2, x2 - x1, y2 - y1) AS text, 0::BIGINT AS boxes, 1 AS polygons FROM b
+""")
+def reimported_labels(spark, d):
+    xy = F.transform(F.slice("embedding", 1, 8), lambda x: ((x.cast("double") + 1) / 2).cast("string"))
+    texts = table(spark, d, "embeddings").select(F.col("vec_id").alias("path"), F.concat(F.lit("0 "), F.array_join(xy, " ")).alias("text"))
+    return exports.converted_labels(texts, 1).withColumn("polygons", F.size("polygons"))

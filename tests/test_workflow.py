@@ -41,3 +41,33 @@ def test_samples(spark):
     rows = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 5)], "g string, k int")
     assert sorted((r.g, r.k) for r in selection.at_ranks(rows, "g", "k").collect()) == [("a", 0), ("a", 2), ("a", 4), ("a", 6), ("a", 8), ("b", 5)]
     assert selection.seeded_sample(rows, "k", 4, 1).count() == 4
+
+
+def test_study_tables(spark):
+    from siltworks.operators import study
+
+    jobs = spark.createDataFrame([("a",), ("b",)], "job string")
+    metrics = spark.createDataFrame([("a", "val", 0.5, "p")], "job string, split string, map double, plan_identity string")
+    rows, coverage = study.run_rows(jobs, spark.createDataFrame([("a", "complete")], "job string, state string"), metrics, "p")
+    assert [r.job for r in rows.collect()] == ["a"] and {r.job: r.state for r in coverage.collect()} == {"a": "complete", "b": "pending"}
+    with pytest.raises(Exception, match="another study"):
+        study.run_rows(jobs, coverage.select("job", "state"), metrics, "q")[0].collect()
+    log = spark.createDataFrame([("s", i, t, i, 10) for i, t in ((1, 0), (2, 1), (3, 5), (4, 6), (5, 12))], "s string, step long, t long, done long, total long").selectExpr("s", "step", "timestamp_seconds(t) at", "done", "total")
+    shown = {r.step: (r.percent, r.rate, r.eta) for r in study.progress(log, "s", "step", "at", "done", "total", 5).collect()}
+    assert shown.keys() == {1, 3, 5} and shown[1] == (10, None, None) and shown[5] == (50, pytest.approx(4 / 12), pytest.approx(15))
+    rows = spark.createDataFrame([(i, ["x", "y"], [0.1, 0.2], [1, 2]) for i in range(2)], "id long, names array<string>, ap array<double>, n array<int>")
+    assert sorted((r.id, r.names, r.ap, r.n) for r in study.per_class(rows, "names", "ap", "n").collect()) == [(i, c, a, n) for i in range(2) for c, a, n in (("x", 0.1, 1), ("y", 0.2, 2))]
+    assert spark.range(1).select(study.ema_keep(F.lit(0), 0.9).alias("k"), study.kimg(F.lit(500), 4).alias("g")).first() == (0.1, 2.0)
+
+
+def test_screening_by_stage(spark):
+    from siltworks.operators import screening
+
+    rows = spark.createDataFrame([("i", "p", "s", 1, "w", 5)], "id string, path string, sha256 string, class_id int, class_name string, width int")
+    assert "class_name" in screening.subject(rows, "candidates").first().subject and "width" in screening.subject(rows, "composites").first().subject
+    for call in (lambda: screening.subject(rows, "other"), lambda: screening.screen(rows, "other", [])):
+        with pytest.raises(ValueError, match="stage"):
+            call()
+    found = spark.createDataFrame([("a", 0, "pass"), ("a", 0, "pass"), ("b", 0, "reject")], "id string, class_id int, outcome string")
+    kept, bad = screening.passed(found, 2)
+    assert kept.count() == 2 and sorted((r.violation, r.key) for r in bad.collect()) == [("class_missing", "1"), ("repeated", "a")]
