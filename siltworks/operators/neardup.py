@@ -55,8 +55,9 @@ def blockwise(left: DataFrame, right: DataFrame, id_col: str, bits: str, within:
 
     Both sides are dealt to blocks of about ``BLOCK`` rows by a hash of the id;
     a task compares one block with one other in numpy. keep: all pairs; of each
-    b and block the smallest a (first), or any a (any): what is moved on then
-    grows with the rows, not with the pairs.
+    b and block the smallest a (first), or any a (any); or links that connect
+    what the pairs of two blocks connect (spanning, without distances): what is
+    moved on then grows with the rows, not with the pairs.
     """
     kind = left.schema[id_col].dataType.simpleString()
     rows = lambda df: df.select(F.col(id_col).alias("id"), F.col(bits).alias("bits")).where("id IS NOT NULL AND bits IS NOT NULL")
@@ -69,7 +70,26 @@ def blockwise(left: DataFrame, right: DataFrame, id_col: str, bits: str, within:
     a = a.withColumn("j", F.explode(F.sequence(F.col("i") if ordered else F.lit(0), F.lit(n - 1))))
     b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if ordered else F.lit(m - 1))))
 
+    def connect(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        """A link from every row to the first of those it is connected with."""
+        ids, at = np.unique(np.concatenate([p["id"].to_numpy(), q["id"].to_numpy()]), return_inverse=True)
+        x, y = (side["bits"].to_numpy(np.int64).view(np.uint64) for side in (p, q))
+        label = np.arange(len(ids))
+        for k in range(0, len(x), 512):
+            u, v = np.nonzero(np.bitwise_count(x[k : k + 512, None] ^ y[None, :]) <= within)
+            while True:  # every round gives each label the least one that it is linked to
+                one, other = label[at[k + u]], label[at[len(x) + v]]
+                if (one == other).all():
+                    break
+                least = np.arange(len(ids))
+                np.minimum.at(least, np.maximum(one, other), np.minimum(one, other))
+                label = least[label]
+        linked = np.flatnonzero(label != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[label[linked]], "b": ids[linked], "distance": np.zeros(len(linked), np.int32)})
+
     def compare(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if keep == "spanning":
+            return connect(p, q)
         out = []
         x, y = (side["bits"].to_numpy(np.int64).view(np.uint64) for side in (p, q))
         ids, others = p["id"].to_numpy(), q["id"].to_numpy()
@@ -92,6 +112,12 @@ def blockwise(left: DataFrame, right: DataFrame, id_col: str, bits: str, within:
     return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(compare, f"a {kind}, b {kind}, distance int")
 
 
+def links(df: DataFrame, id_col: str, bits: str, within: int) -> DataFrame:
+    """(a, b): rows to link so that those within ``within`` bits are connected."""
+    near = hamming_join(df, df, id_col, bits, within, ordered=True) if within <= BANDED else blockwise(df, df, id_col, bits, within, ordered=True, keep="spanning")
+    return near.select("a", "b")
+
+
 def within_reach(left: DataFrame, right: DataFrame, id_col: str, bits: str, within: int) -> DataFrame:
     """The rows of ``left`` that have a row of ``right`` within ``within`` bits."""
     if within > BANDED:

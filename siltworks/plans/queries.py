@@ -117,7 +117,7 @@ def near_dup_first_match(spark, d):
 def joined_groups(spark, d) -> DataFrame:
     """(vec_id, component) under hash links and a shared key: the label and a run of 25 ids."""
     bits = hashes(spark, d).withColumn("key", F.concat_ws("/", "label", F.floor(F.col("vec_id") / 25)))
-    near = neardup.hamming_join(bits, bits, "vec_id", "bits", 20, ordered=True).select("a", "b")
+    near = neardup.links(bits, "vec_id", "bits", 20)
     found = connected_components(near.unionByName(neardup.key_edges(bits, "vec_id", ["key"])))
     return bits.join(found.withColumnRenamed("vertex", "vec_id"), "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("component"))
 

@@ -30,7 +30,7 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_band_join_is_exact(spark):
+def test_band_join_is_exact(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, rng.getrandbits(64)) for i in range(60)]
     rows += [(100 + i, x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))) for i, x in rows] + [(300, 0), (301, 255), (302, 254), (303, 2**64 - 1)]
@@ -38,6 +38,18 @@ def test_band_join_is_exact(spark):
     for within in (0, 1, 2, 5, 6, 20):
         want = {(i, j, (x ^ y).bit_count()) for (i, x), (j, y) in itertools.combinations(sorted(rows), 2) if (x ^ y).bit_count() <= within}
         assert sorted(map(tuple, neardup.hamming_join(frame, frame, "id", "bits", within, ordered=True).collect())) == sorted(want)
+    for within, block in ((5, 8192), (20, 8192), (20, 25), (24, 25)):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        whole = neardup.hamming_join(frame, frame, "id", "bits", within, ordered=True).select("a", "b")
+        some = neardup.links(frame, "id", "bits", within)
+        parts = lambda edges: {tuple(r) for r in connected_components(edges).collect()}
+        assert parts(some) == parts(whole)
+        first = {r.id: r.near for r in neardup.first_earlier(frame, "id", "bits", within).collect()}
+        want: dict = {}
+        for a, b in sorted(tuple(r) for r in whole.collect()):
+            want.setdefault(b, a)
+        assert first == want
+    monkeypatch.setattr(neardup, "BLOCK", 8192)
     edges = neardup.hamming_join(frame, frame, "id", "bits", 1, ordered=True).select("a", "b")
     assert (301, 302) in {tuple(r) for r in edges.collect()}
     assert {r.id for r in neardup.within_reach(frame.where("id = 301"), frame.where("id = 302"), "id", "bits", 1).collect()} == {301}
