@@ -55,8 +55,13 @@ def test_equals_brute_force(spark):
 
 
 def test_blocks_and_hot_parts(spark, monkeypatch):
-    """Blocks of few words, and a word that most requests ask for."""
+    """Blocks of few words, a word that most requests ask for, and a crowded table of marks."""
     monkeypatch.setattr(phrases, "BLOCK", 50)
+    for bits in (16, 25):
+        monkeypatch.setattr(phrases, "MARKS", bits)
+        marks = phrases.marks_of(spark.createDataFrame([("en", f"a{i} é") for i in range(5000)], "lang string, gram string"))
+        hashes = phrases.mixed([phrases.hashed(["en"] * 5000), phrases.hashed(f"a{i}" for i in range(5000)), phrases.hashed(["é"] * 5000)])
+        assert len(marks) == 2**bits // 8 and phrases.has(marks, hashes).all() and not phrases.has(marks, ~hashes).all()
     rng = random.Random(2)
     rows = [("en", f"the w{rng.randrange(400)} the w{rng.randrange(400)}") for _ in range(3000)]
     assert sorted(map(tuple, phrases.best(frame(spark, rows), least=2).collect())) == brute(rows, least=2)
@@ -64,8 +69,8 @@ def test_blocks_and_hot_parts(spark, monkeypatch):
 
 def test_products_beyond_64_bits(spark, monkeypatch):
     """Counts of millions of millions: a * a * 1000000 has 31 digits."""
-    plain, times = phrases.counted, 10**12 + 1
-    monkeypatch.setattr(phrases, "counted", lambda *a: plain(*a).withColumn("f", F.col("f") * times))
+    plain, times = phrases.frequent, 10**12 + 1
+    monkeypatch.setattr(phrases, "frequent", lambda *a: plain(*a).withColumn("f", F.col("f") * times))
     rows = [("en", "p q. " * 12 + "p r. s q. s")] * 3
     got = {r.phrase: tuple(r)[3:] for r in phrases.best(frame(spark, rows)).collect()}
     a, left, right = 36 * times, 39 * times, 39 * times
