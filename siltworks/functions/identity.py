@@ -28,7 +28,7 @@ def sign_bits(vector: Column) -> Column:
 
 
 def group_id(members: Column) -> Column:
-    """20 hex digits that depend on the set of members, not their order."""
+    """20 hex digits that depend on the set of members, not their order; groups of any size: ``operators.group_identity``."""
     return F.substring(F.sha2(F.array_join(F.array_sort(members), "\n"), 256), 1, 20)
 
 

@@ -67,7 +67,7 @@ def curve(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], hit: st
 
 
 def area_under(ranked: DataFrame, keys: Sequence[str], total: str, hit: str, points: int = 101) -> DataFrame:
-    """(keys..., positives, hits, ap) of rows with tp and envelope; ``total`` is a key's number of targets."""
+    """(keys..., positives, hits, ap) of rows with tp and envelope; ``total`` is a key's number of targets. Recalls count as reached to 1e-9."""
     # the envelope at recall r is its value at the first row with tp >= r * total: each hit row serves a range of points
     last = F.floor(F.col("tp") * (points - 1) / F.col(total) + 1e-9)
     first = F.floor((F.col("tp") - 1) * (points - 1) / F.col(total) + 1e-9)
@@ -95,6 +95,78 @@ def average_precision(ranked: DataFrame, score: str, hit: str, tie: str, positiv
     return out if by else out.drop("__all")
 
 
+def rates_report(counted: DataFrame, by: str = "cid") -> DataFrame:
+    """(scope, name, tp, fp, fn, precision, recall, f1): every class, all counts pooled (micro), and the mean f1 of the classes (macro).
+
+    counted: tp, fp and fn of each class.
+    """
+    n = counted.groupBy(F.col(by).cast("string").alias("name")).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    told = lambda df: df.withColumns(dict(zip(("precision", "recall", "f1"), rates(F.col("tp"), F.col("fp"), F.col("fn")))))
+    classes = told(n)
+    none = F.lit(None)
+    micro = told(n.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+    macro = classes.agg(F.avg("f1").alias("f1"))
+    columns = ["tp", "fp", "fn", "precision", "recall", "f1"]
+    whole = classes.select(F.lit("class").alias("scope"), "name", *columns).unionByName(micro.select(F.lit("micro").alias("scope"), none.cast("string").alias("name"), *columns))
+    return whole.unionByName(macro.select(F.lit("macro").alias("scope"), none.cast("string").alias("name"), *[none.cast("long").alias(c) for c in columns[:3]], none.cast("double").alias("precision"), none.cast("double").alias("recall"), "f1"))
+
+
+def sampled_curve(ranked: DataFrame, keys: Sequence[str], total: str, hit: str, points: int = 101) -> DataFrame:
+    """(keys..., point, precision) at the recalls 0, 1 / (points - 1) ... 1 of every key of ``ranked`` (with tp and envelope).
+
+    A point's precision is the envelope at the first row whose recall reaches
+    it (to 1e-9), 0 where none does and -1 for keys without targets. Each hit
+    row gives the points it is the first to reach, so a curve is cut from its
+    ranges wherever they lie.
+    """
+    last = F.floor(F.col("tp") * (points - 1) / F.col(total) + 1e-9)
+    first = F.when(F.col("tp") == 1, F.lit(0)).otherwise(F.floor((F.col("tp") - 1) * (points - 1) / F.col(total) + 1e-9) + 1)
+    reached = ranked.where((F.col(hit) == 1) & (F.col(total) > 0)).select(*keys, "envelope", first.cast("int").alias("__f"), last.cast("int").alias("__l")).where("__f <= __l")
+    some = reached.select(*keys, "envelope", F.explode(F.sequence("__f", "__l")).alias("point"))
+    each = ranked.groupBy(*keys).agg(F.max(total).alias("__total"))
+    every = each.select(*keys, "__total", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"), F.lit(None).cast("double").alias("envelope"))
+    both = some.select(*keys, F.lit(None).cast("long").alias("__total"), "point", "envelope").unionByName(every)
+    out = both.groupBy(*keys, "point").agg(F.max("__total").alias("__total"), F.max("envelope").alias("precision"))
+    return out.select(*keys, "point", F.when(F.col("__total") > 0, F.coalesce("precision", F.lit(0.0))).otherwise(F.lit(-1.0)).alias("precision"))
+
+
+def precision_curves(ranked: DataFrame, score: str, hit: str, tie: str, by: Sequence[str], positives: Column | None = None, points: int = 101) -> DataFrame:
+    """(by..., point, precision): the curves whose means are :func:`average_precision`."""
+    rows = ranked.select(*by, F.col(score).alias("__s"), F.col(hit).cast("int").alias("__hit"), F.col(tie).alias("__t"), (positives if positives is not None else F.lit(None).cast("long")).alias("__given"))
+    totals = rows.groupBy(*by).agg(F.coalesce(F.max("__given"), F.sum("__hit")).alias("__total"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    run = curve(rows, list(by), [-F.col("__s"), F.col("__t")], "__hit").alias("l").join(totals.alias("r"), same).select("l.*", "r.__total")
+    return sampled_curve(run, list(by), "__total", "__hit", points)
+
+
+def class_report(graded: DataFrame) -> DataFrame:
+    """(cid, positives, ap50, ap50_95, ar_max) of every class with targets, over all areas.
+
+    graded: as ``matching.graded`` gives it. A class of detections alone has no
+    row; its values are undefined.
+    """
+    graded = materialize(graded)
+    limits = sorted(r["place"] for r in graded.where("state = 'limit'").select("place").collect())  # a few rows
+    cells = detections(graded.where("state NOT IN ('limit', 'area')"), limits).where("area = 'all'")
+    half = F.abs(F.col("threshold") - 0.5) < 1e-9
+    recall = F.get("hits", F.lit(len(limits) - 1)) / F.col("positives")
+    return cells.groupBy("cid").agg(F.max("positives").alias("positives"), F.max(F.when(half, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap50_95"), F.avg(recall).alias("ar_max"))
+
+
+def detection_curves(graded: DataFrame, threshold: float = 0.5, points: int = 101) -> DataFrame:
+    """(cid, point, precision) of every class with targets, over all areas at one overlap threshold; zeros for a class without detections."""
+    graded = materialize(graded.where("area = 'all' OR state = 'limit'"))
+    most = graded.where("state = 'limit'").agg(F.max("place")).first()[0]
+    targets = graded.where("state = 'target'").groupBy("cid").agg(F.count(F.lit(1)).alias("__total"))
+    rows = graded.where(F.col("state").isin("tp", "fp") & (F.col("place") < most) & (F.abs(F.col("threshold") - threshold) < 1e-9)).withColumn("hit", (F.col("state") == "tp").cast("int"))
+    ranked = curve(rows, ["cid"], [-F.col("conf"), F.col("image"), F.col("place")], "hit").join(targets, "cid")
+    found = sampled_curve(ranked, ["cid"], "__total", "hit", points)
+    every = targets.select("cid", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    return every.join(found, ["cid", "point"], "left").select("cid", "point", F.coalesce("precision", F.lit(0.0)).alias("precision"))
+
+
 def detections(graded: DataFrame, limits: Sequence[int]) -> DataFrame:
     """(cid, area, threshold, positives, ap, hits): ap of the surest detections by the largest limit, hits as an array by limit."""
     targets = graded.where("state = 'target'").groupBy("cid", "area").agg(F.count(F.lit(1)).alias("positives"))

@@ -20,6 +20,8 @@ def bands(df: DataFrame, bits: str, within: int) -> DataFrame:
 
 #: Up to this radius a band has ten bits or more, and an equi-join on bands meets few pairs that are not near.
 BANDED = 5
+#: Up to this radius one of four 16-bit bands differs by two bits at most.
+PROBED = 11
 #: Rows of one side that a task compares with as many of the other.
 BLOCK = 8192
 
@@ -29,11 +31,13 @@ def hamming_join(left: DataFrame, right: DataFrame, id_col: str, bits: str, with
 
     Small radii: an equi-join on bands, exact by the pigeonhole principle; a
     pair that agrees in several bands is reported by the first of them alone,
-    so no distinct is needed. Larger radii, where bands would be a few bits
-    that most rows share: :func:`blockwise`.
+    so no distinct is needed. Up to ``PROBED`` bits: :func:`multi_index`. Larger
+    radii, where bands would be a few bits that most rows share: :func:`blockwise`.
     """
-    if within > BANDED:
+    if within > PROBED:
         return blockwise(left, right, id_col, bits, within, ordered)
+    if within > BANDED:
+        return multi_index(left, right, id_col, bits, within, ordered)
     a = bands(left.select(F.col(id_col).alias("a"), F.col(bits).alias("x")), "x", within)
     b = bands(right.select(F.col(id_col).alias("b"), F.col(bits).alias("y")), "y", within)
     near = hamming(F.col("x"), F.col("y"))
@@ -50,6 +54,63 @@ def hamming_join(left: DataFrame, right: DataFrame, id_col: str, bits: str, with
     return pairs.select("a", "b", near.alias("distance"))
 
 
+def band_of(bits: Column, band: int) -> Column:
+    """The 16 bits of a band, the lowest first."""
+    return F.shiftrightunsigned(bits, 16 * band).bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+
+def multi_index(left: DataFrame, right: DataFrame, id_col: str, bits: str, within: int, ordered: bool = False) -> DataFrame:
+    """(a, b, distance) of pairs within up to ``PROBED`` bits, by probing four bands of 16 bits.
+
+    Within 4 r + 3 bits some band differs by r at most, r being 1 or 2. Both
+    sides give every value one bit away from their bands, and their own, and
+    meet in the middle by an equi-join: 17 rows a band and side, not the 137
+    values within two bits. A pair meets once: in the first band that is near
+    enough, at its own value (r = 0), at the left one's (r = 1), or at the left
+    one's with the lowest differing bit turned (r = 2).
+    """
+    if not BANDED - 2 <= within <= PROBED:
+        raise ValueError(f"multi_index takes 4 to {PROBED} bits")
+    reach = within // 4
+
+    def probed(df: DataFrame, key: str, value: str) -> DataFrame:
+        rows = df.select(F.col(id_col).alias(key), F.col(bits).alias(value)).where(F.col(value).isNotNull())
+        banded = rows.select("*", F.posexplode(F.array(*[band_of(F.col(value), i) for i in range(4)])).alias("band", "own"))
+        turned = F.array(F.lit(0), *[F.lit(1 << i) for i in range(16)])
+        return banded.select(key, value, "band", F.explode(F.transform(turned, lambda t: F.col("own").bitwiseXOR(t))).alias("spot"))
+
+    a, b = probed(left, "a", "x"), probed(right, "b", "y")
+    meets = (F.col("l.band") == F.col("r.band")) & (F.col("l.spot") == F.col("r.spot"))
+    if ordered:
+        meets = meets & (F.col("a") < F.col("b"))
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    parts = [band_of(differ, i) for i in range(4)]
+    first = F.coalesce(*[F.when(F.bit_count(p) <= reach, F.lit(i)) for i, p in enumerate(parts)])
+    own, apart = F.get(F.array(*[band_of(F.col("x"), i) for i in range(4)]), F.col("l.band")), F.get(F.array(*parts), F.col("l.band"))
+    lowest = apart.bitwiseAND(-apart)
+    middle = F.when(F.bit_count(apart) == 2, own.bitwiseXOR(lowest)).otherwise(own)
+    near = F.bit_count(differ)
+    pairs = a.alias("l").join(b.alias("r"), meets).where((near <= within) & (first == F.col("l.band")) & (middle == F.col("l.spot")))
+    return pairs.select("a", "b", near.alias("distance"))
+
+
+def distinct_values(df: DataFrame, id_col: str, bits: str) -> DataFrame:
+    """(id, bits, copies): one row for each value, with its smallest id and how many rows have it."""
+    return df.groupBy(bits).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("copies")).select(id_col, bits, "copies")
+
+
+def near_values(df: DataFrame, id_col: str, bits: str, within: int) -> DataFrame:
+    """(a, b, distance, copies_a, copies_b): near pairs of different values, each by its smallest id.
+
+    Rows of one value are never paired with each other, so a value that half
+    the table has costs no more than any other.
+    """
+    values = distinct_values(df, id_col, bits)
+    pairs = hamming_join(values, values, id_col, bits, within, ordered=True)
+    of = lambda side: values.select(F.col(id_col).alias(side), F.col("copies").alias(f"copies_{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "distance", "copies_a", "copies_b")
+
+
 def blockwise(left: DataFrame, right: DataFrame, id_col: str, bits: str, within: int, ordered: bool = False, keep: str = "all") -> DataFrame:
     """(a, b, distance) of pairs within ``within`` bits, for radii at which most pairs have to be compared.
 
@@ -114,13 +175,13 @@ def blockwise(left: DataFrame, right: DataFrame, id_col: str, bits: str, within:
 
 def links(df: DataFrame, id_col: str, bits: str, within: int) -> DataFrame:
     """(a, b): rows to link so that those within ``within`` bits are connected."""
-    near = hamming_join(df, df, id_col, bits, within, ordered=True) if within <= BANDED else blockwise(df, df, id_col, bits, within, ordered=True, keep="spanning")
+    near = hamming_join(df, df, id_col, bits, within, ordered=True) if within <= PROBED else blockwise(df, df, id_col, bits, within, ordered=True, keep="spanning")
     return near.select("a", "b")
 
 
 def within_reach(left: DataFrame, right: DataFrame, id_col: str, bits: str, within: int) -> DataFrame:
     """The rows of ``left`` that have a row of ``right`` within ``within`` bits."""
-    if within > BANDED:
+    if within > PROBED:
         near = blockwise(right, left, id_col, bits, within, keep="any").select(F.col("b").alias(id_col)).distinct()
     else:
         near = hamming_join(left, right, id_col, bits, within).select(F.col("a").alias(id_col)).distinct()
@@ -139,7 +200,7 @@ def first_earlier(df: DataFrame, id_col: str, bits: str, within: int, accepted:
     are not accepted are neither compared with nor get a row.
     """
     rows = df if accepted is None else df.where(accepted)
-    pairs = hamming_join(rows, rows, id_col, bits, within, ordered=True) if within <= BANDED else blockwise(rows, rows, id_col, bits, within, ordered=True, keep="first")
+    pairs = hamming_join(rows, rows, id_col, bits, within, ordered=True) if within <= PROBED else blockwise(rows, rows, id_col, bits, within, ordered=True, keep="first")
     return pairs.groupBy(F.col("b").alias(id_col)).agg(F.min("a").alias("near"))
 
 

@@ -64,7 +64,8 @@ def dangling(child: DataFrame, parent: DataFrame, child_key: str, parent_key: st
 
 def repeated(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """(violation, key, rows): keys of several rows."""
-    return df.groupBy(F.concat_ws("/", *keys).alias("key")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.lit(name).alias("violation"), "key", "rows")
+    many = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return many.select(F.lit(name).alias("violation"), F.concat_ws("/", *keys).alias("key"), "rows")
 
 
 def crossing(df: DataFrame, group: str, split: str, name: str = "group_crosses_splits") -> DataFrame:

@@ -21,18 +21,30 @@ def grid(subsets: DataFrame, arms: Sequence[str], models: Sequence[str]) -> Data
     return jobs.withColumn("job", F.concat_ws("_", "subset", "arm", "model"))
 
 
-def eligible(jobs: DataFrame, status: DataFrame, split: str = "val", retry_failed: bool = False) -> DataFrame:
-    """Jobs that may run on a split: not complete, not failed (unless retried), and for the test split complete on val."""
+def eligible(jobs: DataFrame, status: DataFrame, split: str = "val", retry_failed: bool = False, metrics: DataFrame | None = None, models: Sequence[str] | None = None, arms: Sequence[str] | None = None) -> DataFrame:
+    """Jobs that may run on a split: not complete, not failed (unless retried), and for the test split complete on val.
+
+    Jobs that wait for a review stay eligible: the review may have come in.
+    metrics: (job, split) of the results there are; complete jobs without any
+    run again. models, arms: only these.
+    """
     of = lambda s: status.where(F.col("split") == s).select("job", F.col("state").alias(f"__{s}"))
     rows = jobs.join(of(split), "job", "left")
+    for column, names in (("model", models), ("arm", arms)):
+        if names is not None:
+            rows = rows.where(F.col(column).isin(list(names)))
     state = F.coalesce(F.col(f"__{split}"), F.lit("pending"))
-    fine = (state != "complete") & (state != "blocked_review")
+    done = state == "complete"
+    if metrics is not None:
+        rows = rows.join(metrics.where(F.col("split") == split).select("job", F.lit(True).alias("__metrics")).distinct(), "job", "left")
+        done = done & F.coalesce("__metrics", F.lit(False))
+    fine = ~done
     if not retry_failed:
         fine = fine & (state != "failed")
     if split == "test":
         rows = rows.join(of("val"), "job", "left")
         fine = fine & F.coalesce(F.col("__val") == "complete", F.lit(False))
-    return rows.where(fine).drop(f"__{split}", "__val")
+    return rows.where(fine).drop(f"__{split}", "__val", "__metrics")
 
 
 def advance(status: DataFrame, changes: DataFrame, keys: Sequence[str] = ("job", "split")) -> DataFrame:

@@ -394,11 +394,17 @@ def coverage_sample(spark, d):
     return selection.coverage_sample(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 40)
 
 
+def few_names(df: DataFrame, most: int = 100) -> list:
+    """The distinct values of a study's dimension; more than ``most`` are an error."""
+    found = sorted(r[0] for r in df.distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} names: {df.columns[0]}")
+    return found
+
+
 @query("SELECT printf('seed%d_f%05d', s, (f * 10000)::INTEGER) AS subset, printf('seed%d_f%05d', s, (f * 10000)::INTEGER) || '_' || arm || '_' || model AS job FROM (SELECT unnest([0, 1, 2]) AS s), (SELECT unnest([0.25, 0.5, 1.0]) AS f), (SELECT DISTINCT o_orderstatus AS arm FROM orders), (SELECT DISTINCT r_name AS model FROM region)")
 def experiment_grid(spark, d):
-    # the names of a study's arms and models: a few each
-    arms = [r[0] for r in table(spark, d, "orders").select("o_orderstatus").distinct().orderBy("o_orderstatus").limit(100).collect()]
-    models = [r[0] for r in table(spark, d, "region").select("r_name").distinct().orderBy("r_name").limit(100).collect()]
+    arms, models = (few_names(table(spark, d, t).select(c)) for t, c in (("orders", "o_orderstatus"), ("region", "r_name")))
     subsets = spark.createDataFrame([(s, f) for s in (0, 1, 2) for f in (0.25, 0.5, 1.0)], "s int, f double").select(identity.subset_key(F.col("s"), F.col("f")).alias("subset"))
     return workflow.grid(subsets, arms, models).select("subset", "job")
 
@@ -483,13 +489,18 @@ def provenance_mismatch(spark, d):
     return workflow.provenance(patches, sources, "id", ["s_nationkey"])
 
 
-@query("SELECT o_orderkey AS job FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 3)")
+@query("""
+    SELECT o_orderkey AS job FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderpriority <> '2-HIGH') AND NOT (o_orderstatus = 'O' AND o_orderpriority = '1-URGENT')
+    AND o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 3)
+""")
 def job_eligibility(spark, d):
-    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job"))
-    state = F.when(F.col("o_orderstatus") == "F", "complete").otherwise("pending")
-    test = table(spark, d, "orders").select(F.col("o_orderkey").alias("job"), F.lit("test").alias("split"), state.alias("state"))
+    """Complete orders of high priority have no metrics; urgent open ones failed; status P waits for a review."""
+    orders = table(spark, d, "orders").withColumn("job", F.col("o_orderkey"))
+    state = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "P", "blocked_review").when(F.col("o_orderpriority") == "1-URGENT", "failed").otherwise("pending")
+    test = orders.select("job", F.lit("test").alias("split"), state.alias("state"))
+    metrics = orders.where("o_orderstatus = 'F' AND o_orderpriority <> '2-HIGH'").select("job", F.lit("test").alias("split"))
     val = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("job")).agg(F.count("*").alias("n")).where("n > 3").select("job", F.lit("val").alias("split"), F.lit("complete").alias("state"))
-    return workflow.eligible(jobs, test.unionByName(val), "test")
+    return workflow.eligible(orders.select("job"), test.unionByName(val), "test", metrics=metrics)
 
 
 @query(f"""{GREEDY % (TARGETS, BEST % ("AND t.cid = ps[k + 1].cid", OVER, AREAS, OVER, "-"))},

@@ -267,15 +267,6 @@ def hamming_examples(spark, d):
     return neardup.examples(bits.where("label < 5"), bits.where("label >= 5"), "vec_id", "bits", 20)
 
 
-PRINTS = "SELECT doc_id, ('0x' || md5(coalesce(text, '')[1:24])[1:16])::UBIGINT AS bits FROM documents"
-
-
-@query(f"WITH p AS ({PRINTS}) SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.bits, y.bits))::INTEGER AS distance FROM p x JOIN p y ON x.doc_id < y.doc_id WHERE bit_count(xor(x.bits, y.bits)) <= 5")
-def hamming_pairs_5(spark, d):
-    bits = table(spark, d, "documents").select("doc_id", identity.hash_from_hex(F.substring(F.md5(F.substring(F.coalesce("text", F.lit("")), 1, 24)), 1, 16)).alias("bits"))
-    return neardup.hamming_join(bits, bits, "doc_id", "bits", 5, ordered=True)
-
-
 @query("""
     WITH j AS (SELECT o_orderkey AS job, o_custkey % 7 AS seed, o_orderpriority AS arm FROM orders), m AS (SELECT l_orderkey AS job, l_linestatus AS split, avg(l_quantity) AS map FROM lineitem GROUP BY ALL)
     SELECT job, seed, arm, split, round(map, 6) AS map FROM j JOIN m USING (job)
@@ -354,8 +345,15 @@ def progress_ticks(spark, d):
     return found.select("user_id", "event_id", F.round("percent", 6).alias("percent"), F.round("rate", 9).alias("rate"))
 
 
+#: Sources that a configuration names.
+MOST_SOURCES = 1000
+
+
 @query("SELECT source, lang, CASE lang WHEN 'en' THEN 'a' WHEN 'de' THEN 'b' END AS target, CASE WHEN lang NOT IN ('en', 'de') THEN 'unmapped_class:' || lang END AS issue, count(*) AS n FROM documents GROUP BY ALL")
 def class_remap(spark, d):
     docs = table(spark, d, "documents").select("source", F.col("lang").alias("raw"))
-    found = study.remapped(docs, study.class_map(spark, {r["source"]: {"en": "a", "de": "b"} for r in docs.select("source").distinct().limit(1000).collect()}))
+    sources = docs.select("source").distinct().limit(MOST_SOURCES + 1).collect()
+    if len(sources) > MOST_SOURCES:
+        raise ValueError(f"a configuration of more than {MOST_SOURCES} sources; join a table of classes instead")
+    found = study.remapped(docs, study.class_map(spark, {r["source"]: {"en": "a", "de": "b"} for r in sources}))
     return found.groupBy("source", F.col("raw").alias("lang"), "target", "issue").agg(F.count("*").alias("n"))

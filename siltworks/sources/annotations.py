@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, names
-from ..session import shared_folder
+from ..session import delete_path, materialize, shared_folder
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp")
 
@@ -146,6 +146,7 @@ def exchange(spark: SparkSession, path: str, most: int = 50_000_000) -> tuple[Da
     Larger documents than ``most`` bytes and those with a DOCTYPE, an ENTITY or
     tracks are refused; a box must be upright, finite and inside its image.
     """
+    folder = None
     if path.lower().endswith(".zip"):
         texts = [bytes(r["content"]) for r in archive_members(spark, path, r"(^|/)()(annotations\.xml)$", most).select("content").limit(2).collect()]
         if len(texts) != 1:
@@ -158,6 +159,9 @@ def exchange(spark: SparkSession, path: str, most: int = 50_000_000) -> tuple[Da
     if spark.read.text(path).where(F.col("value").rlike("(?i)<!DOCTYPE|<!ENTITY|<track[ >]")).limit(1).count():
         raise ValueError(f"{path}: DOCTYPE, ENTITY and tracks are not accepted")
     images = spark.read.format("xml").option("rowTag", "image").schema(EXCHANGE).load(path)
+    if folder:
+        images = materialize(images)
+        delete_path(spark, folder)
     boxes = images.select(F.col("_name").alias("name"), F.col("_width").alias("width"), F.col("_height").alias("height"), F.explode_outer("box").alias("b"))
     b = {c: F.col(f"b._{c}") for c in ("label", "xtl", "ytl", "xbr", "ybr", "rotation", "outside")}
     problem = (
@@ -171,7 +175,11 @@ def exchange(spark: SparkSession, path: str, most: int = 50_000_000) -> tuple[Da
 
 
 def archive_members(spark: SparkSession, path: str, pattern: str = r"([^/]+)/(images|labels)/([^/]+)$", most: int = 50_000_000) -> DataFrame:
-    """(archive, split, kind, name, content) of the members of ZIP files that match; ``valid`` is read as ``val``."""
+    """(archive, split, kind, name, content) of the members of ZIP files that match; ``valid`` is read as ``val``.
+
+    A file is one row of one task, in any store that Spark reads; files of over
+    a few hundred megabytes: ``archives.members`` reads them by ranges.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

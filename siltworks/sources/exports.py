@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -145,41 +147,87 @@ def load_plan(spark: SparkSession, path: str, code: str, split: str, weights: Ma
     return plan
 
 
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file with this text at ``path``, unless there is one: of several writers exactly one gets True.
+
+    The text is whole before it can be seen: it is written beside and then put
+    in place in one step that fails if the place is taken, a link in a local
+    folder, a rename without overwriting elsewhere (atomic where the store's is).
+    """
+    beside = f"{path}.{uuid.uuid4().hex}"
+    write_text(spark, beside, text)
+    p, fs = _path(spark, path)
+    q = _path(spark, beside)[0]
+    if fs.getScheme() == "file":
+        try:
+            os.link(q.toUri().getPath(), p.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(q, False)
+    if fs.exists(p) or not fs.rename(q, p):
+        fs.delete(q, False)
+        return False
+    return True
+
+
 class Versions:
-    """A table that is replaced as a whole; who replaces a version that is no longer the last one is refused."""
+    """A table that is replaced as a whole; of those who replace the same version one succeeds.
+
+    A writer fills an attempt folder of its own, then claims the next number by a
+    marker that names the folder. Readers follow markers alone, so what
+    is half written is never seen, and nothing is ever moved.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
+    def _names(self, folder: str) -> list[str]:
+        p, fs = _path(self.spark, f"{self.path}/{folder}")
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
     def last(self) -> int | None:
-        p, fs = _path(self.spark, self.path)
-        if not fs.exists(p):
-            return None
-        names = [f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()]
-        whole = [int(n) for n in names if n.isdigit() and fs.exists(_path(self.spark, f"{self.path}/{n}/_SUCCESS")[0])]
-        return max(whole, default=None)
-
-    def read(self) -> tuple[DataFrame, int]:
-        last = self.last()
+        return max((int(n) for n in self._names("versions") if n.isdigit()), default=None)
+
+    def folder(self, number: int) -> str:
+        return f"{self.path}/attempts/{read_text(self.spark, f'{self.path}/versions/{number}')}"
+
+    def read(self, number: int | None = None) -> tuple[DataFrame, int]:
+        last = self.last() if number is None else number
         if last is None:
             raise ValueError(f"nothing at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{last}"), last
+        return self.spark.read.parquet(self.folder(last)), last
+
+    def prepare(self, rows: DataFrame) -> str:
+        """Write rows to an attempt folder that no other writer has; gives its name."""
+        name = uuid.uuid4().hex
+        rows.write.mode("errorifexists").parquet(f"{self.path}/attempts/{name}")
+        return name
+
+    def claim(self, name: str, expected: int | None) -> int:
+        """Make an attempt the version after ``expected``; an error if that number is taken."""
+        number = 0 if expected is None else expected + 1
+        if self.last() != expected or not put_if_absent(self.spark, f"{self.path}/versions/{number}", name):
+            raise ValueError(f"{self.path} changed meanwhile: version {self.last()}, not {expected}")
+        return number
 
     def replace(self, rows: DataFrame, expected: int | None) -> int:
         """Write the next version; ``expected`` is the one that ``rows`` were made from."""
-        last = self.last()
-        if last != expected:
-            raise ValueError(f"{self.path} changed meanwhile: version {last}, not {expected}")
-        number = 0 if last is None else last + 1
-        attempt(self.spark, f"{self.path}/{number}")
-        rows.write.mode("errorifexists").parquet(f"{self.path}/{number}")
-        return number
+        if self.last() != expected:
+            raise ValueError(f"{self.path} changed meanwhile: version {self.last()}, not {expected}")
+        return self.claim(self.prepare(rows), expected)
+
+    def unclaimed(self) -> list[str]:
+        """Attempt folders that no version names: refused, interrupted or still being written."""
+        named = {read_text(self.spark, f"{self.path}/versions/{n}") for n in self._names("versions") if n.isdigit()}
+        return sorted(n for n in self._names("attempts") if n not in named)
 
 
 def attempt(spark: SparkSession, path: str) -> str | None:
-    """Make room for a table at ``path``: what an interrupted write left there is moved aside, and its new place given.
+    """Make room for a cache at ``path`` that one writer at a time builds: what an interrupted write left there is moved aside, and its new place given.
 
-    A table that was written in full is an error.
+    A cache that was written in full is an error. Tables with several writers: :class:`Versions`.
     """
     p, fs = _path(spark, path)
     if not fs.exists(p):

@@ -103,10 +103,14 @@ def test_plans_and_versions(spark, tmp_path):
     assert status.replace(rows.withColumn("state", F.lit("running")), 0) == 1 and {r.state for r in status.read()[0].collect()} == {"running"}
     with pytest.raises(ValueError, match="changed meanwhile"):
         status.replace(rows, 0)
-    (tmp_path / "study/status/2").mkdir()  # an interrupted write
-    assert status.read()[1] == 1 and status.replace(rows, 1) == 2 and (tmp_path / "study/status/2_incomplete_1").is_dir()
+    (tmp_path / "study/status/attempts/2").mkdir()  # an interrupted write
+    assert status.read()[1] == 1 and status.replace(rows, 1) == 2 and status.unclaimed() == ["2"]
+    cache = str(tmp_path / "cache")
+    (tmp_path / "cache").mkdir()  # of an interrupted build
+    assert exports.attempt(spark, cache) == f"{cache}_incomplete_1" and exports.attempt(spark, cache) is None
+    spark.range(1).write.parquet(cache)
     with pytest.raises(ValueError, match="there already"):
-        exports.attempt(spark, f"{path}/status/2")
+        exports.attempt(spark, cache)
     good = {"seeds": [0, 1], "models": {"m": {"backend": "x"}}, "arms": {"a": {"kind": "real"}}}
     assert study.plan_problems(good, ["x"], ["real"]) == [] and len(study.plan_problems({"seeds": [0, 0], "models": {"m": {"backend": "y"}}, "arms": {}}, ["x"], ["real"])) == 3
     assert study.sources_of(["s"], {"s": "D1"}, False) == ["D1"]
