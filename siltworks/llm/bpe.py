@@ -40,7 +40,9 @@ from .common import text_of
 CACHE = 1_000_000
 #: Words of more bytes than this are encoded one by one.
 LANE = 63
-NONE, BIG = 0xFFFF, 1 << 20
+#: Bits of an id in a pair's key; no id, and the rank of no merge.
+WIDTH = 31
+NONE, BIG = (1 << WIDTH) - 1, 1 << 24
 #: Letters and digits younger than Unicode 16, which the tokenizer knows.
 YOUNGER = (
     "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
@@ -89,7 +91,7 @@ class Bpe(ChunkCache):
         self.first = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + end] for c in letters], np.int64)
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in merges], np.int64)
+        keys = np.array([vocab[a] << WIDTH | vocab[b] for a, b in merges], np.int64)
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
@@ -109,7 +111,7 @@ class Bpe(ChunkCache):
         after, before = [*range(1, n), none], [none, *range(n - 1)]
         after += [none] * (slots - n)
         before += [none] * (slots - n)
-        rank = lambda i: self.rank_of.get(ids[i] << 16 | ids[after[i]], BIG) * slots + i
+        rank = lambda i: self.rank_of.get(ids[i] << WIDTH | ids[after[i]], BIG) * slots + i
         tree = [BIG * slots] * slots + [rank(i) if i < n - 1 else BIG * slots for i in range(slots)]
         for k in range(slots - 1, 0, -1):
             tree[k] = min(tree[2 * k], tree[2 * k + 1])
@@ -136,7 +138,7 @@ class Bpe(ChunkCache):
     # -- many short words ---------------------------------------------------
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 16 | b
+        key = a << WIDTH | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.order[at], BIG)
 

@@ -404,6 +404,44 @@ def labelled_page(rng: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{whole}</body></html>"
 
 
+def bare_page(rng: random.Random) -> str:
+    """A page of an article with little or nothing around it: one to a few blocks, bare text, breaks, lists with short ends, a heading over comments."""
+    letters = ["the", "of", "ing", "lor", "sam", "ver", "tio", "né", "ch", "ß", "ar", "qu"]
+
+    def words(a: int, b: int) -> str:
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(a, b))).capitalize()
+
+    def text(*sizes: tuple[int, int]) -> str:
+        return FLAG + words(*rng.choice(sizes or ((10, 30), (40, 90), (40, 90)))) + rng.choice([".", ".", ".", "!", "?", ""])
+
+    kind = rng.choice([0, 1, 2, 3, 4, 5, 5])
+    if kind == 0:  # a few paragraphs, of any length
+        main = "".join(f"<{t}>{text((2, 8), (10, 30), (40, 90))}</{t}>" for t in rng.choices(["p", "p", "p", "div"], k=rng.randint(1, 4)))
+    elif kind == 1:  # lines parted by breaks, or text alone
+        main = rng.choice(["<br>", "<br><br>", "<br/>\n"]).join(text((6, 20), (10, 30), (40, 90)) for _ in range(rng.randint(1, 5)))
+    elif kind == 2:  # a list whose items are as short as they like
+        items = [text((4, 12), (10, 30)), *[text((1, 1), (1, 3), (3, 9)) for _ in range(rng.randint(1, 5))]]
+        main = f"<h1>{text((1, 6))}</h1><p>{text()}</p>" * rng.randint(0, 1) + "<{0}>{1}</{0}>".format(rng.choice(["ul", "ol"]), "".join(f"<li>{x}</li>" for x in items))
+    elif kind == 3:  # headings and paragraphs
+        main = "".join(f"<h{rng.randint(1, 3)}>{text((1, 6))}</h2><p>{text()}</p>" for _ in range(rng.randint(1, 3)))
+    elif kind == 4:
+        main = f"<pre>{text()}</pre>" if rng.random() < 0.3 else f"<blockquote><p>{text()}</p></blockquote><p>{text((3, 9), (10, 30))}</p>"
+    else:
+        main = "".join(f"<p>{text()}</p>" for _ in range(rng.randint(1, 4)))
+    main = rng.choice(["{}", "{}", "<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "<section>{}</section>"]).format(main)
+    after = ""
+    if kind == 5:  # what follows has a heading of its own, outside any box that names it
+        said = rng.choice(["Comments", "{} Comments", "{} comments", "Comments ({})", "Leave a comment", "Responses", "{} replies", "Reader comments"]).format(rng.randint(0, 40))
+        items = "".join(f'<{t} class="comment">{words(2, 25)}.</{t}>' for t in rng.choices(["div", "li", "p"], k=rng.randint(1, 4)))
+        after = f"<h{(n := rng.randint(2, 4))}>{said}</h{n}>" + rng.choice(['<div class="comments">{}</div>', "<ol class=comment-list>{}</ol>", '<section id="comments">{}</section>']).format(items)
+        news = "".join(f"<li><a href=/{i}>{words(2, 7)}</a></li>" for i in range(rng.randint(1, 5)))
+        news = f'<section class="{rng.choice(["news", "more-news", "latest", "popular"])}"><h2>{rng.choice(["Other news", "More news", "Latest", "Most read"])}</h2><ul>{news}</ul></section>'
+        after = rng.choice([after, after + news, news, news])
+        if rng.random() < 0.4:
+            main = "<nav class=menu><ul>" + "".join(f"<li><a href=/{i}>{words(1, 2)}</a></li>" for i in range(rng.randint(1, 5))) + "</ul></nav>" + main
+    return rng.choice(["<html><body>{}</body></html>", "<body>{}</body>", "{}", "<!DOCTYPE html><html><head><title>x</title></head><body>{}</body></html>"]).format(main + after)
+
+
 def train(pages: list[str], steps: int = 120, rate: float = 0.15, decay: float = 2e-4) -> Field:
     """Adam on the mean conditional log-likelihood of the FLAG labels."""
     chains, labels = [], []
@@ -457,9 +495,9 @@ def train(pages: list[str], steps: int = 120, rate: float = 0.15, decay: float =
 
 
 @cache
-def trained(seed: int = 11, pages: int = 900) -> Field:
+def trained(seed: int = 11, pages: int = 900, bare: int = 300) -> Field:
     rng = random.Random(seed)
-    return train([labelled_page(rng) for _ in range(pages)])
+    return train([labelled_page(rng) for _ in range(pages)] + [bare_page(rng) for _ in range(bare)])
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), field: Field | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -56,3 +57,18 @@ def test_round_trip_frames(spark, both):
     docs = spark.createDataFrame([(1, "Some words, more words."), (2, None)], "doc_id long, text string")
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs)).collect()}
     assert back == {1: theirs.decode(theirs.encode("Some words, more words.", add_special_tokens=False).ids, skip_special_tokens=False), 2: ""}
+
+
+def test_ids_beyond_16_bits():
+    """A vocabulary of over 90,000: the file's own, moved up by 44,000."""
+    config = json.loads(open(bpe.default_path()).read())
+    vocab = config["model"]["vocab"]
+    config["model"]["vocab"] = {f"unused {i}": i for i in range(44_000)} | {k: v + 44_000 for k, v in vocab.items()}
+    for token in config["added_tokens"]:
+        token["id"] += 44_000
+    config["post_processor"] = config["truncation"] = config["padding"] = None
+    text = json.dumps(config)
+    theirs, mine = Tokenizer.from_str(text), bpe.Bpe(text)
+    for words in ("the river of things, and 12 others", "Überfluß naïve co-operate", "x" * 300, "antidisestablishmentarianism " * 9):
+        want = theirs.encode(words, add_special_tokens=False).ids
+        assert mine.encode_text(words) == want and max(want) > 65_536

@@ -152,3 +152,18 @@ def test_only_scripts_styles_and_templates_are_hidden():
             page = f"<body><p>before it</p><{name}>inside it{end}<p>after it</p></body>"
             text = " ".join(b.text for b in html_text.blocks(page))
             assert all(x in text for x in ("before it", "inside it", "after it"))
+
+
+PROSE = ("The river runs past the old mill and the people of the town still bring their grain there every autumn, as their grandparents did. " * 2).strip()
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<body><p>{PROSE}</p></body>", [PROSE]), (f"<body><p>{PROSE}</p><p>{PROSE}</p></body>", [PROSE] * 2), (f"<body><article><p>{PROSE}</p></article></body>", [PROSE]),
+    (f"<body>{PROSE}<br>{PROSE}<br>{PROSE}</body>", [PROSE] * 3), (PROSE, [PROSE]), ("<p>Hello there.</p>", ["Hello there."]), (f"<h1>A title</h1><p>{PROSE}</p>", ["A title", PROSE]),
+    (f"<body><article><h1>How to rest</h1><p>{PROSE}</p><ul><li>Drink some warm milk before bed.</li><li>Read.</li><li>Sleep.</li></ul></article></body>", ["How to rest", PROSE, "Drink some warm milk before bed.", "Read.", "Sleep."]),
+    (f"<body><article><h1>A title</h1><p>{PROSE}</p></article><h3>3 Comments</h3><div class=comments><div class=comment>Nice one.</div><div class=comment>I disagree.</div></div></body>", ["A title", PROSE]),
+    (f"<nav class=menu><ul><li><a href=/>Home</a></li></ul></nav><article><h1>A title</h1><p>{PROSE}</p></article><section class=news><h2>Other news</h2><ul><li><a href=/1>Mill burns down</a></li></ul></section>", ["A title", PROSE]),
+])
+def test_pages_without_chrome(page, want):
+    """Pages of one to a few blocks, bare text, breaks, short list ends, and headings over comments and news."""
+    assert html_text.trained().extract(page) == " ".join(want)
