@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import inventory
 from ..session import delete_path, materialize, shared_folder, table
 from ..sources import annotations, archives, exports, sinks
-from .registry import BOXES, SPLIT, docs_split, line_boxes, query
+from .registry import BOXES, SPLIT, docs_split, line_boxes, query, split_of
 
 
 @contextmanager
@@ -98,10 +98,12 @@ def versioned_status(spark, d):
 @query(f"SELECT {SPLIT} AS split, doc_id::VARCHAR AS stem, strlen(text) AS bytes, sha256(text) AS sha256, quality::VARCHAR AS label FROM documents LEFT JOIN labels USING (doc_id) WHERE text IS NOT NULL")
 def package_round_trip(spark, d):
     """Texts as images beside their labels in packages of archives, read back by ranges of members and paired."""
-    docs = docs_split(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     key = F.col("doc_id").cast("string")
-    texts = docs.select(F.concat("split", F.lit("/images/"), key, F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"), F.sha2("text", 256).alias("sha256"))
-    labels = docs.where("quality IS NOT NULL AND text IS NOT NULL").select(F.concat("split", F.lit("/labels/"), key, F.lit(".txt")).alias("name"), F.col("quality").cast("string").cast("binary").alias("content"))
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    texts = docs.select(F.concat(split_of(F.col("doc_id")), F.lit("/images/"), key, F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"), F.sha2("text", 256).alias("sha256"))
+    # only ids meet: a split follows from its id
+    known = table(spark, d, "labels").where("quality IS NOT NULL").join(docs.select("doc_id"), "doc_id", "left_semi")
+    labels = known.select(F.concat(split_of(F.col("doc_id")), F.lit("/labels/"), key, F.lit(".txt")).alias("name"), F.col("quality").cast("string").cast("binary").alias("content"))
     with folder(spark, "package") as path:
         archives.write_package(texts.unionByName(labels.withColumn("sha256", F.sha2("content", 256))), path)
         found = archives.paired(archives.members(spark, path))
