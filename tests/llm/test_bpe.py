@@ -60,15 +60,15 @@ def test_round_trip_frames(spark, both):
 
 
 def test_ids_beyond_16_bits():
-    """A vocabulary of over 90,000: the file's own, moved up by 44,000."""
+    """A vocabulary of over 110,000: the file's own, moved up by 70,000."""
     config = json.loads(open(bpe.default_path()).read())
     vocab = config["model"]["vocab"]
-    config["model"]["vocab"] = {f"unused {i}": i for i in range(44_000)} | {k: v + 44_000 for k, v in vocab.items()}
+    config["model"]["vocab"] = {f"unused {i}": i for i in range(70_000)} | {k: v + 70_000 for k, v in vocab.items()}
     for token in config["added_tokens"]:
-        token["id"] += 44_000
+        token["id"] += 70_000
     config["post_processor"] = config["truncation"] = config["padding"] = None
     text = json.dumps(config)
     theirs, mine = Tokenizer.from_str(text), bpe.Bpe(text)
     for words in ("the river of things, and 12 others", "Überfluß naïve co-operate", "x" * 300, "antidisestablishmentarianism " * 9):
         want = theirs.encode(words, add_special_tokens=False).ids
-        assert mine.encode_text(words) == want and max(want) > 65_536
+        assert mine.encode_text(words) == want and min(want) > 65_536
