@@ -11,7 +11,8 @@ def test_jobs(spark):
         workflow.grid(jobs, ["a", "a"], ["m"])
     status = spark.createDataFrame([("s1_real_m", "val", "complete"), ("s1_aug_m", "val", "failed"), ("s2_real_m", "val", "blocked_review")], "job string, split string, state string")
     names = lambda *a, **k: {r.job for r in workflow.eligible(jobs, status, *a, **k).collect()}
-    assert names() == {"s2_aug_m"} and names(retry_failed=True) == {"s2_aug_m", "s1_aug_m"} and names("test") == {"s1_real_m"}
+    # a job that waits for a review stays eligible
+    assert names() == {"s2_aug_m", "s2_real_m"} and names(retry_failed=True) == {"s2_aug_m", "s2_real_m", "s1_aug_m"} and names("test") == {"s1_real_m"}
     changes = spark.createDataFrame([("s1_aug_m", "val", "running", 1), ("s1_aug_m", "val", "complete", 2), ("new", "val", "running", 1)], "job string, split string, state string, seq int")
     assert {r.job: r.state for r in workflow.advance(status, changes).collect()} == {"s1_real_m": "complete", "s1_aug_m": "complete", "s2_real_m": "blocked_review", "new": "running"}
 
