@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import hamming
+from ..session import materialize
 
 
 def bands(df: DataFrame, bits: str, within: int) -> DataFrame:
@@ -200,8 +201,12 @@ def first_earlier(df: DataFrame, id_col: str, bits: str, within: int, accepted:
     are not accepted are neither compared with nor get a row.
     """
     rows = df if accepted is None else df.where(accepted)
-    pairs = hamming_join(rows, rows, id_col, bits, within, ordered=True) if within <= PROBED else blockwise(rows, rows, id_col, bits, within, ordered=True, keep="first")
-    return pairs.groupBy(F.col("b").alias(id_col)).agg(F.min("a").alias("near"))
+    # of equal hashes only the first can be anyone's answer, so copies by the thousand are one row here
+    firsts = materialize(rows.where(F.col(bits).isNotNull()).groupBy(bits).agg(F.min(id_col).alias(id_col)))
+    pairs = hamming_join(firsts, firsts, id_col, bits, within, ordered=True) if within <= PROBED else blockwise(firsts, firsts, id_col, bits, within, ordered=True, keep="first")
+    best = pairs.groupBy(F.col("b").alias(id_col)).agg(F.min("a").alias("__a"))
+    known = firsts.join(best, id_col, "left").select(bits, F.coalesce("__a", id_col).alias("near"))
+    return rows.select(id_col, bits).join(known, bits).where(F.col("near") < F.col(id_col)).select(id_col, "near")
 
 
 def distinct_first(df: DataFrame, id_col: str, key: str) -> DataFrame:

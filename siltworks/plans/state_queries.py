@@ -33,9 +33,28 @@ def receipt_gate(spark, d):
     return rows.select("doc_id", problem.alias("problem"))
 
 
-SCREENED = """
-    s AS (SELECT d.doc_id, n_chars, source, lang, text, coalesce(toxic, 0) AS cid, CASE WHEN coalesce(quality, 1) = 0 THEN 'other' WHEN coalesce(toxic, 0) = 1 THEN 'toxic' ELSE 'clean' END AS cname, md5(coalesce(text, '')) AS pixel,
-        ('0x' || md5(coalesce(text, '')[1:12])[1:16])::UBIGINT AS bits FROM documents d LEFT JOIN labels USING (doc_id)),
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def with_letter_bits(df, text):
+    """``df`` with bits: which letters are commoner in the first half of ``text`` than in the second, and in its odd quarters than in its even ones.
+
+    Texts of their own differ in about half of the 52 bits, copies with a few other words in few.
+    """
+    part = "transform(sequence(0, 3), j -> substring(__t, int(1 + j * length(__t) div 4), int((j + 1) * length(__t) div 4 - j * length(__t) div 4)))"
+    counts = ", ".join(f"length(q) - length(replace(q, '{c}', ''))" for c in LETTERS)
+    more = "if(i < 26, n[0][i % 26] + n[1][i % 26] > n[2][i % 26] + n[3][i % 26], n[0][i % 26] + n[2][i % 26] > n[1][i % 26] + n[3][i % 26])"
+    found = df.withColumn("__t", text).withColumn("n", F.expr(f"transform({part}, q -> array({counts}))"))
+    return found.withColumn("bits", F.expr(f"aggregate(sequence(0, 51), 0L, (s, i) -> s + if({more}, shiftleft(1L, i), 0L))")).drop("__t", "n")
+
+
+SCREENED = f"""
+    w AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS k FROM documents),
+    h AS MATERIALIZED (SELECT doc_id, list_transform(range(0, 4), lambda j: substring(t, 1 + j * k // 4, (j + 1) * k // 4 - j * k // 4)) AS quarters FROM w),
+    m AS MATERIALIZED (SELECT doc_id, list_transform(quarters, lambda q: list_transform(string_split('{LETTERS}', ''), lambda c: length(q) - length(replace(q, c, '')))) AS m FROM h),
+    e AS MATERIALIZED (SELECT doc_id, list_sum(list_transform(range(0, 52), lambda i: CASE WHEN (CASE WHEN i < 26 THEN m[1][i % 26 + 1] + m[2][i % 26 + 1] > m[3][i % 26 + 1] + m[4][i % 26 + 1] ELSE m[1][i % 26 + 1] + m[3][i % 26 + 1] > m[2][i % 26 + 1] + m[4][i % 26 + 1] END) THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS bits FROM m),
+    s AS MATERIALIZED (SELECT d.doc_id, n_chars, source, lang, coalesce(toxic, 0) AS cid, CASE WHEN coalesce(quality, 1) = 0 THEN 'other' WHEN coalesce(toxic, 0) = 1 THEN 'toxic' ELSE 'clean' END AS cname, md5(coalesce(text, '')) AS pixel, bits
+        FROM documents d JOIN e USING (doc_id) LEFT JOIN labels USING (doc_id)),
     r AS (SELECT *, list_filter([CASE WHEN n_chars % 23 = 0 THEN 'image_hash_mismatch' END, CASE WHEN n_chars >= 40 AND source = 'src3' THEN 'checkpoint_hash_mismatch' END,
             CASE WHEN n_chars >= 40 AND NOT (cid < 2 AND cname = CASE cid WHEN 0 THEN 'clean' ELSE 'toxic' END) THEN 'invalid_class' END, CASE WHEN n_chars < 40 THEN 'unreadable_or_invalid:short' END], lambda x: x IS NOT NULL) AS reasons,
         list_filter([CASE WHEN n_chars >= 40 AND least(n_chars // 10, 100) < 16 THEN 'small_image' END, CASE WHEN n_chars >= 40 AND n_chars % 50 < 5 THEN 'low_contrast_or_blank' END, CASE WHEN n_chars >= 40 AND n_chars % 100 < 15 THEN 'low_detail_or_blur' END], lambda x: x IS NOT NULL) AS flags FROM s),
@@ -51,10 +70,10 @@ def screened(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     text = F.coalesce("text", F.lit(""))
     cid = F.coalesce("toxic", F.lit(0))
-    rows = rows.select(
+    rows = with_letter_bits(rows, text).select(
         F.col("doc_id").alias("seq"), F.col("doc_id").alias("id"), F.when(F.col("n_chars") < 40, "short").alias("error"), F.lit("a").alias("sha256"), F.when(F.col("n_chars") % 23 == 0, "b").otherwise("a").alias("expected_sha256"),
         F.floor(F.col("n_chars") / 10).alias("width"), F.lit(100).cast("long").alias("height"), (F.col("n_chars") % 50).cast("double").alias("gray_std"), (F.col("n_chars") % 100).cast("double").alias("laplacian_variance"),
-        F.md5(text).alias("pixel_hash"), identity.hash_from_hex(F.substring(F.md5(F.substring(text, 1, 12)), 1, 16)).alias("phash"), F.when(F.col("source") == "src3", "y").otherwise("x").alias("checkpoint_now"), F.lit("x").alias("checkpoint_sha256"),
+        F.md5(text).alias("pixel_hash"), F.col("bits").alias("phash"), F.when(F.col("source") == "src3", "y").otherwise("x").alias("checkpoint_now"), F.lit("x").alias("checkpoint_sha256"),
         cid.alias("class_id"), F.when(F.coalesce("quality", F.lit(1)) == 0, "other").when(cid == 1, "toxic").otherwise("clean").alias("class_name"),
     )
     return screening.screen(rows, "candidates", ["clean", "toxic"])
@@ -147,9 +166,12 @@ def augmentation_notes(spark, d):
     return s.select("source", verdict.alias("verdict"), workflow.containment_note(F.col("en"), F.least("n", "k")).alias("note"))
 
 
-@query(f"WITH t AS ({BOXES}) SELECT l_orderkey::VARCHAR AS image, bool_and(l_linenumber * 0.002::DOUBLE <= 0.011) AS same FROM t GROUP BY 1")
+@query(f"""
+    WITH t AS ({BOXES}), m AS (SELECT *, EXISTS (SELECT 1 FROM t WHERE t.l_orderkey = a.l_orderkey AND t.l_linenumber = a.l_linenumber AND abs(t.x1 - a.x1 - a.l_linenumber * 0.002) <= 0.011 AND abs(t.y1 - a.y1) <= 0.011 AND abs(t.x2 - a.x2) <= 0.011 AND abs(t.y2 - a.y2) <= 0.011) AS met FROM t a)
+    SELECT l_orderkey::VARCHAR AS image, bool_and(met) AS same FROM m GROUP BY 1
+""")
 def same_boxes(spark, d):
-    t = line_boxes(spark, d).select(F.col("l_orderkey").cast("string").alias("image"), F.col("l_linenumber").cast("int").alias("cid"), (F.col("x1") * 0).alias("x1"), (F.col("y1") * 0).alias("y1"), (F.col("x1") * 0 + 1).alias("x2"), (F.col("x1") * 0 + 1).alias("y2"))
+    t = line_boxes(spark, d).select(F.col("l_orderkey").cast("string").alias("image"), F.col("l_linenumber").cast("int").alias("cid"), "x1", "y1", "x2", "y2")
     moved = t.withColumn("x1", F.col("x1") + F.col("cid") * 0.002)
     return matching.same_boxes(moved, t)
 
