@@ -40,6 +40,12 @@ def prefix_family(name: Column, prefixes: Sequence[str], other: str = "other") -
     return found
 
 
+def digit_family(name: Column) -> Column:
+    """What an exported name has before its first digit, ``numeric`` if that is nothing."""
+    base = F.regexp_replace(basename(name), r"\.rf\..*$", "")
+    return F.coalesce(F.nullif(F.regexp_extract(base, r"^[^\d]*", 0), F.lit("")), F.lit("numeric"))
+
+
 def capture_unit(name: Column, patterns: Sequence[str]) -> Column:
     """``<index>:<unit>`` of the first matching pattern, whose first group is the unit; no match is an error."""
     found = F.raise_error(F.concat(F.lit("no capture unit in "), name)).cast("string")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.identity import canonical_hash
+from ..session import materialize
 from .quality_gates import crossing, repeated
 from .selection import running
 
@@ -197,3 +198,20 @@ def most_without_repeats(rows: DataFrame, cls: str, group: str, score: str) -> l
         if r[cls] not in taken and r[group] not in taken.values():
             taken[r[cls]] = r[group]
     return list(taken.items())
+
+
+def smoke_sample(images: DataFrame, boxes: DataFrame, key: str, cls: str, usable: Column, limit: int, expected: Sequence, each: int = 2) -> DataFrame:
+    """``limit`` rows of ``images`` whose boxes show every class of ``expected`` at least ``each`` times, the others in order of ``key``.
+
+    boxes: key, cls and what ``usable`` asks for. A class with fewer usable
+    boxes, or one that cannot be shown within the limit, is an error.
+    """
+    wanted = boxes.where(F.col(cls).isin(list(expected)))
+    found = {r[0]: r[1] for r in wanted.where(usable).groupBy(cls).count().collect()}  # a row per expected class
+    lacking = [c for c in expected if found.get(c, 0) < each]
+    needed = materialize(two_of_each(wanted, key, cls, usable, each))
+    most = needed.count()
+    if lacking or most > limit:
+        raise ValueError(f"{each} usable boxes of every class need {most} images of {limit}" + (f"; too few of {lacking}" if lacking else ""))
+    chosen = images.join(needed, key, "left_semi")
+    return chosen.unionByName(images.join(needed, key, "left_anti").orderBy(key).limit(limit - most))

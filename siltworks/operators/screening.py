@@ -39,15 +39,64 @@ def settings_for(given: Mapping | None = None) -> dict:
     return out
 
 
+def crop_settings(given: Mapping | None = None, min_side: int = 8) -> dict:
+    """How patches are cut: margin (a share of each side, up to a half), min_box_side and canonical_orientation.
+
+    Unknown names, truth values as numbers, and numbers out of range are errors.
+    """
+    out = {"margin": 0.0, "min_box_side": min_side, "canonical_orientation": False}
+    unknown = sorted(set(given or {}) - set(out))
+    if unknown:
+        raise ValueError(f"unknown crop settings: {unknown}")
+    out.update(given or {})
+    margin, side = out["margin"], out["min_box_side"]
+    fits = {
+        "margin": type(margin) in (int, float) and 0 <= margin <= 0.5,  # false for NaN
+        "min_box_side": type(side) is int and side >= 1,
+        "canonical_orientation": type(out["canonical_orientation"]) is bool,
+    }
+    if bad := [name for name, fine in fits.items() if not fine]:
+        raise ValueError(", ".join(f"{name} can't be {out[name]!r}" for name in bad))
+    return {**out, "margin": float(margin)}
+
+
 def subject(rows: DataFrame, stage: str) -> DataFrame:
-    """(id, subject): what a receipt vouches for, as JSON; it differs by stage."""
+    """(id, subject): what a receipt vouches for, as JSON; it differs by stage, and a field that rows lack is null."""
     if stage not in STAGES:
         raise ValueError(f"a stage is one of {STAGES}")
-    fields = {"candidates": ("id", "path", "sha256", "class_id", "class_name", "checkpoint", "checkpoint_sha256"), "composites": ("id", "path", "sha256", "label_sha256", "width", "height")}[stage]
-    held = [c for c in fields if c in rows.columns]
+    fields = {"candidates": ("id", "path", "sha256", "class_id", "class_name", "checkpoint", "checkpoint_sha256", "gan_identity"), "composites": ("id", "path", "sha256", "label_sha256", "width", "height")}[stage]
+    held = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in fields]
     return rows.select("id", F.to_json(F.struct(*held), {"ignoreNullFields": "false"}).alias("subject"))
 
 
+BOX = "array<struct<label: string, x1: double, y1: double, x2: double, y2: double>>"
+
+
+def review_items(rows: DataFrame, stage: str, names: Sequence[str] = (), backgrounds: DataFrame | None = None) -> DataFrame:
+    """(id, path, sha256, boxes): what a reviewer is shown of a row, boxes in pixels.
+
+    candidates: id, path, sha256; no boxes. placements: id, background,
+    background_sha256, x, y, w, h; the image is the background's (background,
+    path) and the rectangle is a box named placement. composites: id, path,
+    sha256, width, height, targets (cid and corners in shares of the image).
+    A placement without its background has a null path.
+    """
+    if stage == "candidates":
+        return rows.select("id", "path", "sha256", F.array().cast(BOX).alias("boxes"))
+    if stage == "placements":
+        if backgrounds is None:
+            raise ValueError("placements need their backgrounds")
+        x, y, w, h = (F.col(c).cast("double") for c in "xywh")
+        box = F.struct(F.lit("placement").alias("label"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"))
+        of = backgrounds.select("background", F.col("path").alias("__path"))
+        return rows.join(of, "background", "left").select("id", F.col("__path").alias("path"), F.col("background_sha256").alias("sha256"), F.array(box).cast(BOX).alias("boxes"))
+    if stage == "composites":
+        label = lambda t: F.get(F.array(*[F.lit(n) for n in names]), t["cid"])
+        scaled = lambda t: F.struct(label(t).alias("label"), *[(t[c] * F.col("width" if c[0] == "x" else "height")).alias(c) for c in ("x1", "y1", "x2", "y2")])
+        return rows.select("id", "path", "sha256", F.transform("targets", scaled).cast(BOX).alias("boxes"))
+    raise ValueError("a stage is candidates, placements or composites")
+
+
 def _candidate(names: Sequence[str]) -> dict[str, Column]:
     listed = F.array(*[F.lit(n) for n in names])
     cid = F.col("class_id")

@@ -99,10 +99,11 @@ def rotated_boxes(spark, d):
     return line_boxes(spark, d).select("l_orderkey", "l_linenumber", *[F.round(b, 6).alias(n) for b, n in zip(box, ("x1", "y1", "x2", "y2"))])
 
 
-@query(f"WITH t AS ({BOXES}) SELECT CASE WHEN l_linenumber >= 7 THEN 'class' WHEN x1 > 1 OR y1 > 1 OR x2 > 1 OR y2 > 1 OR x1 < 0 OR y1 < 0 THEN 'box' ELSE 'valid' END AS problem, count(*) AS n FROM t GROUP BY ALL")
+@query(f"WITH t AS ({BOXES}) SELECT CASE WHEN l_orderkey % 97 = 0 THEN 'nonfinite' WHEN l_linenumber >= 7 THEN 'class' WHEN x1 * 1.5 - 0.1 NOT BETWEEN 0 AND 1 THEN 'confidence' WHEN x1 > 1 OR y1 > 1 OR x2 > 1 OR y2 > 1 OR x1 < 0 OR y1 < 0 THEN 'box' ELSE 'valid' END AS problem, count(*) AS n FROM t GROUP BY ALL")
 def prediction_gate(spark, d):
     t = line_boxes(spark, d)
-    problem = quality_gates.prediction_problem(F.col("l_linenumber"), F.lit(0.5), [F.col(c) for c in ("x1", "y1", "x2", "y2")], 7)
+    conf = F.when(F.col("l_orderkey") % 97 == 0, float("nan")).otherwise(F.col("x1") * 1.5 - 0.1)
+    problem = quality_gates.prediction_problem(F.col("l_linenumber"), conf, [F.col(c) for c in ("x1", "y1", "x2", "y2")], 7)
     return t.groupBy(F.coalesce(problem, F.lit("valid")).alias("problem")).agg(F.count("*").alias("n"))
 
 

@@ -94,23 +94,28 @@ def passed_candidates(spark, d):
 
 
 @query("""
-    WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) AS i, l_discount * 8 AS x1, l_tax * 8 AS y1, (l_quantity * 10)::INTEGER AS w, l_linenumber AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1)
-    SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter([
-        CASE WHEN NOT (least((x1 * 100)::INTEGER, (y1 * 100)::INTEGER) >= 0 AND w > 0 AND (x1 * 100)::INTEGER + w <= 480 AND (y1 * 100)::INTEGER + 20 <= 480) THEN 'invalid_composite_region' END,
-        CASE WHEN o_orderstatus = 'P' THEN 'label_hash_mismatch' END, CASE WHEN w = 250 THEN 'labels_disagree_with_targets' END, CASE WHEN w = 300 THEN 'dimension_mismatch' END,
-        CASE WHEN NOT (x1 < 0.9 AND 0.9 <= 1 AND y1 < 0.9) THEN 'invalid_target_box' END,
-        CASE WHEN least((x1 * 100)::INTEGER, (y1 * 100)::INTEGER) >= 0 AND w > 0 AND (x1 * 100)::INTEGER + w <= 480 AND (y1 * 100)::INTEGER + 20 <= 480 AND least(w, 20) < 30 THEN 'small_inserted_region' END,
-        CASE WHEN w < 50 THEN 'low_contrast_or_blank' END], lambda x: x IS NOT NULL))), ';') AS codes FROM r
+    WITH q AS (SELECT o_orderkey, o_orderstatus, min(l_discount) * 8 AS x1, min(l_tax) * 8 AS y1, (min(l_quantity) * 10)::INTEGER AS w, min(l_partkey) AS part FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1 GROUP BY ALL),
+    p AS (SELECT *, (x1 * 100)::INTEGER AS x, (y1 * 100)::INTEGER AS y, part // 2 || '/' || w AS pixel, part % 512 AS bits FROM q),
+    r AS (SELECT *, least(x, y) >= 0 AND w > 0 AND x + w <= 480 AND y + 20 <= 480 AS fits FROM p),
+    s AS (SELECT *, list_filter([CASE WHEN NOT fits THEN 'invalid_composite_region' END, CASE WHEN o_orderstatus = 'P' THEN 'label_hash_mismatch' END, CASE WHEN w = 250 THEN 'labels_disagree_with_targets' END,
+            CASE WHEN w = 300 THEN 'dimension_mismatch' END, CASE WHEN NOT (x1 < 0.9 AND y1 < 0.9) THEN 'invalid_target_box' END], lambda x: x IS NOT NULL) AS reasons,
+        list_filter([CASE WHEN fits AND least(w, 20) < 30 THEN 'small_inserted_region' END, CASE WHEN w < 50 THEN 'low_contrast_or_blank' END], lambda x: x IS NOT NULL) AS flags FROM r),
+    f AS (SELECT pixel, min(o_orderkey) AS first FROM s WHERE len(reasons) = 0 GROUP BY 1),
+    a AS (SELECT o_orderkey, bits FROM s JOIN f USING (pixel) WHERE len(reasons) = 0 AND o_orderkey = first),
+    n AS (SELECT v.o_orderkey, min(u.o_orderkey) AS near FROM a u JOIN a v ON u.o_orderkey < v.o_orderkey AND bit_count(xor(u.bits, v.bits)) <= 2 GROUP BY 1)
+    SELECT s.o_orderkey, array_to_string(list_sort(list_concat(list_concat(reasons, flags), list_filter([CASE WHEN len(reasons) = 0 AND s.o_orderkey <> first THEN 'exact_duplicate_of:' || first END, CASE WHEN near IS NOT NULL THEN 'near_duplicate_of:' || near END], lambda x: x IS NOT NULL))), ';') AS codes
+    FROM s LEFT JOIN f USING (pixel) LEFT JOIN n USING (o_orderkey)
 """)
 def composite_screening(spark, d):
-    rows = table(spark, d, "orders").join(table(spark, d, "lineitem").where("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = table(spark, d, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*[F.min(c).alias(c) for c in ("l_discount", "l_tax", "l_quantity", "l_partkey")])
+    rows = table(spark, d, "orders").join(lines, "o_orderkey")
     x, y, w = F.col("l_discount") * 8, F.col("l_tax") * 8, F.round(F.col("l_quantity") * 10).cast("int")
     pixel = lambda v: F.round(v * 100).cast("int")
     other = lambda c, name: F.when(c, F.lit("b")).otherwise(F.lit("a")).alias(name)
     target = F.struct(F.lit(0).alias("cid"), x.alias("x1"), y.alias("y1"), F.lit(0.9).alias("x2"), F.lit(0.9).alias("y2"))
     rows = rows.select(
         F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("id"), F.lit(None).cast("string").alias("error"), F.lit("a").alias("sha256"), F.lit("a").alias("expected_sha256"), F.lit(480).alias("width"), F.lit(480).alias("height"),
-        w.cast("double").alias("gray_std"), F.lit(99.0).alias("laplacian_variance"), F.col("o_orderkey").cast("string").alias("pixel_hash"), F.lit(None).cast("long").alias("phash"),
+        w.cast("double").alias("gray_std"), F.lit(99.0).alias("laplacian_variance"), F.concat_ws("/", F.floor(F.col("l_partkey") / 2).cast("string"), w.cast("string")).alias("pixel_hash"), (F.col("l_partkey") % 512).cast("long").alias("phash"),
         F.struct(pixel(x).alias("x"), pixel(y).alias("y"), w.alias("w"), F.lit(20).alias("h")).alias("region"), other(F.col("o_orderstatus") == "P", "label_now"), F.lit("a").alias("label_sha256"),
         other(w == 250, "label_text"), F.lit("a").alias("target_text"), F.when(w == 300, 481).otherwise(480).alias("record_width"), F.lit(480).alias("record_height"), F.array(target).alias("targets"),
     )
@@ -143,10 +148,12 @@ def job_states(spark, d):
     return workflow.advance(status, changes)
 
 
-@query("SELECT doc_id, NULL::BOOLEAN AS approved, NULL::VARCHAR AS reviewer, md5(text) AS screening FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars % 2 = 1 THEN lang = 'en' END AS approved, CASE WHEN n_chars % 2 = 1 THEN lang END AS reviewer, CASE WHEN n_chars % 2 = 1 THEN 'old' ELSE md5(text) END AS screening FROM documents")
 def rescreening(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", (F.col("lang") == "en").alias("approved"), F.col("lang").alias("reviewer"), "text")
-    return workflow.rescreened(rows, F.md5("text"), ["approved", "reviewer"]).drop("text")
+    """Documents of even length are screened again and lose their approval; the others keep it."""
+    rows = table(spark, d, "documents").select("doc_id", (F.col("lang") == "en").alias("approved"), F.col("lang").alias("reviewer"), F.lit("old").alias("screening"), "text", (F.col("n_chars") % 2 == 1).alias("kept"))
+    again = workflow.rescreened(rows.where("NOT coalesce(kept, false)"), F.md5("text"), ["approved", "reviewer"])
+    return rows.where("kept").unionByName(again).drop("text", "kept")
 
 
 @query("SELECT CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN m.doc_id IS NULL THEN 'extra' ELSE 'changed' END AS violation, coalesce(m.doc_id, l.doc_id)::VARCHAR AS key FROM (SELECT doc_id, md5((n_chars < 4000)::VARCHAR) AS h FROM documents) m FULL JOIN (SELECT doc_id, md5((quality = 1)::VARCHAR) AS h FROM labels) l ON m.doc_id = l.doc_id WHERE m.h IS DISTINCT FROM l.h")
@@ -177,7 +184,7 @@ def same_boxes(spark, d):
 
 
 MANIFEST = f"""
-    m AS (SELECT CASE WHEN source = 'src3' THEN 'other' ELSE {SPLIT} END AS split, md5(text)[1:12] AS stem, source AS grp, CASE WHEN n_chars < 100 THEN 'pending_review' ELSE 'approved' END AS status, md5(trim(text)) AS image_sha256, doc_id FROM documents WHERE lang <> 'es'),
+    m AS (SELECT CASE WHEN source = 'src3' THEN 'other' ELSE {SPLIT} END AS split, md5(text)[1:12] AS stem, source AS grp, CASE WHEN n_chars < 100 THEN 'pending_review' ELSE 'approved' END AS status, md5(trim(text)) AS image_sha256, CASE WHEN n_chars % 10 = 0 THEN 'old' ELSE 'same' END AS label_sha256, doc_id FROM documents WHERE lang <> 'es'),
     f AS (SELECT {SPLIT} AS split, md5(text)[1:12] AS stem, md5(text) AS sha FROM documents),
     l AS (SELECT {SPLIT} AS split, md5(text)[1:12] AS stem, quality || ' 0.5 0.5 0.1 0.1' || CASE WHEN toxic = 1 THEN ' 7' ELSE '' END AS text, toxic, quality FROM documents JOIN labels USING (doc_id))
 """
@@ -191,6 +198,7 @@ MANIFEST = f"""
         UNION ALL SELECT 'image_missing_or_ambiguous', split || '/' || stem FROM r WHERE split <> 'other' AND coalesce(files, 0) <> 1
         UNION ALL SELECT 'label_missing', split || '/' || stem FROM r WHERE split <> 'other' AND NOT labelled
         UNION ALL SELECT 'image_changed', split || '/' || stem FROM r WHERE split <> 'other' AND files = 1 AND now IS DISTINCT FROM image_sha256
+        UNION ALL SELECT 'label_changed', split || '/' || stem FROM r WHERE split <> 'other' AND labelled AND label_sha256 <> 'same'
         UNION ALL SELECT 'not_a_box', split || '/' || stem FROM p WHERE toxic = 1
         UNION ALL SELECT 'not_approved', split || '/' || stem FROM m WHERE status <> 'approved'
         UNION ALL SELECT 'outside_manifest', fc.split || '/' || fc.stem FROM fc WHERE (split, stem) NOT IN (SELECT split, stem FROM m))
@@ -204,7 +212,7 @@ def dataset_gate(spark, d):
     docs = docs_split(spark, d)
     stem = F.substring(F.md5("text"), 1, 12).alias("stem")
     split = F.when(F.col("source") == "src3", "other").otherwise(F.col("split")).alias("split")
-    manifest = docs.where("lang <> 'es'").select(split, stem, F.col("source").alias("group"), F.when(F.col("n_chars") < 100, "pending_review").otherwise("approved").alias("status"), F.md5(F.trim("text")).alias("image_sha256"), F.lit("same").alias("label_sha256"))
+    manifest = docs.where("lang <> 'es'").select(split, stem, F.col("source").alias("group"), F.when(F.col("n_chars") < 100, "pending_review").otherwise("approved").alias("status"), F.md5(F.trim("text")).alias("image_sha256"), F.when(F.col("n_chars") % 10 == 0, "old").otherwise("same").alias("label_sha256"))
     images = docs.select("split", stem, F.md5("text").alias("sha256"))
     text = F.concat(F.col("quality").cast("string"), F.lit(" 0.5 0.5 0.1 0.1"), F.when(F.col("toxic") == 1, " 7").otherwise(""))
     labels = docs.join(table(spark, d, "labels"), "doc_id").select("split", stem, text.alias("text"), F.lit("same").alias("sha256"))

@@ -41,13 +41,20 @@ def class_names(listed: Sequence[str] | Mapping[int, str] | None, fallback: Sequ
     return [listed[k] for k in sorted(listed)] if isinstance(listed, Mapping) else list(listed)
 
 
-def readme_facts(text: Column) -> Column:
-    """What an export's README says: version, images, and whether it augments or preprocesses."""
-    get = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
-    return F.create_map(
-        F.lit("version"), get(r"(?i)\bv(?:ersion)?[ :]*(\d+)"), F.lit("images"), get(r"(?i)includes?\s+(\d+)\s+images"),
-        F.lit("augmentation"), get(r"(?i)(no image augmentation|augmentation was applied)"), F.lit("preprocessing"), get(r"(?i)(no image pre-?processing|pre-?processing was applied)"),
-    )
+def readme_facts(text: Column, name: Column) -> Column:
+    """What an export's README says, as a map of what was found: file, version_line, augmentation, preprocessing and image_count_readme.
+
+    name: which of ``exports.READMES`` the text is. A text that names its
+    augmentation steps is believed over one that denies any.
+    """
+    whole = lambda p: F.nullif(F.trim(F.regexp_extract(text, f"(?i){p}", 0)), F.lit(""))
+    denied = F.when(text.rlike("(?i)No image augmentation"), "none stated")
+    facts = {
+        "file": F.when(text.isNotNull(), name), "version_line": whole(r"- v\d+"), "augmentation": F.coalesce(whole(r"augmentation was applied[^\n]*"), denied),
+        "preprocessing": whole(r"pre-processing was applied[^\n]*"), "image_count_readme": F.nullif(F.regexp_extract(text, r"(?i)includes (\d+) images", 1), F.lit("")),
+    }
+    every = F.create_map(*[x for k, v in facts.items() for x in (F.lit(k), v)])
+    return F.map_filter(every, lambda _, v: v.isNotNull()).alias("facts")
 
 
 def label_lines(texts: DataFrame, classes: int, path_col: str = "path", text_col: str = "text") -> DataFrame:

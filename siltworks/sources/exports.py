@@ -48,11 +48,15 @@ def classes_of(spark: SparkSession, folder: str, fallback: Sequence[str] = ()) -
     return class_names((yaml.safe_load(read_text(spark, f"{folder}/data.yaml").lstrip("﻿")) or {}).get("names"), fallback)
 
 
-def readme_of(spark: SparkSession, folder: str) -> str | None:
-    """The text of a folder's first README by name, or null."""
+#: The README files of an export, the first that is there counts.
+READMES = ("README.roboflow.txt", "README.dataset.txt")
+
+
+def readme_of(spark: SparkSession, folder: str) -> tuple[str, str] | None:
+    """(name, text) of a folder's README, or null; see ``annotations.readme_facts``."""
     p, fs = _path(spark, folder)
-    found = sorted(f.getPath().toString() for f in fs.listStatus(p) if f.getPath().getName().lower().startswith("readme"))
-    return read_text(spark, found[0]) if found else None
+    there = {f.getPath().getName() for f in fs.listStatus(p) if f.isFile()}
+    return next(((name, read_text(spark, f"{folder}/{name}")) for name in READMES if name in there), None)
 
 
 def export_dataset(rows: DataFrame, boxes: DataFrame, path: str, names: Sequence[str], quality: str) -> None:
@@ -98,6 +102,28 @@ def check_export(spark: SparkSession, path: str, core: Sequence[str], strict: bo
     return inventory.violations(manifest, images, labels, names, core, counts.get("quality"), strict)
 
 
+def write_scan(spark: SparkSession, folder: str, records: DataFrame, config: Mapping, run: Mapping) -> dict:
+    """Write a scan's ``groups``, ``summary.json``, ``settings.json`` and ``run_info.json`` into a folder; the summary is returned.
+
+    records: source, image, status, group, unit, boxes, duplicates. ``groups``
+    has a JSON line (group, source, image) per record, each group's together
+    and in the order of its images: of any size, as no group is ever one value.
+    The summary has one entry per source and no more.
+    """
+    lines = records.select("group", "source", "image")
+    lines.repartitionByRange("group", "image").sortWithinPartitions("group", "image").write.json(f"{folder}/groups")
+    per = {r["source"]: {"images": r["images"], "empty": r["empty"], "statuses": dict(r["statuses"])} for r in inventory.scan_summary(records).collect()}
+    whole, states = inventory.cross_source_groups(records).first(), records.groupBy("status").count().collect()
+    units = records.where("unit IS NOT NULL").select("source", "unit").distinct().count()
+    summary = {
+        "sources": per, "status_counts": {r["status"]: r["count"] for r in states}, "similarity_groups": whole["groups"], "cross_source_groups": whole["crossing"],
+        "capture_units": units, "duplicate_rows_removed": records.agg(F.sum("duplicates")).first()[0] or 0,
+    }
+    for name, value in (("summary", summary), ("settings", config), ("run_info", run)):
+        write_text(spark, f"{folder}/{name}.json", json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False, allow_nan=False))
+    return summary
+
+
 def run_lists(rows: DataFrame, path: str, names: Sequence[str], column: str = "path") -> None:
     """The image lists of a run, a text folder for each split, and their data.yaml. rows: split, path."""
     import yaml

@@ -66,10 +66,13 @@ def test_every_violation(spark):
 
 def test_folders_lists_and_labels(spark, tmp_path):
     (tmp_path / "data.yaml").write_text("names: {1: dent, 0: rust}\n")
-    (tmp_path / "README.b.txt").write_text("second")
-    (tmp_path / "README.a.txt").write_text("first")
+    (tmp_path / "README.a.txt").write_text("of no account")
+    assert exports.readme_of(spark, str(tmp_path)) is None
+    (tmp_path / "README.dataset.txt").write_text("second")
+    assert exports.readme_of(spark, str(tmp_path)) == ("README.dataset.txt", "second")
+    (tmp_path / "README.roboflow.txt").write_text("first")
     assert exports.classes_of(spark, str(tmp_path)) == ["rust", "dent"] and exports.classes_of(spark, str(tmp_path / "none"), ["x"]) == ["x"]
-    assert exports.readme_of(spark, str(tmp_path)) == "first"
+    assert exports.readme_of(spark, str(tmp_path)) == ("README.roboflow.txt", "first")
     exports.run_lists(spark.createDataFrame([("train", "b"), ("train", "a"), ("val", "c")], "split string, path string"), str(tmp_path / "run"), ["rust"])
     assert [r[0] for r in spark.read.text(str(tmp_path / "run/train")).collect()] == ["a", "b"]
     texts = spark.createDataFrame([("a", "0 .5 .5 .2 .2\n1 .1 .1 .9 .1 .9 .5 .1 .5"), ("b", "")], "path string, text string")

@@ -65,8 +65,13 @@ def test_files(spark, tmp_path):
         annotations.resolve(["xa", "xb"], "x", exactly=True)
     with pytest.raises(ValueError, match="JSON list"):
         annotations.subset_list("null")
-    facts = spark.createDataFrame([("dataset - v3 2024\nThe dataset includes 12 images.\nNo image augmentation",)], "t string").select(annotations.readme_facts(F.col("t")).alias("m")).first().m
-    assert facts["version"] == "3" and facts["images"] == "12" and facts["augmentation"].lower() == "no image augmentation"
+    texts = ["dataset - v3 2024, v9 of the tool\nThe dataset includes 12 images.\nNo image augmentation techniques", "v7\nAugmentation was applied to create 3 versions: \nflip\nPre-processing was applied: resize\nno image augmentation", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", annotations.readme_facts(F.col("t"), F.lit("README.dataset.txt")))
+    named = {"file": "README.dataset.txt"}
+    assert [r.facts for r in rows.orderBy("i").collect()] == [
+        named | {"version_line": "- v3", "augmentation": "none stated", "image_count_readme": "12"},
+        named | {"augmentation": "Augmentation was applied to create 3 versions:", "preprocessing": "Pre-processing was applied: resize"}, named, {},
+    ]
 
 
 def test_sinks(spark, tmp_path):
