@@ -72,16 +72,16 @@ PIXELS = """
     WITH {PIXELS}, g AS (SELECT doc_id, h, p, list_transform(range(0, 16), lambda i: 0.114::DOUBLE * p[3 * i + 1] + 0.587::DOUBLE * p[3 * i + 2] + 0.299::DOUBLE * p[3 * i + 3]) AS g FROM p WHERE n_chars >= 60),
     l AS (SELECT doc_id, h, p, g, list_transform(range(0, 16), lambda i: g[4 * ((i // 4 + 3) % 4) + i % 4 + 1] + g[4 * ((i // 4 + 1) % 4) + i % 4 + 1] + g[4 * (i // 4) + (i % 4 + 3) % 4 + 1] + g[4 * (i // 4) + (i % 4 + 1) % 4 + 1]) AS w,
         list_transform(range(0, 16), lambda i: g[4 * abs(i // 4 - 1) + i % 4 + 1] + g[4 * (3 - abs(2 - i // 4)) + i % 4 + 1] + g[4 * (i // 4) + abs(i % 4 - 1) + 1] + g[4 * (i // 4) + 3 - abs(2 - i % 4) + 1]) AS r FROM g)
-    SELECT doc_id, round(list_var_pop(list_transform(range(1, 17), lambda i: w[i] - 4 * g[i])), 3) AS sharpness, round(list_var_pop(list_transform(range(1, 17), lambda i: r[i] - 4 * g[i])), 3) AS edge_sharpness,
+    SELECT doc_id, round(sqrt(list_var_pop(list_transform(range(1, 17), lambda i: w[i] - 4 * g[i]))), 6) AS sharpness_root, round(sqrt(list_var_pop(list_transform(range(1, 17), lambda i: r[i] - 4 * g[i]))), 6) AS edge_sharpness_root,
         round(list_median(list_transform(range(1, 17), lambda i: abs(g[i] - (w[i] + g[i]) / 5))), 6) AS noise, round(list_stddev_pop(g), 6) AS contrast, list_bool_and(list_transform(range(0, 16), lambda i: p[3 * i + 1] = p[3 * i + 2] AND p[3 * i + 1] = p[3 * i + 3])) AS grayscale,
         sha256(encode('4x4') || from_hex(array_to_string(h, ''))) AS pixels FROM l
     UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, sha256(encode('-1x-1') || from_hex(array_to_string(h, ''))) FROM p WHERE n_chars < 60
 """)
 def image_measures(spark, d):
-    """Two sharpnesses, noise, contrast, absence of colours and the pixel hash of every image."""
+    """Two sharpnesses (as roots, which no rounding splits), noise, contrast, absence of colours and the pixel hash of every image."""
     rows, args = drawn(spark, d), ("height", "width", "channels", "data")
-    found = {"sharpness": images.sharpness_of, "edge_sharpness": images.edge_sharpness_of, "noise": images.noise_of, "contrast": images.contrast_of}
-    return rows.select("doc_id", *[F.round(f(*args), 3 if "sharp" in n else 6).alias(n) for n, f in found.items()], images.grayscale_of(*args).alias("grayscale"), images.pixel_hash(F.col("height"), F.col("width"), F.col("data")).alias("pixels"))
+    found = {"sharpness_root": F.sqrt(images.sharpness_of(*args)), "edge_sharpness_root": F.sqrt(images.edge_sharpness_of(*args)), "noise": images.noise_of(*args), "contrast": images.contrast_of(*args)}
+    return rows.select("doc_id", *[F.round(f, 6).alias(n) for n, f in found.items()], images.grayscale_of(*args).alias("grayscale"), images.pixel_hash(F.col("height"), F.col("width"), F.col("data")).alias("pixels"))
 
 
 @query(f"WITH {PIXELS} SELECT source, count(*) FILTER (WHERE n_chars >= 60) AS readable, round(count(*) FILTER (WHERE n_chars >= 60 AND list_bool_and(list_transform(range(0, 16), lambda i: p[3 * i + 1] = p[3 * i + 2] AND p[3 * i + 1] = p[3 * i + 3]))) / greatest(count(*) FILTER (WHERE n_chars >= 60), 1), 9) AS share FROM p GROUP BY 1")
