@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,11 +13,35 @@ from ..functions.identity import hamming
 from ..session import materialize
 
 
-def bands(df: DataFrame, bits: str, within: int) -> DataFrame:
-    """One row per band: two hashes within ``within`` bits agree in one of within + 1 bands."""
-    n = within + 1
+def even_masks(n: int) -> list[int]:
+    """The 64 bits in ``n`` runs, as masks."""
     edges = [64 * i // n for i in range(n + 1)]
-    parts = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(F.col(bits), 64 - edges[i + 1]), 64 - edges[i + 1] + edges[i]).alias("value")) for i in range(n)]
+    return [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(n)]
+
+
+def dealt_masks(df: DataFrame, bits: str, n: int) -> list[int]:
+    """The 64 bits dealt to ``n`` masks, those that tell most first and to and fro.
+
+    Bits that are nearly always the same tell little: a band of such bits would
+    have one value for most rows. Dealt out by how even they are, they leave
+    every band about as many values. One row of shares is gathered.
+    """
+    shares = df.agg(*[F.avg(F.shiftrightunsigned(F.col(bits), i).bitwiseAND(F.lit(1))) for i in range(64)]).first()
+    turn = sorted(range(64), key=lambda i: (abs((0.5 if shares[i] is None else shares[i]) - 0.5), i))
+    masks = [0] * n
+    for place, bit in enumerate(turn):
+        lap, at = divmod(place, n)
+        masks[n - 1 - at if lap % 2 else at] |= 1 << bit
+    return masks
+
+
+def signed(mask: int) -> int:
+    return mask - 2**64 if mask >= 2**63 else mask
+
+
+def bands(df: DataFrame, bits: str, masks: Sequence[int]) -> DataFrame:
+    """One row per mask, with the bits it leaves: hashes that differ in fewer bits than there are masks agree under one of them."""
+    parts = [F.struct(F.lit(i).alias("band"), F.col(bits).bitwiseAND(F.lit(signed(m))).alias("value")) for i, m in enumerate(masks)]
     return df.select("*", F.inline(F.array(*parts)))
 
 
@@ -27,10 +53,10 @@ PROBED = 11
 BLOCK = 8192
 
 
-def hamming_join(left: DataFrame, right: DataFrame, id_col: str, bits: str, within: int, ordered: bool = False) -> DataFrame:
+def hamming_join(left: DataFrame, right: DataFrame, id_col: str, bits: str, within: int, ordered: bool = False, masks: Sequence[int] | None = None) -> DataFrame:
     """(a, b, distance): pairs within ``within`` bits; ordered: only a < b (a self-join).
 
-    Small radii: an equi-join on bands, exact by the pigeonhole principle; a
+    masks: the within + 1 bands of small radii, if not runs of bits. Small radii: an equi-join on bands, exact by the pigeonhole principle; a
     pair that agrees in several bands is reported by the first of them alone,
     so no distinct is needed. Up to ``PROBED`` bits: :func:`multi_index`. Larger
     radii, where bands would be a few bits that most rows share: :func:`blockwise`.
@@ -39,14 +65,11 @@ def hamming_join(left: DataFrame, right: DataFrame, id_col: str, bits: str, with
         return blockwise(left, right, id_col, bits, within, ordered)
     if within > BANDED:
         return multi_index(left, right, id_col, bits, within, ordered)
-    a = bands(left.select(F.col(id_col).alias("a"), F.col(bits).alias("x")), "x", within)
-    b = bands(right.select(F.col(id_col).alias("b"), F.col(bits).alias("y")), "y", within)
+    masks = even_masks(within + 1) if masks is None else masks
+    a = bands(left.select(F.col(id_col).alias("a"), F.col(bits).alias("x")), "x", masks)
+    b = bands(right.select(F.col(id_col).alias("b"), F.col(bits).alias("y")), "y", masks)
     near = hamming(F.col("x"), F.col("y"))
-    n = within + 1
-    edges = [64 * i // n for i in range(n + 1)]
     differ = F.col("x").bitwiseXOR(F.col("y"))
-    masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(n)]
-    signed = lambda m: m - 2**64 if m >= 2**63 else m
     first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(signed(m))) == 0, F.lit(i)) for i, m in enumerate(masks)])
     meets = (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value"))
     if ordered:
@@ -203,7 +226,8 @@ def first_earlier(df: DataFrame, id_col: str, bits: str, within: int, accepted:
     rows = df if accepted is None else df.where(accepted)
     # of equal hashes only the first can be anyone's answer, so copies by the thousand are one row here
     firsts = materialize(rows.where(F.col(bits).isNotNull()).groupBy(bits).agg(F.min(id_col).alias(id_col)))
-    pairs = hamming_join(firsts, firsts, id_col, bits, within, ordered=True) if within <= PROBED else blockwise(firsts, firsts, id_col, bits, within, ordered=True, keep="first")
+    masks = dealt_masks(firsts, bits, within + 1) if within <= BANDED else None
+    pairs = hamming_join(firsts, firsts, id_col, bits, within, ordered=True, masks=masks) if within <= PROBED else blockwise(firsts, firsts, id_col, bits, within, ordered=True, keep="first")
     best = pairs.groupBy(F.col("b").alias(id_col)).agg(F.min("a").alias("__a"))
     known = firsts.join(best, id_col, "left").select(bits, F.coalesce("__a", id_col).alias("near"))
     return rows.select(id_col, bits).join(known, bits).where(F.col("near") < F.col(id_col)).select(id_col, "near")

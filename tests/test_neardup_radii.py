@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +55,21 @@ def test_plan_is_an_equi_join(spark):
     with pytest.raises(ValueError):
         neardup.multi_index(frame, frame, "id", "bits", 12)
     assert F is not None
+
+
+def test_bits_are_dealt_by_what_they_tell(spark):
+    rng = np.random.default_rng(11)
+    # 20 bits in a row tell something, the others are nearly always 0
+    values = [int(v) << 7 for v in rng.integers(1 << 20, size=300)]
+    values += [v ^ (1 << int(rng.integers(63))) ^ (1 << int(rng.integers(63))) for v in values[:60]] + [0, -1]
+    frame = spark.createDataFrame(list(enumerate(values)), "id long, bits long")
+    masks = neardup.dealt_masks(frame, "bits", 3)
+    assert sum(masks) == 2**64 - 1 and all(a & b == 0 for i, a in enumerate(masks) for b in masks[:i])
+    telling = ((1 << 20) - 1) << 7
+    assert all(6 <= (m & telling).bit_count() <= 8 for m in masks) and all(m.bit_count() in (21, 22) for m in masks)
+    want = {(i, j) for j in range(len(values)) for i in range(j) if ((values[i] ^ values[j]) & (2**64 - 1)).bit_count() <= 2}
+    found = neardup.hamming_join(frame, frame, "id", "bits", 2, ordered=True, masks=masks).collect()
+    assert len(found) == len(want) and {(r.a, r.b) for r in found} == want
+    earlier = {r.id: r.near for r in neardup.first_earlier(frame, "id", "bits", 2).collect()}
+    assert earlier == {j: min(i for i, k in want if k == j) for j in {j for _, j in want}}
+    assert neardup.first_earlier(frame.limit(0), "id", "bits", 2).collect() == []
