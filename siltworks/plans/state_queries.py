@@ -67,13 +67,14 @@ SCREENED = f"""
 
 
 def screened(spark, d):
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     text = F.coalesce("text", F.lit(""))
     cid = F.coalesce("toxic", F.lit(0))
-    rows = with_letter_bits(rows, text).select(
+    # hashes first: texts are not shuffled for the join
+    hashed = with_letter_bits(table(spark, d, "documents"), text).select("doc_id", "n_chars", "source", "bits", F.md5(text).alias("pixel_hash"))
+    rows = hashed.join(table(spark, d, "labels"), "doc_id", "left").select(
         F.col("doc_id").alias("seq"), F.col("doc_id").alias("id"), F.when(F.col("n_chars") < 40, "short").alias("error"), F.lit("a").alias("sha256"), F.when(F.col("n_chars") % 23 == 0, "b").otherwise("a").alias("expected_sha256"),
         F.floor(F.col("n_chars") / 10).alias("width"), F.lit(100).cast("long").alias("height"), (F.col("n_chars") % 50).cast("double").alias("gray_std"), (F.col("n_chars") % 100).cast("double").alias("laplacian_variance"),
-        F.md5(text).alias("pixel_hash"), F.col("bits").alias("phash"), F.when(F.col("source") == "src3", "y").otherwise("x").alias("checkpoint_now"), F.lit("x").alias("checkpoint_sha256"),
+        "pixel_hash", F.col("bits").alias("phash"), F.when(F.col("source") == "src3", "y").otherwise("x").alias("checkpoint_now"), F.lit("x").alias("checkpoint_sha256"),
         cid.alias("class_id"), F.when(F.coalesce("quality", F.lit(1)) == 0, "other").when(cid == 1, "toxic").otherwise("clean").alias("class_name"),
     )
     return screening.screen(rows, "candidates", ["clean", "toxic"])
