@@ -13,13 +13,16 @@ Paths: local or mounted folders, or any store that pyarrow opens by its URI.
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import re
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -37,6 +40,43 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if re.match("[a-z0-9]+:/", path) else (pafs.LocalFileSystem(), path)
 
 
+class Seekable(io.RawIOBase):
+    """A file of pyarrow whose seeks to before its start fail with OSError, as those of Python's files do.
+
+    zipfile relies on that: it looks for a record of 64-bit sizes before the end
+    record, and an archive without members begins with its end record.
+    """
+
+    def __init__(self, f: pa.NativeFile) -> None:
+        self.f = f
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        at = offset + (0, self.f.tell(), self.f.size())[whence]
+        if at < 0:
+            raise OSError("seek to before the start")
+        return self.f.seek(min(at, self.f.size()))
+
+    def tell(self) -> int:
+        return self.f.tell()
+
+    def readinto(self, out) -> int:
+        data = self.f.read(len(out))
+        out[: len(data)] = data
+        return len(data)
+
+
+@contextmanager
+def unzipped(fs: pafs.FileSystem, archive: str) -> Iterator[zipfile.ZipFile]:
+    with fs.open_input_file(archive) as f, zipfile.ZipFile(io.BufferedReader(Seekable(f), 1 << 16)) as z:
+        yield z
+
+
 def listed(path: str) -> list[str]:
     """The archives at a path: those of its manifest if it is a package, else its *.zip files, or itself."""
     fs, folder = opened(path)
@@ -67,7 +107,7 @@ class MemberReader(DataSourceReader):
         """Ranges of about ``target`` inflated bytes; a part of the directory that holds nothing wanted is in some range too."""
         fs, out = opened(self.path)[0], []
         for archive in listed(self.path):
-            with fs.open_input_file(archive) as f, zipfile.ZipFile(f) as z:
+            with unzipped(fs, archive) as z:
                 first = size = i = 0
                 for i, info in enumerate(z.infolist(), 1):
                     size += info.file_size
@@ -81,7 +121,7 @@ class MemberReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[tuple]:
         if partition is None:
             return
-        with opened(self.path)[0].open_input_file(partition.archive) as f, zipfile.ZipFile(f) as z:
+        with unzipped(opened(self.path)[0], partition.archive) as z:
             for info in z.infolist()[partition.first : partition.end]:
                 m = re.search(self.pattern, info.filename)
                 if not m or info.is_dir() or ".." in info.filename.split("/"):

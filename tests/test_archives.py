@@ -64,3 +64,14 @@ def test_failed_task_leaves_nothing_visible(spark, tmp_path):
         archives.package_list(spark, path, "name string")
     archives.write_package(packaged(spark, 40), path)
     assert archives.members(spark, path).count() == 32
+
+
+def test_archives_without_members(spark, tmp_path):
+    """Tasks without rows, or whose rows are all skipped, leave archives that have no member."""
+    path = str(tmp_path / "package")
+    archives.write_package(packaged(spark, 5).where("source % 10 < 5").repartition(1).union(packaged(spark, 5).where("source = 3")).union(packaged(spark, 5).where("source < 0")), path)
+    assert sorted(r.name for r in archives.members(spark, path).collect()) == ["0.bin", "1.bin", "2.bin"]
+    assert archives.package_list(spark, path, "name string, skipped string")[0].where("skipped = 'missing'").count() == 2
+    none = str(tmp_path / "empty")
+    archives.write_package(packaged(spark, 5).where("source < 0"), none)
+    assert archives.members(spark, none).count() == 0
