@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, stored
+
+#: Detections of a range that one task takes.
+RANGE_ROWS = 1_000_000
 
 
 def rates(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
@@ -147,38 +152,97 @@ def class_report(graded: DataFrame) -> DataFrame:
     graded: as ``matching.graded`` gives it. A class of detections alone has no
     row; its values are undefined.
     """
-    graded = materialize(graded)
-    limits = sorted(r["place"] for r in graded.where("state = 'limit'").select("place").collect())  # a few rows
-    cells = detections(graded.where("state NOT IN ('limit', 'area')"), limits).where("area = 'all'")
+    named = asked(graded)
+    cells = detections(graded, named, ["all"], named["thresholds"])
     half = F.abs(F.col("threshold") - 0.5) < 1e-9
-    recall = F.get("hits", F.lit(len(limits) - 1)) / F.col("positives")
-    return cells.groupBy("cid").agg(F.max("positives").alias("positives"), F.max(F.when(half, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap50_95"), F.avg(recall).alias("ar_max"))
+    recall = F.get("hits", F.lit(len(named["limits"]) - 1)) / F.col("positives")
+    return cells.groupBy("cid").agg(F.max("positives").alias("positives"), F.max(F.when(half, mean_of("curve"))).alias("ap50"), F.avg(mean_of("curve")).alias("ap50_95"), F.avg(recall).alias("ar_max"))
 
 
 def detection_curves(graded: DataFrame, threshold: float = 0.5, points: int = 101) -> DataFrame:
     """(cid, point, precision) of every class with targets, over all areas at one overlap threshold; zeros for a class without detections."""
-    graded = materialize(graded.where("area = 'all' OR state = 'limit'"))
-    most = graded.where("state = 'limit'").agg(F.max("place")).first()[0]
-    targets = graded.where("state = 'target'").groupBy("cid").agg(F.count(F.lit(1)).alias("__total"))
-    rows = graded.where(F.col("state").isin("tp", "fp") & (F.col("place") < most) & (F.abs(F.col("threshold") - threshold) < 1e-9)).withColumn("hit", (F.col("state") == "tp").cast("int"))
-    ranked = curve(rows, ["cid"], [-F.col("conf"), F.col("image"), F.col("place")], "hit").join(targets, "cid")
-    found = sampled_curve(ranked, ["cid"], "__total", "hit", points)
-    every = targets.select("cid", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    return every.join(found, ["cid", "point"], "left").select("cid", "point", F.coalesce("precision", F.lit(0.0)).alias("precision"))
-
-
-def detections(graded: DataFrame, limits: Sequence[int]) -> DataFrame:
-    """(cid, area, threshold, positives, ap, hits): ap of the surest detections by the largest limit, hits as an array by limit."""
-    targets = graded.where("state = 'target'").groupBy("cid", "area").agg(F.count(F.lit(1)).alias("positives"))
-    rows = graded.where(F.col("state").isin("tp", "fp") & (F.col("place") < max(limits))).withColumn("hit", (F.col("state") == "tp").cast("int"))
-    keys = ["cid", "area", "threshold"]
-    ranked = curve(rows, keys, [-F.col("conf"), F.col("image"), F.col("place")], "hit")
-    aps = area_under(ranked.join(targets, ["cid", "area"]), keys, "positives", "hit").select(*keys, "ap")
-    hits = rows.groupBy(*keys).agg(F.array(*[F.sum(F.when(F.col("place") < m, F.col("hit")).otherwise(0)) for m in limits]).alias("hits"))
-    # classes with targets and without any detection have an ap and a recall of 0; ten thresholds
-    each = graded.where("threshold IS NOT NULL").select("threshold").distinct()
-    whole = targets.crossJoin(each).join(aps, keys, "left").join(hits, keys, "left")
-    return whole.select(*keys, "positives", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("hits", F.array(*[F.lit(0).cast("long")] * len(limits))).alias("hits"))
+    named = asked(graded)
+    cells = detections(graded, named, ["all"], [t for t in named["thresholds"] if abs(t - threshold) < 1e-9], points)
+    return cells.select("cid", F.posexplode("curve").alias("point", "precision"))
+
+
+def asked(graded: DataFrame) -> dict[str, list]:
+    """The limits, areas, thresholds and number of predictions that a graded frame names; a few rows."""
+    rows = graded.where("state IN ('limit', 'area', 'threshold', 'rows')").select("state", "area", "conf", "place", "n").collect()
+    of = lambda state: sorted((r for r in rows if r["state"] == state), key=lambda r: r["place"] or 0)
+    return {"limits": [r["place"] for r in of("limit")], "areas": [r["area"] for r in of("area")], "thresholds": [r["conf"] for r in of("threshold")], "rows": [r["n"] for r in of("rows")]}
+
+
+def mean_of(curve: str) -> Column:
+    return F.aggregate(curve, F.lit(0.0), lambda x, y: x + y) / F.size(curve)
+
+
+def detections(graded: DataFrame, named: dict[str, list], areas: Sequence[str], thresholds: Sequence[float], points: int = 101) -> DataFrame:
+    """(cid, area, threshold, positives, curve, hits) of every class with targets: precisions at recalls 0 to 1, hits as an array by limit.
+
+    All areas and thresholds see detections in one order. So each is a row once,
+    dealt by ranges of (class, order) and written there with its place. Batches
+    give sums per range, running sums give what lies ahead of it, and a range
+    gives the best precision for each recall point that its hits reach. The
+    precision at a point is the best of this point and all later ones: rows
+    between hits have lower ones than the hit before them.
+    """
+    spark = graded.sparkSession
+    limits, shift = named["limits"], len(named["thresholds"])
+    cells = [(named["areas"].index(a), named["thresholds"].index(t)) for a in areas for t in thresholds]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(named["rows"]) // RANGE_ROWS))
+    order = ["cid", "__o", "image", "place"]
+    rows = graded.where("state = 'detection'").select("cid", (-F.col("conf")).alias("__o"), "image", "place", *[F.get("marks", F.lit(a)).alias(f"m{a}") for a in sorted({a for a, _ in cells})])
+    positives = graded.where("state = 'target'").select("cid", "area", F.col("n").alias("positives"))
+    names = [f"h{i}" for i in range(len(limits))]
+
+    def marked(frame: pd.DataFrame, cell: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        m = frame[f"m{cell[0]}"].to_numpy(np.int64)
+        return m >> cell[1] & 1, 1 - (m >> (shift + cell[1]) & 1)
+
+    def summed(batches):
+        for batch in batches:
+            out = []
+            for (r, c), part in batch.groupby(["range", "cid"]):
+                within = [part["place"].to_numpy() < m for m in limits]
+                for i, cell in enumerate(cells):
+                    hit, counts = marked(part, cell)
+                    out.append((r, c, i, hit.sum(), counts.sum(), *[(hit * w).sum() for w in within]))
+            yield pd.DataFrame(out, columns=["range", "cid", "cell", "tp", "n", *names])
+
+    def steps(part: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
+        out, known = [], {c: g for c, g in ahead.groupby("cid")}
+        for c, own in part.sort_values("at").groupby("cid"):
+            for cell, tp, n, total in known[c][["cell", "tp", "n", "positives"]].itertuples(index=False) if c in known else ():
+                hit, counts = marked(own, cells[cell])
+                where = np.flatnonzero(hit)
+                if len(where):
+                    reached = tp + np.arange(1, len(where) + 1)
+                    best, point = reached / (n + np.cumsum(counts))[where], np.floor(reached * (points - 1) / total + 1e-9).astype(np.int32)
+                    first = np.flatnonzero(np.r_[True, point[1:] != point[:-1]])
+                    out.append(pd.DataFrame({"cid": c, "cell": cell, "point": point[first], "best": np.maximum.reduceat(best, first)}))
+        return pd.concat(out) if out else pd.DataFrame({"cid": [], "cell": [], "point": [], "best": []}).astype({"cid": int, "cell": int, "point": int})
+
+    # an id in this order: the range's number and, in 33 bits, the row's
+    put = lambda df: df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).drop("__o", "image")
+    # ranges are found by a sample, a pass of its own
+    with stored(rows) as matched, stored(put(matched)) as placed:
+        placed = placed.withColumn("range", F.shiftright("at", 33))
+        sums = placed.mapInPandas(summed, "range long, cid int, cell int, tp long, n long" + "".join(f", {h} long" for h in names))
+        sums = materialize(sums.groupBy("range", "cid", "cell").agg(*[F.sum(x).alias(x) for x in ("tp", "n", *names)]))
+        listed = F.inline(F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(a).alias("area"), F.lit(t).alias("threshold")) for i, (a, t) in enumerate((a, t) for a in areas for t in thresholds)]))
+        asked_for = materialize(positives.select("cid", "positives", F.col("area").alias("__area"), listed).where("area = __area").drop("__area"))
+        earlier = Window.partitionBy("cid", "cell").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = sums.select("range", "cid", "cell", *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(x) for x in ("tp", "n")]).join(asked_for.select("cid", "cell", "positives"), ["cid", "cell"])
+        best = placed.groupBy("range").cogroup(ahead.groupBy("range")).applyInPandas(steps, "cid int, cell int, point int, best double")
+        best = best.groupBy("cid", "cell", "point").agg(F.max("best").alias("best"))
+        some = best.groupBy("cid", "cell").agg(F.collect_list(F.struct("point", "best")).alias("some"))
+        hits = sums.groupBy("cid", "cell").agg(F.array(*[F.sum(h) for h in names]).alias("hits"))
+        found = asked_for.join(some, ["cid", "cell"], "left").join(hits, ["cid", "cell"], "left")
+        later = lambda k: F.array_max(F.transform(F.filter("some", lambda x: x["point"] >= k), lambda x: x["best"]))
+        curve = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.coalesce(later(k), F.lit(0.0)))
+        # classes with targets and without any detection have precisions and hits of 0
+        return materialize(found.select("cid", "area", "threshold", "positives", curve.alias("curve"), F.coalesce("hits", F.array(*[F.lit(0).cast("long")] * len(limits))).alias("hits")))
 
 
 def detection_report(graded: DataFrame) -> DataFrame:
@@ -186,10 +250,9 @@ def detection_report(graded: DataFrame) -> DataFrame:
 
     graded: as ``matching.graded`` gives it; its limits and areas are those found in it.
     """
-    graded = materialize(graded)
-    named = graded.where("state IN ('limit', 'area')").select("state", "place", "area").collect()  # a few rows
-    limits, areas = sorted(r["place"] for r in named if r["state"] == "limit"), sorted(r["area"] for r in named if r["state"] == "area")
-    cells = detections(graded.where("state NOT IN ('limit', 'area')"), limits)
+    named = asked(graded)
+    limits, areas = named["limits"], sorted(named["areas"])
+    cells = detections(graded, named, areas, named["thresholds"]).withColumn("ap", mean_of("curve"))
     whole = F.col("area") == "all"
     near = lambda t: F.abs(F.col("threshold") - t) < 1e-9
     recall = lambda i: F.get("hits", F.lit(i)) / F.col("positives")

@@ -206,6 +206,33 @@ def test_detection_report(spark):
     assert got == pytest.approx(brute_report(predictions, targets, areas, limits), abs=1e-8)
 
 
+def test_matching_side_by_side(spark):
+    """Ties, limits of places and ignored targets in groups of all sizes: as one loop over each group."""
+    rng = np.random.default_rng(3)
+    for last in (True, False):
+        group, t_group = np.sort(rng.integers(0, 30, 120)), np.sort(rng.integers(0, 40, 90))
+        corner = lambda n: rng.integers(0, 3, (n, 2)).astype(float)
+        box, t_box = (np.hstack([c, c + 2]) for c in (corner(120), corner(90)))
+        limits, ignored = np.array([0.1, 0.3, 0.9]), rng.random((2, 90)) < 0.3
+        got = matching.assign(group, box, t_group, t_box, limits, ignored, last=last)
+        for a in range(2):
+            for k, limit in enumerate(limits):
+                free = np.ones(90, bool)
+                for i in range(120):
+                    over = matching.overlaps(np.repeat(box[i : i + 1], 90, 0), t_box)
+                    fits = free & (t_group == group[i]) & (over >= limit)
+                    best = max(np.flatnonzero(fits), key=lambda j: (not ignored[a, j], over[j], j if last else -j), default=-1)
+                    assert got[a, k, i] == best
+                    free[best] &= best < 0
+
+
+def test_detections_are_ordered_once(spark):
+    """One row for each detection whatever the thresholds and areas, which used to be one row each of these in the order."""
+    p = spark.createDataFrame([(f"i{i}", i % 2, i / 40, 0.0, 0.0, 1.0, 1.0 + i / 20) for i in range(40)], matching.PREDICTIONS)
+    graded = matching.graded(p, p.drop("conf"), areas={"all": (0, 1e10), "small": (0, 2), "large": (2, 1e10)})
+    assert graded.where("state = 'detection'").count() == 40
+
+
 def test_selection(spark):
     groups, table = [f"g{i}" for i in range(60)], np.tile([2.0, 1, 1], (60, 1))
     picks = selection.nested_subsets(groups, table, [1, 0.5, 0.1], 3, 2)
