@@ -117,18 +117,23 @@ def label_problem(fields: Column, classes: int) -> Column:
     A line is a class and either a centre box (4 numbers) or a polygon (6 or
     more, an even count), all within [0, 1].
     """
-    numbers = F.transform(fields, lambda x: x.try_cast("double"))
-    cid, xy = numbers[0], F.slice(numbers, 2, F.greatest(F.size(numbers) - 1, F.lit(0)))
-    n = F.size(xy)
-    x1, y1, x2, y2 = corners(F.get(xy, F.lit(0)), F.get(xy, F.lit(1)), F.get(xy, F.lit(2)), F.get(xy, F.lit(3)))
+    # a lambda's variable is worked out once; written in, the numbers would be read again wherever they are used
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
     slack = 1e-6
-    return (
-        F.when((F.size(fields) < 1) | F.exists(numbers, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "nonfinite/empty")
-        .when((cid != F.floor(cid)) | (cid < 0) | (cid >= classes), "class")
-        .when(F.exists(xy, lambda x: (x < 0) | (x > 1)), "range")
-        .when((n == 4) & ((F.get(xy, F.lit(2)) <= 0) | (F.get(xy, F.lit(3)) <= 0)), "area")
-        .when((n == 4) & ((x1 < -slack) | (y1 < -slack) | (x2 > 1 + slack) | (y2 > 1 + slack)), "box outside image")
-        .when(n == 4, F.lit(None).cast("string"))
-        .when((n < 6) | (n % 2 == 1), "arity")
-        .when(F.when(n >= 6, polygon_area(xy)).otherwise(F.lit(1.0)) <= 1e-12, "polygon area")
-    )
+
+    def problem(numbers: Column, xy: Column) -> Column:
+        cid, n = numbers[0], F.size(xy)
+        x1, y1, x2, y2 = corners(F.get(xy, F.lit(0)), F.get(xy, F.lit(1)), F.get(xy, F.lit(2)), F.get(xy, F.lit(3)))
+        return (
+            F.when((F.size(numbers) < 1) | F.exists(numbers, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "nonfinite/empty")
+            .when((cid != F.floor(cid)) | (cid < 0) | (cid >= classes), "class")
+            .when(F.exists(xy, lambda x: (x < 0) | (x > 1)), "range")
+            .when((n == 4) & ((F.get(xy, F.lit(2)) <= 0) | (F.get(xy, F.lit(3)) <= 0)), "area")
+            .when((n == 4) & ((x1 < -slack) | (y1 < -slack) | (x2 > 1 + slack) | (y2 > 1 + slack)), "box outside image")
+            .when(n == 4, F.lit(None).cast("string"))
+            .when((n < 6) | (n % 2 == 1), "arity")
+            .when(F.when(n >= 6, polygon_area(xy)).otherwise(F.lit(1.0)) <= 1e-12, "polygon area")
+        )
+
+    rest = lambda v: F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0)))
+    return once(F.transform(fields, lambda x: x.try_cast("double")), lambda v: once(rest(v), lambda xy: problem(v, xy)))

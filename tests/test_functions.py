@@ -85,3 +85,9 @@ def test_images(spark, tmp_path):
     rows = {r.path[-5:]: r for r in images.measured(spark.read.format("image").load(str(tmp_path))).collect()}
     assert (rows["a.png"].height, rows["a.png"].grayscale, rows["b.png"].grayscale, rows["b.png"].contrast) == (20, False, True, 0)
     assert rows["c.png"].corrupt and rows["c.png"].phash is None and rows["a.png"].sharpness > 0
+
+
+def test_fields_of_a_line_are_read_once(spark):
+    """A condition that names the numbers anew would convert each field again, dozens of times a row."""
+    plan = spark.range(1).select(geometry.label_problem(F.split(F.col("id").cast("string"), " "), 3))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2 and plan.count("cast(lambda") == 1
