@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import margin_pixels
-from ..session import materialize
+from ..session import materialize, stored
 from .selection import running
 
 #: The least side of a core box, and the pixels that stay free on either side of a rectangle.
@@ -35,23 +35,9 @@ def rectangle(record: Sequence[Column], exemplar: Sequence[Column], margin: Colu
     return out
 
 
-def propose(records: DataFrame, boxes: DataFrame, candidates: DataFrame, wanted: DataFrame, seed: int, tries: int = TRIES) -> DataFrame:
-    """One row per proposal: a rectangle on a background whose boxes it does not touch, for a person to confirm.
-
-    records: subset, stem, sha256, width, height. boxes: subset, stem, line, cid
-    and corners in shares of the image. candidates: subset, id, cid, margin,
-    canonical; a subset's candidates take turns in order of their ids. wanted:
-    subset, n.
-
-    An attempt draws a background, a box of the candidate's class in the same
-    subset for the size, then x and y; each number depends only on the seed,
-    subset, proposal, attempt and its name, so a proposal's row does not depend
-    on how tasks are cut. The first attempt disjoint from all boxes of its
-    background counts. A class without boxes, or ``tries`` attempts in vain, is an error.
-    """
+def _placed(places: DataFrame, shapes: DataFrame, boxes: DataFrame, candidates: DataFrame, wanted: DataFrame, seed: int, tries: int) -> DataFrame:
+    """The first attempt of every proposal that is free, with its draws."""
     sizes = lambda df, *by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("of"))
-    places = materialize(running(records.select("subset", "stem", "sha256", "width", "height"), ["subset"], ["stem"], "place"))
-    shapes = materialize(running(boxes.select("subset", "cid", "stem", "line", "x1", "y1", "x2", "y2"), ["subset", "cid"], ["stem", "line"], "place"))
     turns = materialize(running(candidates.select("subset", "id", "cid", "margin", "canonical"), ["subset"], ["id"], "place"))
     each = wanted.select("subset", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i"), F.col("n").alias("__n")).where("__n > 0").drop("__n")
     each = each.join(sizes(turns, "subset").withColumnRenamed("of", "turns"), "subset")
@@ -93,6 +79,29 @@ def propose(records: DataFrame, boxes: DataFrame, candidates: DataFrame, wanted:
     else:
         if found is None or left.limit(1).count():
             raise ValueError(f"no disjoint placement in {tries} attempts; place it by hand")
+    return found
+
+
+def propose(records: DataFrame, boxes: DataFrame, candidates: DataFrame, wanted: DataFrame, seed: int, tries: int = TRIES) -> DataFrame:
+    """One row per proposal: a rectangle on a background whose boxes it does not touch, for a person to confirm.
+
+    records: subset, stem, sha256, width, height. boxes: subset, stem, line, cid
+    and corners in shares of the image. candidates: subset, id, cid, margin,
+    canonical; a subset's candidates take turns in order of their ids. wanted:
+    subset, n.
+
+    An attempt draws a background, a box of the candidate's class in the same
+    subset for the size, then x and y; each number depends only on the seed,
+    subset, proposal, attempt and its name, so a proposal's row does not depend
+    on how tasks are cut. The first attempt disjoint from all boxes of its
+    background counts. A class without boxes, or ``tries`` attempts in vain, is an error.
+    """
+    with stored(boxes.select("subset", "stem", "line", "cid", "x1", "y1", "x2", "y2")) as boxes:
+        places = running(records.select("subset", "stem", "sha256", "width", "height"), ["subset"], ["stem"], "place")
+        shapes = running(boxes, ["subset", "cid"], ["stem", "line"], "place").select("subset", "cid", "place", "x1", "y1", "x2", "y2")
+        # every round reads them
+        with stored(places) as places, stored(shapes) as shapes:
+            found = _placed(places, shapes, boxes, candidates, wanted, seed, tries)
     turn = F.col("canonical") & (F.col("h") > F.col("w"))
     whole = lambda *names: F.array(*[F.col(n).cast("long") if isinstance(n, str) else n.cast("long") for n in names])
     return found.select(
