@@ -33,11 +33,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache, pieces
+from .chunks import CACHE, ChunkCache, pieces
 from .common import text_of
 
-#: Chunks that a worker's cache may hold before it starts anew.
-CACHE = 1_000_000
 #: Words of more bytes than this are encoded one by one.
 LANE = 63
 #: Bits of an id in a pair's key; no id, and the rank of no merge.

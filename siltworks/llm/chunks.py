@@ -27,8 +27,10 @@ WORD_AND_SIGNS = re.compile("([a-z\u00E0-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\\[-`{
 IN_RUN = "[^0-9a-z\u00E0-\u00F6\u00F8-\u00FF][,.](?: |$)"
 #: What a text must not hold to be cut by ASCII white space and lower-cased as a whole.
 UNUSUAL = "[\x1c-\x1f\u0085\u00A0\u0100-\U0010FFFF]|<\\|"
-#: Bytes of text that are cut and encoded together.
-PIECE = 1 << 24
+#: Bytes of text that are cut and encoded together; a worker's arrays for them take some twelve times as much.
+PIECE = 1 << 21
+#: Chunks that a worker's cache may hold, and bytes of text in them, before it starts anew.
+CACHE, ROOM = 1 << 18, 1 << 24
 
 
 def chunks_of(text: str) -> list[str]:
@@ -48,11 +50,15 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = to
 
 
+def byte_sum(texts: pa.StringArray) -> int:
+    return pc.sum(pc.binary_length(texts)).as_py() or 0
+
+
 class ChunkCache:
-    """Known chunks and their ids; at most ``limit`` chunks are known, then all are forgotten."""
+    """Known chunks and their ids; before they pass ``limit`` chunks or ``room`` bytes of text, all are forgotten."""
 
-    def __init__(self, limit: int = 1_000_000) -> None:
-        self.limit = limit
+    def __init__(self, limit: int = CACHE, room: int = ROOM) -> None:
+        self.limit, self.room = limit, room
         self._clear()
 
     def words_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +72,7 @@ class ChunkCache:
     def _clear(self) -> None:
         #: The place of each known chunk in ``begins`` and ``sizes``: where its ids lie in ``known``.
         self.cache: dict[str, int] = {}
+        self.held = 0
         self.begins = self.sizes = np.empty(0, np.int64)
         self.known = np.empty(0, "<u4")
 
@@ -107,10 +114,12 @@ class ChunkCache:
         places = np.fromiter(map(self.cache.get, distinct, repeat(-1)), np.int64, len(distinct))
         lacking = np.flatnonzero(places < 0)
         if len(lacking):
-            if len(self.cache) + len(lacking) > self.limit:
+            new = coded.dictionary.take(pa.array(lacking))
+            if len(self.cache) + len(new) > self.limit or self.held + byte_sum(new) > self.room:
                 self._clear()
-                lacking = np.arange(len(distinct))
-            self._learn(coded.dictionary.take(pa.array(lacking)))
+                lacking, new = np.arange(len(distinct)), coded.dictionary
+            self.held += byte_sum(new)
+            self._learn(new)
             places[lacking] = [self.cache[distinct[i]] for i in lacking.tolist()]
         ids, ends = self._take(places[coded.indices.to_numpy()])
         offsets = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()

@@ -1,12 +1,15 @@
 import hashlib
 import json
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from siltworks.llm import bpe
+from siltworks.llm.chunks import ChunkCache, pieces
 
 TEXTS = [
     "", "a", " \t\n", "Hello, world! it's 123 <|endoftext|>foo<|startoftext|> bar", "aaaa" * 50, "ΣΑΣ Σ", "é x\x1cy", "İstanbul",
@@ -72,3 +75,36 @@ def test_ids_beyond_16_bits():
     for words in ("the river of things, and 12 others", "Überfluß naïve co-operate", "x" * 300, "antidisestablishmentarianism " * 9):
         want = theirs.encode(words, add_special_tokens=False).ids
         assert mine.encode_text(words) == want and min(want) > 65_536
+
+
+def test_memory_of_a_large_batch(both):
+    """16 MB of text in one batch: a worker's arrays stay those of a few MB, with the ids of texts encoded alone."""
+    ours, _ = both
+    rows = [f"the river {i % 7} of things, and others " * 500 for i in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows)], ["id", "text"])
+    want = [ours.encode_text(t) for t in rows[:7]]
+    tracemalloc.start()
+    try:
+        for part in pieces(batch):
+            for i, found in zip(part.column(0).to_pylist(), ours.texts(part.column(1))):
+                assert found.tolist() == want[i % 7]
+        assert tracemalloc.get_traced_memory()[1] < 64e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_cache_is_bounded_in_bytes():
+    """Chunks of scripts without spaces are long: few of them fill a worker's memory."""
+
+    class Lengths(ChunkCache):
+        def others_ids(self, chunks):
+            return np.array([len(c) for c in chunks], "<u4"), np.ones(len(chunks), np.int64)
+
+        words_ids = others_ids
+
+    cache = Lengths()
+    for i in range(40):
+        texts = [f"{i}x{k}" + "文" * (300 + k) for k in range(1000)]
+        ids, counts = cache.encode(pa.array(texts))
+        assert ids.tolist() == list(map(len, texts)) and set(counts.tolist()) == {1}
+        assert sum(len(c.encode()) for c in cache.cache) <= 1 << 24
